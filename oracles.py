@@ -422,7 +422,8 @@ ORACLES: dict[str, str] = {
         FROM act WHERE state = 'active')
       SELECT pid, seconds, CASE WHEN seconds <= 30 THEN 'slow' ELSE 'very_slow' END AS level FROM a WHERE seconds > 10""",
     "null_safe_ratio": f"WITH {TABLES} SELECT relid, round(n_dead_tup::DOUBLE / nullif(n_live_tup, 0) * 100, 6) AS dead_pct FROM t",
-    "blocking_pairs": f"""WITH {ACTIVITY}, l AS (SELECT 'part ' || l_partkey AS locktype, l_orderkey AS pid, l_linestatus = 'F' AS granted FROM lineitem)
+    "blocking_pairs": """WITH act AS (SELECT s_suppkey AS pid, 'restock nation ' || s_nationkey AS query FROM supplier),
+        l AS (SELECT l_orderkey AS locktype, l_suppkey AS pid, l_linestatus = 'F' AS granted FROM lineitem)
       SELECT ba.query AS blocked_statement, ga.query AS blocking_statement, count(*) AS pairs
       FROM l b JOIN act ba ON ba.pid = b.pid JOIN l g ON g.locktype = b.locktype AND g.pid <> b.pid JOIN act ga ON ga.pid = g.pid
       WHERE NOT b.granted GROUP BY 1, 2""",

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 _UNIT_US = {
     "microsecond": 1,
@@ -52,22 +53,41 @@ def bucket(col: str | Column, width: str | timedelta) -> Column:
     return shift(col, -F.pmod(micros(col) - F.lit(_ORIGIN_US % w), F.lit(w)))
 
 
+def window_start(col: str | Column, width: str | timedelta) -> Column:
+    """`bucket` as a grouping expression: cheaper, but at most one per select, and NULL times are dropped."""
+    w = width_us(width)
+    return F.window(_col(col), f"{w} microseconds", startTime=f"{_ORIGIN_US % w} microseconds")["start"]
+
+
 def bucket_ceil(col: str | Column, width: str | timedelta) -> Column:
     """First bucket boundary at or after the timestamp."""
     w = width_us(width)
     return shift(col, F.pmod(F.lit(_ORIGIN_US % w) - micros(col), F.lit(w)))
 
 
-def grid(first: Column, last: Column, width: str | timedelta) -> Column:
-    """Array of points first, first+width, … up to and including `last`.
+def from_micros(us: Column, like: DataType) -> Column:
+    """Inverse of `micros` for a column of the given timestamp type."""
+    return F.timestamp_micros(us).cast(like)
+
 
-    NULL when first > last, so that exploding it yields no row.
-    """
+def explode_grid(df: DataFrame, first: Column, last: Column, width: str | timedelta, name: str) -> DataFrame:
+    """One row per point first, first+width, … up to and including `last`; none when first > last."""
     w = width_us(width)
     steps = F.floor((micros(last) - micros(first)) / F.lit(w)).cast("int")
     # sequence() counts downwards when its bounds are reversed, so that case is cut explicitly.
-    upto = F.sequence(F.lit(0), F.greatest(steps, F.lit(0)))
-    return F.when(steps >= 0, F.transform(upto, lambda i: shift(first, i.cast("long") * F.lit(w))))
+    upto = F.when(steps >= 0, F.sequence(F.lit(0), F.greatest(steps, F.lit(0))))
+    points = df.withColumn("__first", first).withColumn("__i", F.explode(upto))
+    return points.withColumn(name, shift("__first", F.col("__i") * F.lit(w))).drop("__first", "__i")
+
+
+def slot(us: Column, width: int) -> Column:
+    """Number of the first boundary of a grid of `width` microseconds at or after `us`."""
+    return F.ceil((us - F.lit(_ORIGIN_US % width)) / F.lit(width))
+
+
+def slot_us(number: Column, width: int) -> Column:
+    """Position of a numbered boundary."""
+    return number * F.lit(width) + F.lit(_ORIGIN_US % width)
 
 
 def seconds_between(start: str | Column, end: str | Column) -> Column:

@@ -36,7 +36,9 @@ def matched_routes(topic: Column) -> Column:
 
 
 def _parsed(raw: DataFrame, schema: str, value: str) -> DataFrame:
-    return raw.withColumn("__msg", F.from_json(value, schema))
+    # Wrapped in a generator, the parse stays one step of its own. As a plain column it would be copied
+    # into every condition and field that uses it, and each message parsed several times.
+    return raw.select("*", F.explode(F.array(F.from_json(value, schema))).alias("__msg"))
 
 
 def measurements(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timing import bucket, bucket_ceil, grid, micros, shift, width_us
-from .scan import with_halo
+from ..functions.timing import (
+    bucket,
+    bucket_ceil,
+    explode_grid,
+    from_micros,
+    micros,
+    shift,
+    slot,
+    slot_us,
+    width_us,
+)
 
 # Bucket layout of the three ingest histograms as (start, factor, count).
 BATCH_SIZE_BUCKETS = (1.0, 2.0, 20)
@@ -66,8 +75,8 @@ def counter_samples(df: DataFrame, ts: str, labels: Sequence[str], step: str, en
     )
     stop = F.least(shift("__epoch", width_us(epoch)), end) if epoch else end
     until = F.coalesce(shift("__next", -1), stop)
-    return run.select(*labels, F.explode(grid(F.col("ts"), until, step)).alias("ts"),
-                      F.col("value").cast("double").alias("value"))
+    return explode_grid(run.withColumn("__until", until), F.col("ts"), F.col("__until"), step, "ts").select(
+        *labels, "ts", F.col("value").cast("double").alias("value"))
 
 
 def histogram(df: DataFrame, value: str, bounds: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:
@@ -96,35 +105,37 @@ def histogram_samples(df: DataFrame, ts: str, value: str, bounds: Sequence[float
         F.lead("__at").over(order).alias("__next"),
     )
     until = F.coalesce(shift("__next", -1), end)
-    return run.select(*labels, "le", F.explode(grid(F.col("__at"), until, step)).alias("ts"),
-                      F.col("value").cast("double").alias("value"))
+    return explode_grid(run.withColumn("__until", until), F.col("__at"), F.col("__until"), step, "ts").select(
+        *labels, "le", "ts", F.col("value").cast("double").alias("value"))
 
 
 # ---- range expressions ----------------------------------------------------------------------------
 
-def _block_width(range_: str, block: str) -> str:
-    """The asked block width, widened where the range is longer than it."""
-    return block if width_us(range_) <= width_us(block) else f"{width_us(range_)} microseconds"
+_BLOCK = "__block"
 
 
-def _steps(samples: DataFrame, series: Sequence[str], range_: str, step: str, block: str, cols: list[Column]):
-    """Each sample with its predecessor, and the steps at which it is the newest sample in range.
+def _blocks(samples: DataFrame, series: Sequence[str], reach: int, width: int):
+    """Samples in microseconds, each in its own block of the time line and in every block a step that
+    still sees it may fall into: (rows, window per series and block).
 
-    A sample is repeated in the next block when one of its steps may lie there. The look-back of a step
-    is the range, so the (series, block) window holds everything a step needs.
+    A series is thus cut into blocks that are worked on independently, with a single shuffle, however
+    many samples it has. Steps are evaluated in the block they lie in.
     """
-    reach = width_us(range_)
-    rows = with_halo(samples, "ts", reach, _block_width(range_, block))
-    order = W.partitionBy(*series, "__block").orderBy("ts")
-    rows = rows.select("*", *[c(order) for c in cols], F.lead("ts").over(order).alias("__next"))
-    first = bucket_ceil("ts", step)
-    # The range is open at its start: at t = ts + range the sample has left it.
-    last = F.least(shift("ts", reach - 1), F.coalesce(shift(bucket_ceil("__next", step), -1), shift("ts", reach - 1)))
-    return rows.withColumn("__steps", grid(first, last, step)), order
+    us = micros("ts")
+    # Blocks are (start, end], numbered by their end, which makes the sample at a border part of the
+    # block before it, like the steps.
+    blocks = F.sequence(slot(us, width), slot(us + F.lit(reach - 1), width))
+    rows = samples.select(*series, us.alias("__us"), F.col("value").cast("double").alias("value"),
+                          F.explode(blocks).alias(_BLOCK))
+    return rows, W.partitionBy(*series, _BLOCK).orderBy("__us")
 
 
-def _in_block(block: str) -> Column:
-    return bucket("step", block) == F.col("__block")
+def _seen(at_or_after: Column, before: Column, step: int, width: int) -> tuple[Column, Column]:
+    """First step number and count of steps in [at_or_after, before) inside the row's block."""
+    end = slot_us(F.col(_BLOCK), width)
+    first = slot(F.greatest(at_or_after, end - F.lit(width - 1)), step)
+    count = slot(F.least(before, end + F.lit(1)), step) - first
+    return first, F.greatest(count, F.lit(0))
 
 
 def rate(samples: DataFrame, series: Sequence[str], range_: str, step: str, extrapolate: bool = False,
@@ -134,73 +145,71 @@ def rate(samples: DataFrame, series: Sequence[str], range_: str, step: str, extr
     A decrease counts as a restart from zero. A step with fewer than two samples in range has no row.
     Plain mode divides the increase by the range; ``extrapolate`` stretches it towards the range borders
     the way PromQL's ``rate`` does.
+
+    Every sample knows the steps at which it is the oldest one in range and those at which it is the
+    newest. The two meet in one aggregate per step, which needs no further shuffle.
     """
-    reach = width_us(range_)
-    value, prev = F.col("value"), lambda w: F.lag("value").over(w)
-    increase = [
-        lambda w: F.when(value < prev(w), value).otherwise(value - prev(w)).alias("__delta"),
-    ]
-    rows, order = _steps(samples.select(*series, "ts", "value"), series, range_, step, block, increase)
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach, step_us, width = width_us(range_), width_us(step), width_us(block)
+    rows, order = _blocks(samples, series, reach, width)
+    us, value, before = F.col("__us"), F.col("value"), F.lag("value").over(order)
     rows = rows.select(
         "*",
-        F.sum("__delta").over(upto).alias("__total"),
+        F.lag("__us").over(order).alias("__prev"), F.lead("__us").over(order).alias("__next"),
         F.row_number().over(order).alias("__rank"),
+        F.when(value < before, value).otherwise(value - before).alias("__delta"),
     )
-    sample = F.struct(F.col("ts"), F.col("value"), F.coalesce("__total", F.lit(0.0)).alias("total"),
-                      F.col("__rank").alias("rank"))
-    # A sample row opens windows, a step row reads the window that ends at it.
-    none = F.lit(None)
-    events = F.concat(
-        F.array(F.struct(F.col("ts").alias("at"), sample.alias("opens"), none.cast(samples.schema["ts"].dataType).alias("step"))),
-        F.coalesce(
-            F.transform("__steps", lambda t: F.struct(t.alias("at"), F.when(F.lit(False), sample).alias("opens"), t.alias("step"))),
-            F.array(),
-        ),
-    )
-    at = rows.select(*series, "__block", sample.alias("closes"), F.inline(events))
-    at = at.withColumn("__us", micros("at"))
-    seen = W.partitionBy(*series, "__block").orderBy("__us").rangeBetween(-(reach - 1), 0)
-    at = (
-        at.withColumn("__first", F.first("opens", ignorenulls=True).over(seen))
-        .where(F.col("step").isNotNull() & _in_block(_block_width(range_, block)))
-        .where(F.col("closes.rank") > F.col("__first.rank"))
-    )
-    gained = F.col("closes.total") - F.col("__first.total")
-    seconds = F.lit(reach / 1e6)
+    grown = F.coalesce(F.sum("__delta").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0.0))
+    leaves = us + F.lit(reach)
+    newest, n_newest = _seen(us, F.least(F.coalesce("__next", leaves), leaves), step_us, width)
+    oldest, n_oldest = _seen(F.greatest(us, F.coalesce(F.col("__prev") + F.lit(reach), us)), leaves, step_us, width)
+    rows = rows.select(
+        *series, _BLOCK, "__us", "value", "__rank", grown.alias("__grown"), newest.alias("__newest"),
+        n_newest.alias("__n"), oldest.alias("__oldest"), (n_newest + n_oldest).alias("__all"),
+    ).where("__all > 0")
+    rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__all"))))
+    closes = F.col("__i") <= F.col("__n")
+    number = F.when(closes, F.col("__newest") + F.col("__i")).otherwise(
+        F.col("__oldest") + F.col("__i") - F.col("__n")) - F.lit(1)
+    sign = F.when(closes, F.lit(1)).otherwise(F.lit(-1))
+    aggs = [F.sum(F.col("__grown") * sign).alias("__gained"), F.sum(F.col("__rank") * sign).alias("__gaps")]
     if extrapolate:
-        n = F.col("closes.rank") - F.col("__first.rank")
-        first_us, last_us = micros("__first.ts"), micros("closes.ts")
-        sampled = (last_us - first_us) / F.lit(1e6)
-        gap = sampled / n
-        to_start = (first_us - (micros("step") - F.lit(reach))) / F.lit(1e6)
-        to_end = (micros("step") - last_us) / F.lit(1e6)
+        aggs += [F.max(F.when(closes, us)).alias("__last"), F.max(F.when(~closes, us)).alias("__first"),
+                 F.max(F.when(~closes, value)).alias("__first_value")]
+    per_step = rows.withColumn("__step", number).groupBy(*series, _BLOCK, "__step").agg(*aggs).where("__gaps > 0")
+    at, gained = slot_us(F.col("__step"), step_us), F.col("__gained")
+    if extrapolate:
+        sampled = (F.col("__last") - F.col("__first")) / F.lit(1e6)
+        gap = sampled / F.col("__gaps")
+        to_start = (F.col("__first") - (at - F.lit(reach))) / F.lit(1e6)
+        to_end = (at - F.col("__last")) / F.lit(1e6)
         to_start = F.when(to_start >= gap * F.lit(1.1), gap / 2).otherwise(to_start)
         to_end = F.when(to_end >= gap * F.lit(1.1), gap / 2).otherwise(to_end)
         # A counter cannot have been below zero: do not stretch past the point where it was zero.
-        to_zero = sampled * F.col("__first.value") / gained
+        to_zero = sampled * F.col("__first_value") / F.col("__gained")
         to_start = F.when((gained > 0) & (to_zero < to_start), to_zero).otherwise(to_start)
         gained = gained * (sampled + to_start + to_end) / sampled
-    return at.select(*series, "step", (gained / seconds).alias("rate"))
+    return per_step.select(*series, from_micros(at, samples.schema["ts"].dataType).alias("step"),
+                           (gained / F.lit(reach / 1e6)).alias("rate"))
 
 
 def irate(samples: DataFrame, series: Sequence[str], range_: str, step: str, block: str = "1 day") -> DataFrame:
     """Per-second change between the last two samples in range, per series and step."""
-    reach = width_us(range_)
-    value = F.col("value")
-    prev = [
-        lambda w: F.lag("value").over(w).alias("__prev"),
-        lambda w: F.lag("ts").over(w).alias("__prev_ts"),
-    ]
-    rows, _ = _steps(samples.select(*series, "ts", "value"), series, range_, step, block, prev)
-    gained = F.when(value < F.col("__prev"), value).otherwise(value - F.col("__prev"))
-    per_second = gained * F.lit(1e6) / (micros("ts") - micros("__prev_ts"))
-    return (
-        rows.withColumn("step", F.explode("__steps"))
-        .where(micros("__prev_ts") > micros("step") - F.lit(reach))
-        .where(_in_block(_block_width(range_, block)))
-        .select(*series, "step", per_second.alias("rate"))
-    )
+    reach, step_us, width = width_us(range_), width_us(step), width_us(block)
+    rows, order = _blocks(samples, series, reach, width)
+    us, value = F.col("__us"), F.col("value")
+    rows = rows.select(
+        "*",
+        F.lag("__us").over(order).alias("__prev"), F.lead("__us").over(order).alias("__next"),
+        F.lag("value").over(order).alias("__before"),
+    ).where(F.col("__prev").isNotNull())
+    leaves = F.col("__prev") + F.lit(reach)
+    first, count = _seen(us, F.least(F.coalesce("__next", leaves), leaves), step_us, width)
+    gained = F.when(value < F.col("__before"), value).otherwise(value - F.col("__before"))
+    rows = rows.select(*series, first.alias("__step"), count.alias("__n"),
+                       (gained * F.lit(1e6) / (us - F.col("__prev"))).alias("rate")).where("__n > 0")
+    rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    at = slot_us(F.col("__step") + F.col("__i"), step_us)
+    return rows.select(*series, from_micros(at, samples.schema["ts"].dataType).alias("step"), "rate")
 
 
 def sum_by(df: DataFrame, value: str, labels: Sequence[str] = (), step: str = "step") -> DataFrame:

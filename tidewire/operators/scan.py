@@ -2,8 +2,7 @@
 
 A plain ``Window.partitionBy(key)`` sends a key's whole history to one task. Here a key's time line is
 cut into blocks of fixed width. Rows are ordered only inside their (key, block); what crosses a block
-border is either a small per-block summary, joined back (unbounded look-back), or copies of the rows
-near the border (bounded look-back). Results equal the plain window for every block width.
+border is a small per-block summary. Results equal the plain window for every block width.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timing import bucket, shift, width_us
+from ..functions.timing import bucket
 
 _BLOCK = "__block"
 
@@ -33,14 +32,22 @@ def _join_carry(rows: DataFrame, carry: DataFrame, part: Sequence[str]) -> DataF
 
 def lag_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], block: str,
                  tie: Sequence[str] = ()) -> DataFrame:
-    """Adds prev_<col>: the value in the key's previous row, however far back it lies."""
-    rows, part, inside = _blocked(df, keys, ts, tie, block)
-    values = F.struct(*cols)
-    last = rows.groupBy(*part).agg(F.max_by(values, F.struct(ts, *tie)).alias("__last"))
-    carry = last.select(*part, F.lag("__last").over(W.partitionBy(*keys).orderBy(_BLOCK)).alias("__carry"))
-    out = _join_carry(rows.withColumn("__prev", F.lag(values).over(inside)), carry, part)
-    prev = F.coalesce("__prev", "__carry")
-    return out.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in cols])
+    """Adds prev_<col>: the value in the key's previous row, however far back it lies.
+
+    Only the first row of a block looks beyond it. The first and last rows of all blocks are a small
+    frame in which the first rows find their predecessors; both branches read the same shuffled rows.
+    """
+    rows, _, inside = _blocked(df, keys, ts, tie, block)
+    prev = [F.lag(c).over(inside).alias(f"prev_{c}") for c in cols]
+    rows = rows.select(*df.columns, *prev, F.row_number().over(inside).alias("__row"),
+                       F.lead(F.lit(1)).over(inside).isNull().alias("__is_last"))
+    first = F.col("__row") == 1
+    across = W.partitionBy(*keys).orderBy(ts, *tie)
+    edges = rows.where(first | F.col("__is_last")).select(
+        *df.columns, *[F.lag(c).over(across).alias(f"prev_{c}") for c in cols], "__row"
+    )
+    kept = [*df.columns, *[f"prev_{c}" for c in cols]]
+    return rows.where(~first).select(*kept).unionByName(edges.where(first).select(*kept))
 
 
 def running_sum_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], block: str,
@@ -81,14 +88,3 @@ def carry_forward_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Se
     return out.select(
         *df.columns, *[F.coalesce(f"__last_{c}", f"__carry_{c}").alias(f"last_{c}") for c in cols]
     )
-
-
-def with_halo(df: DataFrame, ts: str, reach_us: int, block: str, name: str = _BLOCK) -> DataFrame:
-    """Adds the block column, and repeats a row in the next block when it lies within reach of it.
-
-    One shuffle by (keys, block) then suffices for any look-back of at most `reach_us`.
-    """
-    if reach_us > width_us(block):
-        raise ValueError("the look-back must not exceed the block width")
-    own, ahead = bucket(ts, block), bucket(shift(ts, reach_us), block)
-    return df.withColumn(name, F.explode(F.array_distinct(F.array(own, ahead))))

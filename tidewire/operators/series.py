@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.timing import bucket, grid, instant, seconds_between, shift
+from ..functions.timing import bucket, explode_grid, instant, seconds_between, shift, window_start
 
 #: A literal list of serials up to this length is shipped with the plan (serials are unique, so the
 #: matching registry rows are at most as many).
@@ -67,7 +67,7 @@ def read_series(m: DataFrame, sensor: DataFrame, serials: Serials = None, start=
 
 def bucket_avg(m: DataFrame, width: str, keys: Sequence[str] = ("sensor_id",)) -> DataFrame:
     """Mean and row count per (bucket, key)."""
-    return m.groupBy(bucket("time", width).alias("bucket"), *keys).agg(
+    return m.groupBy(window_start("time", width).alias("bucket"), *keys).agg(
         F.avg("measurement").alias("measurement"), F.count("*").alias("n")
     )
 
@@ -90,18 +90,14 @@ def gapfill_avg(m: DataFrame, sensor: DataFrame, width: str, start, end, serials
     order = W.partitionBy("sensor_id").orderBy("bucket")
     first, last = bucket(instant(start), width), shift(instant(end), -1)
     kind = m.schema["time"].dataType
-    emits = grid(
-        F.when(F.lag("bucket").over(order).isNull(), first.cast(kind)).otherwise(F.col("bucket")),
-        F.coalesce(shift(F.lead("bucket").over(order), -1), last.cast(kind)),
-        width,
-    )
-    out = (
-        means.withColumn("__emits", emits)
-        .join(sensor.select("id", "serial_number"), F.col("sensor_id") == F.col("id"))
-        .select("serial_number", "bucket", "measurement", F.explode("__emits").alias("time"))
-        .select("time", F.when(F.col("time") == F.col("bucket"), F.col("measurement")).alias("measurement"),
-                "serial_number")
-    )
+    filled = means.select(
+        "*",
+        F.when(F.lag("bucket").over(order).isNull(), first.cast(kind)).otherwise(F.col("bucket")).alias("__from"),
+        F.coalesce(shift(F.lead("bucket").over(order), -1), last.cast(kind)).alias("__until"),
+    ).join(sensor.select("id", "serial_number"), F.col("sensor_id") == F.col("id"))
+    out = explode_grid(filled, F.col("__from"), F.col("__until"), width, "time").select(
+        "time", F.when(F.col("time") == F.col("bucket"), F.col("measurement")).alias("measurement"),
+        "serial_number")
     return out.orderBy("time", "serial_number") if ordered else out
 
 

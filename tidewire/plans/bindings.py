@@ -218,10 +218,14 @@ def databases(spark, sf) -> DataFrame:
                         .otherwise(F.concat(F.lit("db_"), "l_returnflag")).alias("datname"))
 
 
+def _start_of(unit: str, col: str):
+    return F.trunc(F.col(col).cast("date"), unit).cast("timestamp_ntz")
+
+
 def statement_history(spark, sf) -> DataFrame:
     """Cumulative monthly counters per (supplier, database); the statistics are reset every January."""
-    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")
-    reset = F.date_trunc("year", "created").cast("timestamp_ntz")
+    month = _start_of("month", "l_shipdate")
+    reset = _start_of("year", "created")
     monthly = load(spark, sf, "lineitem").groupBy(
         month.alias("created"), F.col("l_suppkey").alias("queryid"), F.col("l_returnflag").alias("datname")
     ).agg(F.count("*").alias("calls"), F.sum("l_extendedprice").alias("total_exec_time"),
@@ -295,12 +299,17 @@ def activity(spark, sf) -> DataFrame:
 
 
 def locks(spark, sf) -> DataFrame:
-    """Locks: one per line item on its part, held or awaited by the session of its order."""
+    """Locks: one per line item on its order, held or awaited by the session of its supplier."""
     return load(spark, sf, "lineitem").select(
-        F.concat(F.lit("part "), "l_partkey").alias("locktype"), F.col("l_orderkey").alias("pid"),
+        F.concat(F.lit("order "), "l_orderkey").alias("locktype"), F.col("l_suppkey").alias("pid"),
         (F.col("l_linestatus") == "F").alias("granted"))
 
 
+def supplier_sessions(spark, sf) -> DataFrame:
+    return load(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("pid"), F.concat(F.lit("restock nation "), "s_nationkey").alias("query"))
+
+
 def buffers(spark, sf) -> DataFrame:
     """Cached pages: one per line item. The file is the part, the database its return flag, 0 for N."""
     return load(spark, sf, "lineitem").select(
@@ -327,7 +336,7 @@ def table_sizes(spark, sf) -> DataFrame:
 def size_history(spark, sf) -> DataFrame:
     """Total size of every supplier's 'table' at the end of each month."""
     li = load(spark, sf, "lineitem")
-    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")
+    month = _start_of("month", "l_shipdate")
     monthly = li.groupBy(month.alias("created"), F.concat(F.lit("table_"), "l_suppkey").alias("hypertable_name")) \
         .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("added"))
     order = W.partitionBy("hypertable_name").orderBy("created")

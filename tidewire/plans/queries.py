@@ -674,7 +674,7 @@ def null_safe_ratio(spark, sf):
 
 @query
 def blocking_pairs(spark, sf):
-    return health.blocking_pairs(b.locks(spark, sf), b.activity(spark, sf))
+    return health.blocking_pairs(b.locks(spark, sf), b.supplier_sessions(spark, sf))
 
 
 @query
