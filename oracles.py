@@ -477,6 +477,12 @@ ORACLES: dict[str, str] = {
       r AS (SELECT readings.*, id FROM readings LEFT JOIN known USING (serial_number)
         WHERE batch_id NOT IN (SELECT batch_id FROM malformed))
       SELECT time, id AS sensor_id, measurement FROM r WHERE batch_id NOT IN (SELECT batch_id FROM r WHERE id IS NULL)""",
+    "stream_counters": f"""WITH {READINGS}, {MALFORMED}, {KNOWN},
+      r AS (SELECT readings.*, id FROM readings LEFT JOIN known USING (serial_number)
+        WHERE batch_id NOT IN (SELECT batch_id FROM malformed)),
+      bad AS (SELECT DISTINCT batch_id FROM r WHERE id IS NULL)
+      SELECT CASE WHEN batch_id IN (SELECT batch_id FROM bad) THEN 'error' ELSE 'success' END AS status, serial_number,
+        count(*) AS value FROM r GROUP BY 1, 2""",
     "stream_dedup": f"WITH {READINGS} SELECT serial_number, time, measurement FROM readings",
     "stream_registry": "SELECT c_name AS serial_number, c_acctbal AS sample_frequency FROM customer WHERE c_acctbal > 0",
     "stream_logs": PARSED_LOGS,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import Band, banded, null_safe_pct
 from ..functions.timing import instant, micros, seconds_between, width_us
+from .scan import lag_by_block
 
 # Threshold tables. The sources of these bands disagree with each other, so each is kept
 # as its own preset; the unnamed gap of 30 to 60 seconds in sensor_lag:detail is called critical.
@@ -80,19 +81,13 @@ def alerts(frames: Mapping[str, DataFrame], max_connections: int = 50) -> DataFr
 def growing(counts: DataFrame) -> DataFrame:
     """Whether a table's chunk count never fell over the observed ticks and ended higher than it began.
 
-    `counts` has (table_name, created, chunks), one row per tick, so a group is bounded by the ticks.
+    `counts` has (table_name, created, chunks), one row per tick.
     """
-    ordered = counts.groupBy("table_name").agg(
-        F.sort_array(F.collect_list(F.struct("created", "chunks"))).alias("__s")
-    )
-    chunks = F.transform("__s", lambda s: s["chunks"])
-    rises = F.forall(
-        F.arrays_zip(F.slice(chunks, F.lit(1), F.size(chunks) - 1).alias("a"),
-                     F.slice(chunks, F.lit(2), F.size(chunks) - 1).alias("b")),
-        lambda p: p["a"] <= p["b"],
-    )
-    first, newest = F.element_at(chunks, 1), F.element_at(chunks, -1)
-    return ordered.select("table_name", newest.alias("newest"), (rises & (newest > first)).alias("growing"))
+    steps = lag_by_block(counts.select("table_name", "created", "chunks"), ["table_name"], "created", ["chunks"],
+                         "1 day")
+    first, newest = F.min_by("chunks", "created"), F.max_by("chunks", "created")
+    rises = F.every(F.coalesce(F.col("chunks") >= F.col("prev_chunks"), F.lit(True)))
+    return steps.groupBy("table_name").agg(newest.alias("newest"), (rises & (newest > first)).alias("growing"))
 
 
 def io_quadrant(df: DataFrame, written_cut: float, writes_cut: float) -> DataFrame:

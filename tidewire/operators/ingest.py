@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.timing import instant, seconds_between
 
 
-def enrich(readings: DataFrame, sensor: DataFrame, mode: str = "strict", batch: str = "batch_id"
-           ) -> tuple[DataFrame, DataFrame]:
-    """Resolve serials to sensor ids: (rows to write, rejected rows).
+def resolve_sensors(readings: DataFrame, sensor: DataFrame, mode: str = "strict", batch: str = "batch_id"
+                    ) -> DataFrame:
+    """Readings with their ``sensor_id`` and whether they are ``rejected``.
 
     ``strict`` rejects every reading of a message that names an unknown serial; ``quarantine`` rejects
     only the readings with an unknown serial. The registry is joined without a hint: it is broadcast
@@ -24,13 +24,20 @@ def enrich(readings: DataFrame, sensor: DataFrame, mode: str = "strict", batch:
     missing = F.col("sensor_id").isNull()
     if mode == "strict":
         # A message is one broker frame, so the window per message is bounded by the frame size.
-        bad = F.max(missing).over(W.partitionBy(batch))
-    elif mode == "quarantine":
-        bad = missing
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    flagged = rows.withColumn("__bad", bad)
-    return flagged.where(~F.col("__bad")).drop("__bad"), flagged.where("__bad").drop("__bad")
+        return rows.withColumn("rejected", F.max(missing).over(W.partitionBy(batch)))
+    if mode == "quarantine":
+        return rows.withColumn("rejected", missing)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def enrich(readings: DataFrame, sensor: DataFrame, mode: str = "strict", batch: str = "batch_id"
+           ) -> tuple[DataFrame, DataFrame]:
+    """(rows to write, rejected rows), see `resolve_sensors`."""
+    return split_rejected(resolve_sensors(readings, sensor, mode, batch))
+
+
+def split_rejected(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where(~F.col("rejected")).drop("rejected"), rows.where("rejected").drop("rejected")
 
 
 def to_records(rows: DataFrame, arrival: Sequence[str] = ()) -> DataFrame:
@@ -47,6 +54,9 @@ def first_by_arrival(df: DataFrame, keys: Sequence[str], arrival: Sequence[str])
     rest = [c for c in df.columns if c not in keys and c not in arrival]
     if not rest:
         return df.select(*keys).distinct()
+    if not arrival:
+        # Without an arrival order copies are taken to be equal, as the rows of one snapshot are.
+        return df.dropDuplicates(list(keys))
     order = F.col(arrival[0]) if len(arrival) == 1 else F.struct(*arrival)
     return df.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in rest]).select(
         *[c for c in df.columns if c not in arrival])
@@ -88,11 +98,9 @@ def duplicate_keys(batch: DataFrame, target: DataFrame, keys: Sequence[str]) ->
     return held.unionByName(twice)
 
 
-def batch_stats(readings: DataFrame, batch: str = "batch_id", serial: str = "serial_number") -> DataFrame:
+def batch_stats(readings: DataFrame, batch: str = "batch_id", by: Sequence[str] = ("serial_number",)) -> DataFrame:
     """Readings and oldest time per (message, sensor): the oldest gives the worst latency of a message."""
-    return readings.groupBy(batch, serial).agg(
-        F.count("*").alias("n"), F.min("time").alias("oldest_time")
-    )
+    return readings.groupBy(batch, *by).agg(F.count("*").alias("n"), F.min("time").alias("oldest_time"))
 
 
 def end_to_end_seconds(stats: DataFrame, completed: Column) -> DataFrame:

@@ -48,6 +48,12 @@ def select_labels(samples: DataFrame, **labels: str) -> DataFrame:
     return samples
 
 
+def label_columns(samples: DataFrame, *names: str) -> DataFrame:
+    """Labels of the ``labels`` map as columns, the form the range expressions group by."""
+    return samples.select(*[c for c in samples.columns if c != "labels"],
+                          *[F.col("labels")[n].alias(n) for n in names])
+
+
 # ---- building samples -----------------------------------------------------------------------------
 
 def counter(df: DataFrame, labels: Sequence[str], value: Column | None = None) -> DataFrame:

@@ -102,10 +102,13 @@ def gapfill_avg(m: DataFrame, sensor: DataFrame, width: str, start, end, serials
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
-    """The row with the greatest (ts, tie) per key, as an aggregate with map-side combine."""
+    """The row with the greatest (ts, tie) per key, as an aggregate with map-side combine.
+
+    (ts, tie) is unique per key, so every column comes from the same row.
+    """
+    order = F.struct(ts, *tie) if tie else F.col(ts)
     rest = [c for c in df.columns if c not in keys]
-    row = F.max_by(F.struct(*rest), F.struct(ts, *tie))
-    return df.groupBy(*keys).agg(row.alias("__row")).select(*keys, "__row.*")
+    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
 
 
 def reduce(df: DataFrame, value: str, ts: str, by: Sequence[str] = (),

@@ -57,7 +57,7 @@ def named_events(spark, sf) -> DataFrame:
 def readings(spark, sf) -> DataFrame:
     """Decoded readings as they arrive: message id, arrival number, serial, time, value."""
     return named_events(spark, sf).select(
-        (F.col("event_id") / MESSAGE_SIZE).cast("bigint").alias("batch_id"), F.col("event_id").alias("arrival"),
+        F.expr(f"event_id div {MESSAGE_SIZE}").alias("batch_id"), F.col("event_id").alias("arrival"),
         "serial_number", F.col("ts").alias("time"), F.col("value").alias("measurement"))
 
 

@@ -752,6 +752,12 @@ def stream_ingest(spark, sf):
     return streams.ingest(spark, sf)
 
 
+@query
+def stream_counters(spark, sf):
+    """Outcome counters of the streaming ingest."""
+    return streams.counters(spark, sf)
+
+
 @query
 def stream_dedup(spark, sf):
     """Resent readings removed in the stream."""

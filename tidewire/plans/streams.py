@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decode, lifecycle
+from ..operators import decode, lifecycle, metrics
 from ..session import shared_dir
 from ..sources import readers, tables
 from ..streaming import commands as command_stream
@@ -40,25 +40,40 @@ def _table(df: DataFrame, folder: str, partitions=()) -> str:
     return name
 
 
-def ingest(spark: SparkSession, sf: str) -> DataFrame:
-    work = shared_dir(spark, "ingest")
+def _ingest_tables(spark: SparkSession, sf: str, work: str) -> tuple[DataFrame, str, str]:
     sensors = _table(b.valid_sensor(spark, sf), f"{work}/sensor")
     empty = spark.createDataFrame([], "time timestamp, sensor_id bigint, measurement double")
     # Chunks of a day instead of five minutes: the events are spread over a month.
     target = _table(lifecycle.with_chunk(empty, width="1 day"), f"{work}/measurement", tables.MEASUREMENT_PARTITIONS)
     messages = b.raw_measurements(spark, sf).select("batch_id", "arrival", "value")
-    stream = _stream(spark, messages, f"{work}/messages")
+    return _stream(spark, messages, f"{work}/messages"), sensors, target
+
+
+def ingest(spark: SparkSession, sf: str) -> DataFrame:
+    work = shared_dir(spark, "ingest")
+    stream, sensors, target = _ingest_tables(spark, sf, work)
     for attempt in ("first", "replay"):
         ingest_stream.start(stream, sensors, target, f"{work}/checkpoint-{attempt}", chunk="1 day",
                             trigger=ALL).awaitTermination()
-    return spark.table(target).select(F.col("time").cast("timestamp_ntz").alias("time"), "sensor_id", "measurement")
+    return tables.fresh(spark, target).select(F.col("time").cast("timestamp_ntz").alias("time"), "sensor_id", "measurement")
+
+
+def counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurements by outcome and sensor, as the ingest counted them while it ran."""
+    work = shared_dir(spark, "counters")
+    stream, sensors, target = _ingest_tables(spark, sf, work)
+    stats = _table(spark.createDataFrame([], ingest_stream.STATS), f"{work}/stats", ["epoch"])
+    ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", stats=stats, chunk="1 day",
+                        trigger=ALL).awaitTermination()
+    return metrics.counter(tables.fresh(spark, stats), ["status", "serial_number"], F.col("n"))
 
 
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "dedup")
     rows = b.readings(spark, sf).select("serial_number", F.col("time").cast("timestamp").alias("time"), "measurement")
     stream = _stream(spark, rows.unionByName(rows), f"{work}/messages")
-    (ingest_stream.drop_resent(stream).writeStream.format("parquet").option("path", f"{work}/out")
+    # The copies of a reading may lie anywhere in the month of events, and none may count as late.
+    (ingest_stream.drop_resent(stream, "31 days").writeStream.format("parquet").option("path", f"{work}/out")
      .option("checkpointLocation", f"{work}/checkpoint").trigger(**ALL).start().awaitTermination())
     return spark.read.schema(rows.schema).parquet(f"{work}/out").withColumn(
         "time", F.col("time").cast("timestamp_ntz"))
@@ -70,7 +85,7 @@ def registrations(spark: SparkSession, sf: str) -> DataFrame:
     sensors = _table(b.sensor(spark, sf).limit(0), f"{work}/sensor")
     stream = _stream(spark, b.raw_registrations(spark, sf), f"{work}/messages")
     registry_stream.start(stream, sensors, f"{work}/checkpoint", trigger=ALL).awaitTermination()
-    return spark.table(sensors).select("serial_number", "sample_frequency")
+    return tables.fresh(spark, sensors).select("serial_number", "sample_frequency")
 
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +33,13 @@ def create_measurements(spark: SparkSession, name: str) -> None:
     create(lifecycle.with_chunk(empty), name, MEASUREMENT_PARTITIONS)
 
 
+def fresh(spark: SparkSession, name: str) -> DataFrame:
+    """The table as it is now: other sessions (a stream runs in its own) may have written to it, and the
+    file list a session has once read is otherwise kept."""
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def touched(batch: DataFrame, target: DataFrame, col: str) -> DataFrame:
     """The target's rows in partitions the batch also has.
 
@@ -56,24 +62,21 @@ def write(batch: DataFrame, name: str, keys: Sequence[str], arrival: Sequence[st
 
     ``ignore``: first arrival wins, rows whose key is stored are skipped, so writing a batch again adds
     nothing. ``error``: raise `DuplicateKeyError` and write nothing when any key repeats.
+
+    The batch is read for its partition values and again for the append; a caller whose batch is costly
+    to compute persists it.
     """
     spark = batch.sparkSession
-    columns = spark.table(name).columns
-    # Read by the partition list, the duplicate check and the append.
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        target = spark.table(name)
-        if partitions:
-            target = touched(batch, target, partitions[0])
-        full_keys = [*keys, *partitions]
-        if on_conflict == "error":
-            clash = ingest.duplicate_keys(batch, target, full_keys).first()
-            if clash is not None:
-                raise ingest.DuplicateKeyError(str(clash.asDict()))
-        rows = ingest.resolve(batch, target, full_keys, arrival, on_conflict).select(*columns)
-        append(rows, name, partitions)
-    finally:
-        batch.unpersist()
+    target = fresh(spark, name)
+    columns = target.columns
+    if partitions:
+        target = touched(batch, target, partitions[0])
+    full_keys = [*keys, *partitions]
+    if on_conflict == "error":
+        clash = ingest.duplicate_keys(batch, target, full_keys).first()
+        if clash is not None:
+            raise ingest.DuplicateKeyError(str(clash.asDict()))
+    append(ingest.resolve(batch, target, full_keys, arrival, on_conflict).select(*columns), name, partitions)
 
 
 def append(rows: DataFrame, name: str, partitions: Sequence[str] = ()) -> None:
@@ -101,9 +104,11 @@ def create_history(df: DataFrame, name: str) -> None:
 
 # ---- partitions -----------------------------------------------------------------------------------
 
-def partition_values(spark: SparkSession, name: str, col: str) -> DataFrame:
-    """Distinct values of a partition column, answered from the catalog without reading data files."""
-    return spark.table(name).select(col).distinct()
+def partitions(spark: SparkSession, name: str, cols: Sequence[str]) -> DataFrame:
+    """Values of the partition columns as text, from the catalog alone: no data file is opened."""
+    spec = F.str_to_map("partition", F.lit("/"), F.lit("="))
+    listed = spark.sql(f"SHOW PARTITIONS {name}").select(spec.alias("spec"))
+    return listed.select(*[F.replace(F.col("spec")[c], F.lit("%3A"), F.lit(":")).alias(c) for c in cols])
 
 
 def _texts(df: DataFrame, col: str) -> list[str]:
@@ -111,22 +116,23 @@ def _texts(df: DataFrame, col: str) -> list[str]:
     return sorted(r[0] for r in df.select(F.col(col).cast("string")).collect())
 
 
-def _drop(spark: SparkSession, name: str, **values: str) -> None:
-    spec = ", ".join(f"{col} = '{v}'" for col, v in values.items())
-    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+def _drop(spark: SparkSession, name: str, specs: DataFrame) -> int:
+    """Drop the listed partitions, data included. A partition must be named in full to be found."""
+    rows = [", ".join(f"{c} = '{v}'" for c, v in r.asDict().items()) for r in specs.collect()]
+    if rows:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION ({r})" for r in rows))
+    return len(rows)
 
 
-def apply_retention(spark: SparkSession, name: str, keep: str, as_of, col: str = "chunk_start",
+def apply_retention(spark: SparkSession, name: str, keep: str, as_of, cols: Sequence[str] = MEASUREMENT_PARTITIONS,
                     width: str = lifecycle.MEASUREMENT_CHUNK) -> int:
-    """Drop the chunks that ended at least `keep` before `as_of`; returns how many.
+    """Drop the partitions whose chunk ended at least `keep` before `as_of`; returns how many.
 
-    Partition metadata only: one value per chunk, which the retention itself keeps few.
+    The first of `cols` is the chunk's start. Only partition names are handled, which retention itself
+    keeps few.
     """
-    old = partition_values(spark, name, col).where(lifecycle.expired(F.col(col), width, keep, as_of))
-    values = _texts(old, col)
-    for v in values:
-        _drop(spark, name, **{col: v})
-    return len(values)
+    start = F.col(cols[0]).cast("timestamp")
+    return _drop(spark, name, partitions(spark, name, cols).where(lifecycle.expired(start, width, keep, as_of)))
 
 
 def compact(spark: SparkSession, name: str, after: str, as_of, done: Sequence[str] = (),
@@ -135,11 +141,11 @@ def compact(spark: SparkSession, name: str, after: str, as_of, done: Sequence[st
 
     `done` names chunks already compacted, as returned by earlier calls.
     """
-    due = partition_values(spark, name, "chunk_start").where(
-        lifecycle.expired(F.col("chunk_start"), width, after, as_of))
+    due = partitions(spark, name, ["chunk_start"]).distinct().where(
+        lifecycle.expired(F.col("chunk_start").cast("timestamp"), width, after, as_of))
     starts = sorted(set(_texts(due, "chunk_start")) - set(done))
     if starts:
-        rows = spark.table(name)
+        rows = fresh(spark, name)
         kind = rows.schema["chunk_start"].dataType
         _rewrite(rows.where(F.col("chunk_start").isin([F.lit(v).cast(kind) for v in starts])), name)
     return starts
@@ -164,17 +170,17 @@ def delete_measurements(spark: SparkSession, name: str, sensors: DataFrame) -> N
     Partitions that hold such rows are rewritten without them, and dropped where nothing remains: a
     dynamic overwrite leaves a partition alone that receives no rows.
     """
-    m = spark.table(name)
+    m = fresh(spark, name)
     doomed = sensors.select("sensor_id").distinct()
     hit = m.join(doomed, "sensor_id", "left_semi").select(*MEASUREMENT_PARTITIONS).distinct()
     kept = m.join(hit, MEASUREMENT_PARTITIONS, "left_semi").join(doomed, "sensor_id", "left_anti")
     left = kept.select(*MEASUREMENT_PARTITIONS).distinct()
-    # One value per chunk, not per row.
     empty = hit.join(left, MEASUREMENT_PARTITIONS, "left_anti") \
-        .select(F.col("chunk_start").cast("string"), "hash_part").collect()
+        .select(*[F.col(c).cast("string") for c in MEASUREMENT_PARTITIONS])
+    # Written down before the rewrite changes what it is derived from.
+    dropped = spark.createDataFrame(empty.collect(), empty.schema)
     _rewrite(kept.select(*m.columns), name)
-    for r in empty:
-        _drop(spark, name, chunk_start=r.chunk_start, hash_part=r.hash_part)
+    _drop(spark, name, dropped)
 
 
 def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
@@ -193,7 +199,7 @@ def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
 
 def file_catalog(spark: SparkSession, name: str) -> DataFrame:
     """Chunks of a table with their file count and bytes."""
-    files = spark.table(name).groupBy(
+    files = fresh(spark, name).groupBy(
         *MEASUREMENT_PARTITIONS, F.col("_metadata.file_path").alias("file")
     ).agg(F.max("_metadata.file_size").alias("bytes"))
     return files.groupBy(*MEASUREMENT_PARTITIONS).agg(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -11,47 +13,80 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import decode, ingest
 from ..operators.lifecycle import MEASUREMENT_CHUNK
+from ..session import configure
 from ..sources import tables
 
 
+#: Columns of the statistics table, one partition per micro-batch.
+STATS = ("batch_id bigint, serial_number string, status string, n bigint, oldest_time timestamp, "
+         "completed timestamp, seconds double, epoch bigint")
+
+
 class RejectedBatchError(RuntimeError):
     """A micro-batch held messages that may not be skipped."""
 
 
 def drop_resent(readings: DataFrame, within: str = "35 minutes") -> DataFrame:
-    """In-stream pre-filter for copies that arrive close together; the table write stays the exact check."""
+    """In-stream pre-filter for copies that arrive close together; the table write stays the exact check.
+
+    Readings more than `within` behind the newest one are dropped, so it must exceed the retention (here
+    30 minutes and one chunk of 5), after which the table would not keep them either.
+    """
     return readings.withWatermark("time", within).dropDuplicatesWithinWatermark(["serial_number", "time"])
 
 
 def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str, rejected: str | None = None,
-          mode: str = "strict", on_bad: str = "quarantine", arrival: Sequence[str] = ("arrival", "pos"),
-          batch: str = "batch_id", chunk: str = MEASUREMENT_CHUNK, trigger: dict | None = None
-          ) -> StreamingQuery:
+          malformed: str | None = None, stats: str | None = None, mode: str = "strict", on_bad: str = "quarantine",
+          arrival: Sequence[str] = ("arrival", "pos"), batch: str = "batch_id", chunk: str = MEASUREMENT_CHUNK,
+          trigger: dict | None = None) -> StreamingQuery:
     """Start the query. `messages` has (batch_id, arrival, value).
 
     The registry is read anew for every micro-batch, so a sensor is known as soon as it is registered.
-    Rejected readings go to the table `rejected`; with ``on_bad='fail'`` a rejection or a malformed
-    message fails the micro-batch instead, and Spark repeats it from the checkpoint. A repeated or
+    Rejected readings go to the table `rejected` and undecodable messages to the table `malformed`; with
+    ``on_bad='fail'`` either fails the micro-batch instead, and Spark repeats it from the checkpoint. A repeated or
     replayed micro-batch adds nothing to the target, because its keys are stored already.
+
+    The table `stats` receives a row per (message, sensor) with the reading count, oldest time, outcome
+    and completion time: the source of the ingest's counters and latency histograms.
     """
     if on_bad not in ("quarantine", "fail"):
         raise ValueError(f"unknown on_bad {on_bad!r}")
 
-    def handle(micro: DataFrame, _: int) -> None:
+    def handle(micro: DataFrame, epoch: int) -> None:
         spark = micro.sparkSession
-        micro = micro.persist(StorageLevel.MEMORY_AND_DISK)
+        began = time.monotonic()
+        readings, broken = decode.measurements(micro)
+        # Parsed and resolved once, then read by every write below.
+        rows = ingest.resolve_sensors(readings, tables.fresh(spark, sensor_table), mode, batch)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            readings, malformed = decode.measurements(micro)
-            good, bad = ingest.enrich(readings, spark.table(sensor_table), mode, batch)
-            if on_bad == "fail":
-                if bad.select(F.lit(1)).first() or malformed.select(F.lit(1)).first():
-                    raise RejectedBatchError(batch)
-            elif rejected is not None:
-                bad.select(batch, "serial_number", "time", "measurement") \
-                    .write.mode("append").saveAsTable(rejected)
+            good, bad = ingest.split_rejected(rows)
+            if on_bad == "fail" and (bad.select(F.lit(1)).first() or broken.select(F.lit(1)).first()):
+                raise RejectedBatchError(f"micro-batch {epoch}")
+            if rejected is not None:
+                _append_epoch(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
+            if malformed is not None:
+                _append_epoch(broken.select(batch, "value"), malformed, epoch)
             tables.write_measurements(ingest.to_records(good, arrival), target, arrival, chunk=chunk)
+            if stats is not None:
+                status = F.when(F.col("rejected"), F.lit("error")).otherwise(F.lit("success"))
+                done = ingest.batch_stats(rows.withColumn("status", status), batch, ("serial_number", "status"))
+                done = done.withColumn("completed", F.lit(datetime.now(timezone.utc))) \
+                    .withColumn("seconds", F.lit(time.monotonic() - began))
+                _append_epoch(done, stats, epoch)
         finally:
-            micro.unpersist()
+            rows.unpersist()
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def _append_epoch(rows: DataFrame, name: str, epoch: int) -> None:
+    """Write the rows of a micro-batch as their own partition, replacing what an interrupted attempt at
+    it has left."""
+    spark = configure(rows.sparkSession)
+    rows = rows.withColumn("epoch", F.lit(epoch).cast("bigint"))
+    if spark.catalog.tableExists(name):
+        rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    else:
+        rows.write.partitionBy("epoch").format("parquet").saveAsTable(name)

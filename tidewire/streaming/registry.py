@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import decode, registry
+from ..sources import tables
 
 
 def start(messages: DataFrame, sensor_table: str, checkpoint: str, arrival: Sequence[str] = ("arrival",),
@@ -19,7 +20,7 @@ def start(messages: DataFrame, sensor_table: str, checkpoint: str, arrival: Sequ
         spark = micro.sparkSession
         rows, _malformed = decode.registrations(micro)
         rows, _invalid = decode.split_valid(rows, decode.SENSOR_RULES)
-        sensor = spark.table(sensor_table)
+        sensor = tables.fresh(spark, sensor_table)
         new = registry.insert_missing(rows, sensor, "serial_number", arrival)
         for c in sensor.columns:
             if c not in new.columns:
