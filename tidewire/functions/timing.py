@@ -77,7 +77,7 @@ def explode_grid(df: DataFrame, first: Column, last: Column, width: str | timede
     # sequence() counts downwards when its bounds are reversed, so that case is cut explicitly.
     upto = F.when(steps >= 0, F.sequence(F.lit(0), F.greatest(steps, F.lit(0))))
     points = df.withColumn("__first", first).withColumn("__i", F.explode(upto))
-    return points.withColumn(name, shift("__first", F.col("__i") * F.lit(w))).drop("__first", "__i")
+    return points.withColumn(name, shift("__first", F.col("__i").cast("bigint") * F.lit(w))).drop("__first", "__i")
 
 
 def slot(us: Column, width: int) -> Column:
