@@ -310,6 +310,17 @@ ORACLES: dict[str, str] = {
       SELECT user_id, CASE WHEN le = 'infinity'::DOUBLE THEN -1.0 ELSE le END AS le,
         (SELECT count(*) FROM st WHERE st.user_id = totals.user_id AND value <= le) AS bucket_count,
         c AS total_count, s AS total_sum FROM totals CROSS JOIN bounds""",
+    "batch_size_histogram": f"""WITH {READINGS}, n AS (SELECT batch_id, count(*) AS n FROM readings GROUP BY 1),
+      bounds AS (SELECT (2.0 ** i)::DOUBLE AS le FROM generate_series(0, 19) t(i) UNION ALL SELECT 'infinity'::DOUBLE)
+      SELECT CASE WHEN le = 'infinity'::DOUBLE THEN -1.0 ELSE le END AS le, count(*) FILTER (WHERE n <= le) AS bucket_count,
+        count(*) AS messages, sum(n)::BIGINT AS readings FROM n CROSS JOIN bounds GROUP BY bounds.le""",
+    "latency_histogram": f"""WITH {READINGS}, done AS (SELECT batch_id, max(time) AS completed FROM readings GROUP BY 1),
+      l AS (SELECT serial_number, batch_id, round(epoch(any_value(completed) - min(time)), 6) AS v
+        FROM readings JOIN done USING (batch_id) GROUP BY 1, 2),
+      bounds AS (SELECT 0.01::DOUBLE * (2.0 ** i)::DOUBLE AS le FROM generate_series(0, 11) t(i) UNION ALL SELECT 'infinity'::DOUBLE)
+      SELECT serial_number, CASE WHEN le = 'infinity'::DOUBLE THEN -1.0 ELSE round(le, 6) END AS le,
+        count(*) FILTER (WHERE v <= le) AS bucket_count, count(*) AS observations, round(sum(v), 3) AS total_seconds
+      FROM l CROSS JOIN bounds GROUP BY serial_number, bounds.le""",
     "counter_rate": f"""WITH {PROCESSED}, {rate('r', 'samples', 'status, instance, user_id', "'6 hours'", "'2 hours'", "status = 'success'")}
       SELECT step, user_id, round(sum(rate), 9) AS rate FROM r GROUP BY 1, 2""",
     "counter_rate_total": f"""WITH {PROCESSED}, {rate('r', 'samples', 'status, instance, user_id', "'6 hours'", "'2 hours'", "status = 'success'")}

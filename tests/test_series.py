@@ -61,6 +61,14 @@ def test_time_range_prunes_chunks(spark, name):
     assert filters.count("chunk_start") >= 2
 
 
+def test_point_lookup_prunes_hash_partitions(spark, name):
+    tables.create_measurements(spark, name)
+    tables.write_measurements(measurements(spark, DATA).withColumn("arrival", F.lit(1)), name, ["arrival"])
+    q = lifecycle.of_sensors(tables.fresh(spark, name), [2])
+    assert sorted(r.measurement for r in q.collect()) == [7.0, 9.0]
+    assert "hash_part" in q._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_lag_shows_silent_sensors(spark):
     s = registry(spark).unionByName(spark.createDataFrame([(4, "D", 1.0)], registry(spark).schema))
     got = {r.serial_number: r.lag_seconds for r in

@@ -64,6 +64,12 @@ def measurements(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataF
     return rows, parsed.where(broken).drop("__msg")
 
 
+def message_sizes(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Readings per message; an undecodable message was received too and counts 0."""
+    return _parsed(raw, schemas.MEASUREMENT_PAYLOAD, value).select(
+        *[c for c in raw.columns if c != value], F.coalesce(F.size("__msg"), F.lit(0)).alias("batch_size"))
+
+
 def _single(raw: DataFrame, schema: str, value: str, required: Sequence[str],
             fields: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     parsed = _parsed(raw, schema, value)

@@ -168,10 +168,9 @@ def blocking_pairs(locks: DataFrame, activity: DataFrame) -> DataFrame:
     per (type, statement) on both sides before the join, and pairs of a session with itself are taken
     off afterwards, so lock pairs are never enumerated.
     """
-    named = locks.join(activity.select("pid", "query"), "pid")
-    per_session = named.groupBy("locktype", "pid", "query").agg(
+    per_session = locks.groupBy("locktype", "pid").agg(
         F.count("*").alias("held"), F.count_if(~F.col("granted")).alias("waiting")
-    )
+    ).join(activity.select("pid", "query"), "pid")
     # pairs(a, b) = waiting(a) · held(b), minus each session's pairs with itself (there a = b).
     per_statement = per_session.groupBy("locktype", "query").agg(
         F.sum("held").alias("held"), F.sum("waiting").alias("waiting"),

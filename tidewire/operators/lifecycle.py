@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ def with_chunk(df: DataFrame, ts: str = "time", width: str = MEASUREMENT_CHUNK,
     return df if key is None else df.withColumn("hash_part", F.pmod(F.col(key), F.lit(n)).cast("int"))
 
 
+def of_sensors(df: DataFrame, ids: Sequence[int], key: str = "sensor_id", n: int = MEASUREMENT_HASH_PARTS
+               ) -> DataFrame:
+    """Rows of the listed sensors, read from their hash partitions only."""
+    return df.where(F.col(key).isin(list(ids)) & F.col("hash_part").isin(sorted({i % n for i in ids})))
+
+
 def expired(chunk_start: Column | str, width: str, keep: str, as_of) -> Column:
     """A chunk expires as a whole, once its end is `keep` old."""
     return micros(chunk_start) + F.lit(width_us(width) + width_us(keep)) <= micros(instant(as_of))

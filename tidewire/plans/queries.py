@@ -355,6 +355,27 @@ def histogram_build(spark, sf):
                       "bucket_count", F.col("count").alias("total_count"), r6("sum").alias("total_sum"))
 
 
+@query
+def batch_size_histogram(spark, sf):
+    """Messages received, by their number of readings."""
+    sizes = decode.message_sizes(b.raw_measurements(spark, sf))
+    out = metrics.histogram(sizes, "batch_size", metrics.exponential_bounds(*metrics.BATCH_SIZE_BUCKETS))
+    return out.select(F.when(F.col("le") == metrics.INF, -1.0).otherwise(F.col("le")).alias("le"), "bucket_count",
+                      F.col("count").alias("messages"), F.col("sum").alias("readings"))
+
+
+@query
+def latency_histogram(spark, sf):
+    """End-to-end latency per sensor, a message being complete when its last reading was taken."""
+    rows = b.readings(spark, sf)
+    done = rows.groupBy("batch_id").agg(F.max("time").alias("completed"))
+    stats = ingest.end_to_end_seconds(ingest.batch_stats(rows).join(done, "batch_id"), F.col("completed"))
+    out = metrics.histogram(stats, "latency_seconds", metrics.exponential_bounds(*metrics.END_TO_END_SECONDS_BUCKETS),
+                            ["serial_number"])
+    return out.select("serial_number", F.when(F.col("le") == metrics.INF, -1.0).otherwise(r6("le")).alias("le"),
+                      "bucket_count", F.col("count").alias("observations"), F.round("sum", 3).alias("total_seconds"))
+
+
 _SERIES = ["status", "instance", "user_id"]
 
 

@@ -170,8 +170,10 @@ def delete_measurements(spark: SparkSession, name: str, sensors: DataFrame) -> N
     Partitions that hold such rows are rewritten without them, and dropped where nothing remains: a
     dynamic overwrite leaves a partition alone that receives no rows.
     """
-    m = fresh(spark, name)
     doomed = sensors.select("sensor_id").distinct()
+    # At most as many values as there are hash partitions.
+    parts = doomed.select(F.pmod("sensor_id", F.lit(lifecycle.MEASUREMENT_HASH_PARTS)).alias("p")).distinct().collect()
+    m = fresh(spark, name).where(F.col("hash_part").isin([r.p for r in parts]))
     hit = m.join(doomed, "sensor_id", "left_semi").select(*MEASUREMENT_PARTITIONS).distinct()
     kept = m.join(hit, MEASUREMENT_PARTITIONS, "left_semi").join(doomed, "sensor_id", "left_anti")
     left = kept.select(*MEASUREMENT_PARTITIONS).distinct()

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import decode, ingest
 from ..operators.lifecycle import MEASUREMENT_CHUNK
-from ..session import configure
+from ..session import ROCKSDB_PROVIDER, configure
 from ..sources import tables
 
 
@@ -32,6 +32,7 @@ def drop_resent(readings: DataFrame, within: str = "35 minutes") -> DataFrame:
     Readings more than `within` behind the newest one are dropped, so it must exceed the retention (here
     30 minutes and one chunk of 5), after which the table would not keep them either.
     """
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     return readings.withWatermark("time", within).dropDuplicatesWithinWatermark(["serial_number", "time"])
 
 
