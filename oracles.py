@@ -19,7 +19,7 @@ means AS (SELECT time_bucket(INTERVAL '1 hour', time) AS bucket, sensor_id, avg(
   WHERE time >= {START} AND time < {AS_OF} GROUP BY 1, 2),
 spine AS (SELECT s.sensor_id, t.bucket FROM (SELECT DISTINCT sensor_id FROM means) s,
   (SELECT unnest(generate_series({START}, {AS_OF} - INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS bucket) t),
-filled AS (SELECT spine.bucket AS time, round(v, 6) AS measurement, serial_number
+filled AS (SELECT spine.bucket AS time, round(v, 9) AS measurement, serial_number
   FROM spine LEFT JOIN means USING (sensor_id, bucket) JOIN sensor ON sensor.id = spine.sensor_id)"""
 
 STATUS = """st AS (SELECT ts, user_id, value, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
@@ -215,11 +215,11 @@ ORACLES: dict[str, str] = {
     "series_raw_range": f"""WITH {SENSOR}, {MEASUREMENT} SELECT time, measurement, serial_number FROM m JOIN sensor ON sensor_id = id
       WHERE sample_frequency > 0 AND time >= {START} AND time < {AS_OF}""",
     "bucket_weekly": f"""WITH {MEASUREMENT} SELECT time_bucket(INTERVAL '1 week', time) AS bucket, sensor_id,
-      round(avg(measurement), 6) AS measurement, count(*) AS n FROM m GROUP BY 1, 2""",
+      round(avg(measurement), 9) AS measurement, count(*) AS n FROM m GROUP BY 1, 2""",
     "panel_reducers": f"""WITH {SENSOR}, {MEASUREMENT}, {GAPFILL} SELECT serial_number,
       arg_max(measurement, time) FILTER (WHERE measurement IS NOT NULL) AS last_not_null,
       arg_max(CASE WHEN measurement IS NOT NULL THEN measurement END, time) FILTER (WHERE time = {AS_OF} - INTERVAL 1 HOUR) AS last_value,
-      round(avg(measurement), 6) AS mean_value, max(measurement) AS max_value, round(sum(measurement), 6) AS sum_value,
+      round(avg(measurement), 9) AS mean_value, max(measurement) AS max_value, round(sum(measurement), 6) AS sum_value,
       round(quantile_cont(measurement, 0.99), 6) AS p99_value FROM filled GROUP BY 1""",
     "latest_per_key": f"WITH {MEASUREMENT} SELECT sensor_id, max(time) AS time, arg_max(measurement, time) AS measurement FROM m GROUP BY 1",
     "sensor_counts": f"""WITH {SENSOR}, {MEASUREMENT} SELECT serial_number, count(sensor_id) AS row_count,
@@ -319,7 +319,7 @@ ORACLES: dict[str, str] = {
         FROM readings JOIN done USING (batch_id) GROUP BY 1, 2),
       bounds AS (SELECT 0.01::DOUBLE * (2.0 ** i)::DOUBLE AS le FROM generate_series(0, 11) t(i) UNION ALL SELECT 'infinity'::DOUBLE)
       SELECT serial_number, CASE WHEN le = 'infinity'::DOUBLE THEN -1.0 ELSE round(le, 6) END AS le,
-        count(*) FILTER (WHERE v <= le) AS bucket_count, count(*) AS observations, round(sum(v), 3) AS total_seconds
+        count(*) FILTER (WHERE v <= le) AS bucket_count, count(*) AS observations, round(sum(v), 6) AS total_seconds
       FROM l CROSS JOIN bounds GROUP BY serial_number, bounds.le""",
     "counter_rate": f"""WITH {PROCESSED}, {rate('r', 'samples', 'status, instance, user_id', "'6 hours'", "'2 hours'", "status = 'success'")}
       SELECT step, user_id, round(sum(rate), 9) AS rate FROM r GROUP BY 1, 2""",

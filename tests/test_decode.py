@@ -56,6 +56,9 @@ MESSAGES = [
     (7, '[{"SerialNumber":"A","Timestamp":"2025-01-07T11:32:18Z","Value":1},{"SerialNumber":"B"}]'),
     (8, '[{"SerialNumber":"A","Timestamp":"yesterday","Value":1}]'),
     (9, None),
+    (10, '{"SerialNumber":"A","Timestamp":"2025-01-07T11:32:18Z","Value":1}'),
+    (11, '[{"SerialNumber":"A","Timestamp":"2025-01-07T11:32:18Z","Value":1}] and more'),
+    (12, ' [ {"Value":7,"Timestamp":"2025-01-07T11:32:18Z",\n"SerialNumber":"A"} ]\n'),
 ]
 
 
@@ -68,8 +71,9 @@ def test_measurements(spark):
         (1, 0, "A", "2025-01-07 11:32:18.123456", 1.5),
         (2, 0, "A", "2025-01-07 11:32:18.5", 2.0),
         (2, 1, "B", "2025-01-07 11:32:19", -3.25),
+        (12, 0, "A", "2025-01-07 11:32:18", 7.0),
     ]
-    assert sorted(r.batch_id for r in bad.collect()) == [4, 5, 6, 7, 8, 9]
+    assert sorted(r.batch_id for r in bad.collect()) == [4, 5, 6, 7, 8, 9, 10, 11]
 
 
 def test_a_message_is_parsed_once(spark):
@@ -78,15 +82,22 @@ def test_a_message_is_parsed_once(spark):
     assert plan.count("from_json") == 1
 
 
+def test_message_sizes(spark):
+    raw = spark.createDataFrame(MESSAGES, "batch_id int, value string")
+    got = {r.batch_id: r.batch_size for r in decode.message_sizes(raw).collect()}
+    assert got == {1: 1, 2: 2, 3: 0, 4: 0, 5: 1, 6: 1, 7: 2, 8: 1, 9: 0, 10: 0, 11: 0, 12: 1}
+
+
 def test_commands_keep_their_parameters(spark):
     raw = spark.createDataFrame([
         ('{"SerialNumber":"A","Timestamp":"2025-01-01T00:00:00Z","Command":"changeSampleFrequency",'
          '"Params":{"sampleFrequency":"1000"}}',),
-        ('{"SerialNumber":"A","Timestamp":"2025-01-01T00:00:00Z","Command":"sleep"}',), ("[1]",)], "value string")
+        ('{"SerialNumber":"A","Timestamp":"2025-01-01T00:00:00Z","Command":"sleep"}',), ("[1]",),
+        ('[{"SerialNumber":"A","Timestamp":"2025-01-01T00:00:00Z","Command":"sleep"}]',)], "value string")
     good, bad = decode.commands(raw)
     assert sorted((r.command, (r.params or {}).get("sampleFrequency")) for r in good.collect()) == [
         ("changeSampleFrequency", "1000"), ("sleep", None)]
-    assert bad.count() == 1
+    assert bad.count() == 2
 
 
 def test_unnest_pads_the_shorter_array(spark):

@@ -35,10 +35,17 @@ def matched_routes(topic: Column) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+# The JSON reader takes an object for an array of one, and ignores what follows a value.
+_ARRAY, _OBJECT = r"(?s)\A\s*\[.*\]\s*\z", r"(?s)\A\s*\{.*\}\s*\z"
+
+
 def _parsed(raw: DataFrame, schema: str, value: str) -> DataFrame:
+    """The messages with ``__msg``, NULL where the text is no JSON of the schema's shape."""
+    shape = _ARRAY if schema.startswith("array") else _OBJECT
+    msg = F.when(F.col(value).rlike(shape), F.from_json(value, schema))
     # Wrapped in a generator, the parse stays one step of its own. As a plain column it would be copied
     # into every condition and field that uses it, and each message parsed several times.
-    return raw.select("*", F.explode(F.array(F.from_json(value, schema))).alias("__msg"))
+    return raw.select("*", F.explode(F.array(msg)).alias("__msg"))
 
 
 def measurements(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -104,17 +104,18 @@ def table_key(schema: str = "schemaname", table: str = "relname"):
     return qualified_name(F.col(schema), F.col(table))
 
 
-def take(inputs: Mapping[str, DataFrame], as_of, stats_reset=None, datname: str | None = DATABASE
-         ) -> dict[str, DataFrame]:
+def take(inputs: Mapping[str, DataFrame], as_of, stats_reset=None, datname: str | None = DATABASE,
+         base: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every frame one tick records, keyed by history table, all stamped with the same `as_of`.
 
     `inputs` may hold any of: statements+kcache+roles+databases, tables, database, activity, sizes.
-    The caller schedules ticks and appends with the conflict mode of each table.
+    `base` replaces the joined statements where the caller has them at hand.
     """
     out: dict[str, DataFrame] = {}
-    if "statements" in inputs:
+    if base is None and "statements" in inputs:
         base = statement_base(inputs["statements"], inputs["kcache"], inputs["roles"], inputs["databases"],
                               datname)
+    if base is not None:
         out["queries"] = query_dim(base)
         out["snapshots"] = snapshot_totals(base, as_of, stats_reset if stats_reset is not None else as_of)
         out["statements"] = statement_rows(base, as_of)

@@ -1,6 +1,7 @@
 """Every operator as a runnable query over the benchmark tables: name -> (spark, sf_dir) -> DataFrame.
 
-Sums and means of doubles are rounded to six decimals, since the order of summation is not fixed.
+Sums and means of doubles are rounded, since the order of summation is not fixed: sums of decimal
+fractions to the six digits they have, means to nine.
 """
 
 from __future__ import annotations
@@ -35,12 +36,16 @@ def r6(col):
     return F.round(col, 6)
 
 
+def r9(col):
+    return F.round(col, 9)
+
+
 # ---- series ---------------------------------------------------------------------------------------
 
 @query
 def series_gapfill(spark, sf):
     out = series.gapfill_avg(b.measurement(spark, sf), b.sensor(spark, sf), "1 hour", *b.RANGE)
-    return out.withColumn("measurement", r6("measurement"))
+    return out.withColumn("measurement", r9("measurement"))
 
 
 @query
@@ -58,16 +63,16 @@ def series_raw_range(spark, sf):
 @query
 def bucket_weekly(spark, sf):
     out = series.bucket_avg(b.measurement(spark, sf), "1 week")
-    return out.select("bucket", "sensor_id", r6("measurement").alias("measurement"), "n")
+    return out.select("bucket", "sensor_id", r9("measurement").alias("measurement"), "n")
 
 
 @query
 def panel_reducers(spark, sf):
     """Reducers over each sensor's gap-filled hourly series."""
     grid = series.gapfill_avg(b.measurement(spark, sf), b.sensor(spark, sf), "1 hour", *b.RANGE, ordered=False)
-    out = series.reduce(grid.withColumn("measurement", r6("measurement")), "measurement", "time", ["serial_number"])
+    out = series.reduce(grid.withColumn("measurement", r9("measurement")), "measurement", "time", ["serial_number"])
     return out.select("serial_number", F.col("lastNotNull").alias("last_not_null"), F.col("last").alias("last_value"),
-                      r6("mean").alias("mean_value"), F.col("max").alias("max_value"),
+                      r9("mean").alias("mean_value"), F.col("max").alias("max_value"),
                       r6("sum").alias("sum_value"), r6("p99").alias("p99_value"))
 
 
@@ -373,7 +378,7 @@ def latency_histogram(spark, sf):
     out = metrics.histogram(stats, "latency_seconds", metrics.exponential_bounds(*metrics.END_TO_END_SECONDS_BUCKETS),
                             ["serial_number"])
     return out.select("serial_number", F.when(F.col("le") == metrics.INF, -1.0).otherwise(r6("le")).alias("le"),
-                      "bucket_count", F.col("count").alias("observations"), F.round("sum", 3).alias("total_seconds"))
+                      "bucket_count", F.col("count").alias("observations"), r6("sum").alias("total_seconds"))
 
 
 _SERIES = ["status", "instance", "user_id"]

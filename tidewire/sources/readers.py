@@ -45,13 +45,15 @@ def foreign_view(spark: SparkSession, name: str, path: str) -> DataFrame:
 # ---- streams --------------------------------------------------------------------------------------
 
 def kafka_stream(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
-    """Messages as (topic, value, arrival). Without a stored offset the read starts at the first one."""
+    """Messages as (topic, batch_id, value, arrival). Without a stored offset the read starts at the first
+    one."""
     raw = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
         .option("subscribePattern", topics).option("startingOffsets", "earliest").options(**options).load()
     )
     return raw.select(
-        "topic", F.col("value").cast("string").alias("value"),
+        "topic", F.concat_ws("/", "topic", "partition", "offset").alias("batch_id"),
+        F.col("value").cast("string").alias("value"),
         F.struct("partition", "offset").alias("arrival"),
     )
 
@@ -65,6 +67,16 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType | str, glob
     return reader.load(folder)
 
 
+def message_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """One message per file, as (batch_id, arrival, value). Files arrive in the order they were written."""
+    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
+    return raw.select(
+        F.col("_metadata.file_path").alias("batch_id"),
+        F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")).alias("arrival"),
+        "value",
+    )
+
+
 def log_file_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Lines appended as new files of a log folder."""
     return spark.readStream.text(folder)
