@@ -208,6 +208,20 @@ PARSED_LOGS = f"""WITH {LOGS} SELECT try_cast(regexp_extract(line, '(?:^| )time=
   regexp_extract(line, '(?:^| )logger="([^"]*)"', 1) AS logger, regexp_extract(line, '(?:^| )level="([^"]*)"', 1) AS level,
   regexp_extract(line, '(?:^| )message="([^"]*)"', 1) AS message FROM lines"""
 
+COMMAND_LOGS = f"""WITH {COMMANDS}, {STATE}, hz AS (SELECT *, regexp_replace(was_hz::VARCHAR, '\\.0$', '') AS was_text,
+        regexp_replace(sets_hz::VARCHAR, '\\.0$', '') AS new_text FROM tl),
+      one AS (SELECT serial_number, time, arrival, 0 AS seq,
+        CASE WHEN command IN ('sleep', 'awake') OR (command = 'changeSampleFrequency' AND sets_hz IS NOT NULL) THEN 'INFO' ELSE 'WARNING' END AS level,
+        CASE WHEN command = 'sleep' AND was_asleep THEN 'sensor is already in a sleep state' WHEN command = 'sleep' THEN 'sensor is set to sleep'
+          WHEN command = 'awake' AND was_asleep THEN 'sensor is awake from sleep at ' || was_text || ' [Hz]'
+          WHEN command = 'awake' THEN 'sensor is already in an awake state'
+          WHEN command = 'changeSampleFrequency' AND sets_hz IS NULL THEN 'SampleFrequency is not a number. Skipping...'
+          WHEN command = 'changeSampleFrequency' THEN 'Sample frequency changed to ' || new_text || ' [Hz]'
+          ELSE 'not a valid command' END AS message FROM hz)
+      SELECT * FROM one UNION ALL SELECT serial_number, time, arrival, 1, 'INFO',
+        'changes of sample frequency applied, but sensor is currently in a sleep state' FROM hz
+        WHERE command = 'changeSampleFrequency' AND sets_hz IS NOT NULL AND was_asleep"""
+
 ORACLES: dict[str, str] = {
     # ---- series ----
     "series_gapfill": f"WITH {SENSOR}, {MEASUREMENT}, {GAPFILL} SELECT * FROM filled",
@@ -470,19 +484,7 @@ ORACLES: dict[str, str] = {
       coalesce(arg_max(sets_asleep, (time, arrival)) FILTER (WHERE sets_asleep IS NOT NULL), false) AS asleep,
       coalesce(arg_max(sets_hz, (time, arrival)) FILTER (WHERE sets_hz IS NOT NULL), any_value(c_acctbal)) AS sample_frequency
       FROM eff GROUP BY 1""",
-    "command_logs": f"""WITH {COMMANDS}, {STATE}, hz AS (SELECT *, regexp_replace(was_hz::VARCHAR, '\\.0$', '') AS was_text,
-        regexp_replace(sets_hz::VARCHAR, '\\.0$', '') AS new_text FROM tl),
-      one AS (SELECT serial_number, time, arrival, 0 AS seq,
-        CASE WHEN command IN ('sleep', 'awake') OR (command = 'changeSampleFrequency' AND sets_hz IS NOT NULL) THEN 'INFO' ELSE 'WARNING' END AS level,
-        CASE WHEN command = 'sleep' AND was_asleep THEN 'sensor is already in a sleep state' WHEN command = 'sleep' THEN 'sensor is set to sleep'
-          WHEN command = 'awake' AND was_asleep THEN 'sensor is awake from sleep at ' || was_text || ' [Hz]'
-          WHEN command = 'awake' THEN 'sensor is already in an awake state'
-          WHEN command = 'changeSampleFrequency' AND sets_hz IS NULL THEN 'SampleFrequency is not a number. Skipping...'
-          WHEN command = 'changeSampleFrequency' THEN 'Sample frequency changed to ' || new_text || ' [Hz]'
-          ELSE 'not a valid command' END AS message FROM hz)
-      SELECT * FROM one UNION ALL SELECT serial_number, time, arrival, 1, 'INFO',
-        'changes of sample frequency applied, but sensor is currently in a sleep state' FROM hz
-        WHERE command = 'changeSampleFrequency' AND sets_hz IS NOT NULL AND was_asleep""",
+    "command_logs": COMMAND_LOGS,
     # ---- streams ----
     "stream_ingest": f"""WITH {READINGS}, {MALFORMED}, {KNOWN},
       r AS (SELECT readings.*, id FROM readings LEFT JOIN known USING (serial_number)
@@ -499,6 +501,8 @@ ORACLES: dict[str, str] = {
     "stream_logs": PARSED_LOGS,
     "stream_commands": f"""WITH {COMMANDS}, {STATE} SELECT serial_number, arrival, was_asleep, was_hz,
       coalesce(sets_asleep, was_asleep) AS asleep, coalesce(sets_hz, was_hz) AS hz FROM tl""",
+    "stream_reports": COMMAND_LOGS,
+    "stream_reports_folded": COMMAND_LOGS,
     "stream_pack": f"""WITH {NAMED} SELECT serial_number, date_trunc('second', ts)::TIMESTAMP AS period_start, count(*)::INTEGER AS n
       FROM named GROUP BY 1, 2""",
 }

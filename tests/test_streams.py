@@ -170,16 +170,39 @@ def test_command_fold(spark, command_messages, initial):
         assert texts == {s: v[2] for s, v in SEQUENCES.items()}
 
 
+def command_stream(spark, folder):
+    parsed, _ = decode.commands(readers.file_stream(spark, folder, "batch_id int, arrival bigint, value string", max_files=1))
+    return parsed
+
+
+def reported(spark, folder):
+    texts = {}
+    for r in spark.read.parquet(f"{folder}/reports").orderBy("time", "arrival", "seq").collect():
+        texts.setdefault(r.serial_number, []).append(r.message)
+    return texts
+
+
 def test_command_stream_equals_the_fold(spark, command_messages, initial, tmp_path):
-    schema = "batch_id int, arrival bigint, value string"
-    parsed, _ = decode.commands(readers.file_stream(spark, command_messages, schema, max_files=1))
-    commands.start(parsed, initial, f"{tmp_path}/out", f"{tmp_path}/c", trigger=ALL).awaitTermination()
-    got = spark.read.schema(commands.OUTPUT).parquet(f"{tmp_path}/out")
+    commands.start(command_stream(spark, command_messages), initial, f"{tmp_path}/out", f"{tmp_path}/c",
+                   trigger=ALL).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/states").select(
+        "serial_number", "arrival", "was_asleep", "was_hz", "asleep", "hz")
     batch, _ = decode.commands(spark.read.parquet(command_messages))
     want = ops.timeline(batch, initial).select(
         "serial_number", "arrival", "was_asleep", "was_hz", F.coalesce("sets_asleep", "was_asleep"),
         F.coalesce("sets_hz", "was_hz"))
     assert rows(got) == rows(want)
+    assert reported(spark, f"{tmp_path}/out") == {s: v[2] for s, v in SEQUENCES.items()}
+
+
+def test_folded_command_stream(spark, command_messages, initial, name, tmp_path):
+    tables.create(spark.createDataFrame([], commands.STATE), name, ["epoch"])
+    commands.start_folded(command_stream(spark, command_messages), initial, name, f"{tmp_path}/out", f"{tmp_path}/c",
+                          trigger=ALL).awaitTermination()
+    assert reported(spark, f"{tmp_path}/out") == {s: v[2] for s, v in SEQUENCES.items()}
+    newest = tables.fresh(spark, name).where("epoch = 1")
+    assert {r.serial_number: (r.asleep, r.sample_frequency) for r in newest.collect()} == {
+        s: v[1] for s, v in SEQUENCES.items()}
 
 
 def test_packing_stream(spark, tmp_path):

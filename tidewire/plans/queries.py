@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import ratios, text
-from ..functions.timing import bucket, instant, micros, shift
+from ..functions.timing import bucket, instant
 from ..operators import commands as cmd
 from ..operators import decode, health, ingest, lifecycle, metrics, registry, series, snapshots
 from ..session import configure
@@ -805,6 +805,18 @@ def stream_commands(spark, sf):
     return streams.commands(spark, sf)
 
 
+@query
+def stream_reports(spark, sf):
+    """Log records the commands cause, from the keyed stream."""
+    return streams.reports(spark, sf, "keyed")
+
+
+@query
+def stream_reports_folded(spark, sf):
+    """The same from the stream that folds each micro-batch as a whole."""
+    return streams.reports(spark, sf, "folded")
+
+
 @query
 def stream_pack(spark, sf):
     return streams.pack(spark, sf)

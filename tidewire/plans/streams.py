@@ -96,14 +96,33 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
+def _commands(spark: SparkSession, sf: str, work: str) -> tuple[DataFrame, DataFrame]:
+    initial = b.sensor(spark, sf).select("serial_number", F.lit(False).alias("asleep"), "sample_frequency")
+    rows, _ = decode.commands(_stream(spark, b.raw_commands(spark, sf), f"{work}/messages"))
+    return rows, initial
+
+
 def commands(spark: SparkSession, sf: str) -> DataFrame:
-    """State of every sensor after each of its commands."""
+    """State of every sensor before and after each of its commands."""
     work = shared_dir(spark, "commands")
-    initial = b.sensor(spark, sf).select("serial_number", F.lit(False).alias("asleep"), "sample_frequency")
-    stream = _stream(spark, b.raw_commands(spark, sf), f"{work}/messages")
-    rows, _ = decode.commands(stream)
+    rows, initial = _commands(spark, sf, work)
     command_stream.start(rows, initial, f"{work}/out", f"{work}/checkpoint", trigger=ALL).awaitTermination()
-    return spark.read.schema(command_stream.OUTPUT).parquet(f"{work}/out")
+    out = spark.read.schema(command_stream.OUTPUT).parquet(f"{work}/out/states")
+    return out.select("serial_number", "arrival", "was_asleep", "was_hz", "asleep", "hz")
+
+
+def reports(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    """Log records caused by the commands, from the keyed or the folded stream."""
+    work = shared_dir(spark, "reports")
+    rows, initial = _commands(spark, sf, work)
+    if form == "keyed":
+        query = command_stream.start(rows, initial, f"{work}/out", f"{work}/checkpoint", trigger=ALL)
+    else:
+        state = _table(spark.createDataFrame([], command_stream.STATE), f"{work}/state", ["epoch"])
+        query = command_stream.start_folded(rows, initial, state, f"{work}/out", f"{work}/checkpoint", "7 days", ALL)
+    query.awaitTermination()
+    return spark.read.parquet(f"{work}/out/reports").drop("epoch").withColumn(
+        "time", F.col("time").cast("timestamp_ntz"))
 
 
 def pack(spark: SparkSession, sf: str) -> DataFrame:

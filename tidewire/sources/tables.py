@@ -124,6 +124,11 @@ def _drop(spark: SparkSession, name: str, specs: DataFrame) -> int:
     return len(rows)
 
 
+def drop_before(spark: SparkSession, name: str, col: str, number: int) -> int:
+    """Drop the partitions whose number is below the given one."""
+    return _drop(spark, name, partitions(spark, name, [col]).where(F.col(col).cast("bigint") < number))
+
+
 def apply_retention(spark: SparkSession, name: str, keep: str, as_of, cols: Sequence[str] = MEASUREMENT_PARTITIONS,
                     width: str = lifecycle.MEASUREMENT_CHUNK) -> int:
     """Drop the partitions whose chunk ended at least `keep` before `as_of`; returns how many.

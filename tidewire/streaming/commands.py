@@ -1,4 +1,9 @@
-"""Sensor state as a keyed stateful stream."""
+"""Sensor state as a stream.
+
+Two forms with the same result. `start` keeps the state per sensor in Spark's state store; it suits many
+sensors with few commands each. `start_folded` folds a micro-batch with column expressions and keeps the
+state in a table; no task sees all commands of a sensor, so one sensor may send most of them.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,22 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import commands as ops
-from ..session import ROCKSDB_PROVIDER
+from ..operators import ingest
+from ..session import ROCKSDB_PROVIDER, configure
+from ..sources import tables
 
 # The processor travels to the workers by value, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUTPUT = "serial_number string, arrival bigint, was_asleep boolean, was_hz double, asleep boolean, hz double"
+OUTPUT = ("serial_number string, time timestamp, arrival bigint, command string, sets_asleep boolean, "
+          "sets_hz double, was_asleep boolean, was_hz double, asleep boolean, hz double")
+STATE = "serial_number string, asleep boolean, sample_frequency double, epoch bigint"
 
 
 class SensorFold(StatefulProcessor):
@@ -39,14 +48,12 @@ class SensorFold(StatefulProcessor):
         # The state after a command is the last value set so far; before it, the same one row earlier.
         after_asleep = pdf["sets_asleep"].astype("boolean").ffill().fillna(asleep).astype(bool)
         after_hz = pdf["sets_hz"].astype("float64").ffill().fillna(hz if hz is not None else float("nan"))
-        out = pd.DataFrame({
-            "serial_number": key[0],
-            "arrival": pdf["arrival"].to_numpy(),
-            "was_asleep": after_asleep.shift(fill_value=asleep).to_numpy(),
-            "was_hz": after_hz.shift(fill_value=hz).astype("float64").to_numpy(),
-            "asleep": after_asleep.to_numpy(),
-            "hz": after_hz.to_numpy(),
-        })
+        out = pdf[["serial_number", "time", "arrival", "command", "sets_asleep", "sets_hz"]].assign(
+            was_asleep=after_asleep.shift(fill_value=asleep),
+            was_hz=after_hz.shift(fill_value=hz).astype("float64"),
+            asleep=after_asleep,
+            hz=after_hz,
+        )
         last_hz = float(after_hz.iloc[-1])
         self._state.update((bool(after_asleep.iloc[-1]), None if pd.isna(last_hz) else last_hz))
         yield out
@@ -58,27 +65,62 @@ class SensorFold(StatefulProcessor):
 def states(commands: DataFrame, initial: DataFrame) -> DataFrame:
     """Stream of states: one row per command, see `OUTPUT`. `commands` as from `decode.commands`.
 
-    `initial` is a static frame (serial_number, asleep, sample_frequency).
+    `initial` is a static frame (serial_number, asleep, sample_frequency). The result has the columns
+    `ops.reports` needs, which can be applied to the stream as it is.
     """
     spark = commands.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     start = initial.select("serial_number", F.col("asleep").alias("start_asleep"),
                            F.col("sample_frequency").alias("start_hz"))
-    rows = ops.effects(commands).select("serial_number", "time", "arrival", "sets_asleep", "sets_hz") \
+    rows = ops.effects(commands).select("serial_number", "time", "arrival", "command", "sets_asleep", "sets_hz") \
         .join(start, "serial_number", "left") \
         .withColumn("start_asleep", F.coalesce("start_asleep", F.lit(False)))
     return rows.groupBy("serial_number").transformWithStateInPandas(
         SensorFold(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 
-def start(commands: DataFrame, initial: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None
-          ) -> StreamingQuery:
-    """Append the state after every command below `folder`."""
-    def handle(micro: DataFrame, _: int) -> None:
-        micro.write.mode("append").parquet(folder)
-
+def _start(stream: DataFrame, handle, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
     return (
-        states(commands, initial).writeStream.foreachBatch(handle).outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"})).start()
     )
+
+
+def start(commands: DataFrame, initial: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None
+          ) -> StreamingQuery:
+    """Write the state after every command below `folder`/states and the reports below `folder`/reports,
+    one folder per micro-batch, which a repeated micro-batch replaces."""
+    def handle(micro: DataFrame, epoch: int) -> None:
+        micro = micro.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            micro.write.mode("overwrite").parquet(f"{folder}/states/epoch={epoch}")
+            ops.reports(micro).write.mode("overwrite").parquet(f"{folder}/reports/epoch={epoch}")
+        finally:
+            micro.unpersist()
+
+    return _start(states(commands, initial), handle, checkpoint, "update", trigger)
+
+
+def start_folded(commands: DataFrame, initial: DataFrame, state: str, folder: str, checkpoint: str,
+                 block: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """Write the reports below `folder`/reports and the state after each micro-batch to the table `state`.
+
+    The table (columns `STATE`, partitioned by ``epoch``) holds all commanded sensors as of a micro-batch;
+    the partition before is the next one's input, older ones are dropped.
+    """
+    def handle(micro: DataFrame, epoch: int) -> None:
+        spark = configure(micro.sparkSession)
+        micro = micro.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            before = tables.fresh(spark, state).where(F.col("epoch") == epoch - 1).drop("epoch")
+            known = before.unionByName(ingest.only_new(
+                initial.select("serial_number", "asleep", "sample_frequency"), before, ["serial_number"]))
+            after, reports = ops.fold(micro, known, block=block)
+            reports.write.mode("overwrite").parquet(f"{folder}/reports/epoch={epoch}")
+            after = after.unionByName(ingest.only_new(before, after, ["serial_number"]))
+            after.withColumn("epoch", F.lit(epoch).cast("bigint")).write.insertInto(state, overwrite=True)
+            tables.drop_before(spark, state, "epoch", epoch - 1)
+        finally:
+            micro.unpersist()
+
+    return _start(commands, handle, checkpoint, "append", trigger)
