@@ -318,6 +318,8 @@ ORACLES: dict[str, str] = {
     "counter_totals": f"WITH {STATUS} SELECT status, user_id, count(*) AS value FROM st GROUP BY 1, 2",
     "counter_running": f"""WITH {PROCESSED}, l AS (SELECT status, instance, user_id, arg_max(value, ts) AS v FROM samples GROUP BY 1, 2, 3)
       SELECT user_id, sum(v) AS value FROM l WHERE status = 'success' GROUP BY 1""",
+    "counter_by_event": f"""WITH {STATUS} SELECT status, user_id, ts,
+      (count(*) OVER (PARTITION BY status, user_id ORDER BY ts))::BIGINT AS value FROM st""",
     "metric_samples": f"WITH {PROCESSED} SELECT status, instance, user_id, ts, value FROM samples",
     "histogram_build": f"""WITH {STATUS}, bounds AS (SELECT (2.0 ** i)::DOUBLE AS le FROM generate_series(0, 9) t(i)
         UNION ALL SELECT 'infinity'::DOUBLE), totals AS (SELECT user_id, count(*) AS c, round(sum(value), 6) AS s FROM st GROUP BY 1)
@@ -418,7 +420,11 @@ ORACLES: dict[str, str] = {
     "autovacuum_list": f"""WITH {TABLES} SELECT schemaname, relname, last_autovacuum, last_autoanalyze, autovacuum_count, autoanalyze_count
       FROM t WHERE relname LIKE '%sensor_measurement%'""",
     "buffer_top": f"""WITH pages AS (SELECT l_partkey, CASE WHEN l_returnflag = 'N' THEN 0 ELSE ascii(l_returnflag) END AS reldatabase FROM lineitem)
-      SELECT p_brand || ' ' || p_type || ' ' || p_name AS relname, count(*) * 8192 AS buffered_bytes FROM pages JOIN part ON l_partkey = p_partkey
+      SELECT p_brand || ' ' || p_type || ' ' || p_name AS relname, count(*) * 8192 AS buffered_bytes,
+        CASE WHEN count(*) * 8192 < 10240 THEN (count(*) * 8192) || ' bytes'
+          WHEN count(*) * 16 < 20479 THEN (count(*) * 16 + 1) // 2 || ' kB'
+          WHEN count(*) * 16 // 1024 < 20479 THEN (count(*) * 16 // 1024 + 1) // 2 || ' MB'
+          ELSE (count(*) * 16 // 1048576 + 1) // 2 || ' GB' END AS buffered FROM pages JOIN part ON l_partkey = p_partkey
       WHERE reldatabase IN (0, ascii('R')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     # ---- lifecycle ----
     "chunk_assignment": f"WITH {CHUNKED} SELECT * FROM ch",

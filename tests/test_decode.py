@@ -165,3 +165,11 @@ def test_buckets(spark):
         b = df.select(window_start("t", w).alias("b")).collect()
         assert a == b
     assert datetime(2024, 1, 1).weekday() == 0
+
+
+def test_size_pretty(spark):
+    # Fixed values.
+    want = {0: "0 bytes", 10239: "10239 bytes", 10240: "10 kB", 1048576: "1024 kB", 10485247: "10239 kB",
+            10485248: "10 MB", 1073741824: "1024 MB", 11 * 2**30: "11 GB", 12 * 2**50: "12 PB"}
+    df = spark.createDataFrame([(k,) for k in want], "v bigint")
+    assert {r.v: r.t for r in df.select("v", text.size_pretty(F.col("v")).alias("t")).collect()} == want

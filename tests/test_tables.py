@@ -207,3 +207,20 @@ def test_cascades(spark):
     assert rows(left["measurement"]) == [(11, 0.3), (12, 0.4)]
     same = registry.delete_cascade(frames, "sensor", frames["sensor"].where("id = 99"))
     assert {n: same[n].count() for n in frames} == {"target": 2, "target_location": 2, "sensor": 3, "measurement": 4}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 100])
+def test_both_ways_of_rejecting_messages_agree(spark, monkeypatch, limit):
+    """Also when the list of rejected messages is too long to be broadcast."""
+    from tidewire.operators import ingest
+
+    monkeypatch.setattr(ingest, "MAX_BROADCAST_MESSAGES", limit)
+    sensor = spark.createDataFrame([(1, "A"), (2, "B")], "id int, serial_number string")
+    data = [(b_, s) for b_, s in [(1, "A"), (1, "X"), (2, "B"), (3, "Y"), (3, "B"), (3, "A"), (4, "A")]]
+    m = ingest.match_sensors(spark.createDataFrame(data, "batch_id int, serial_number string"), sensor).persist()
+    want = rows(ingest.mark_rejected(m))
+    assert sorted(r.batch_id for r in ingest.mark_rejected(m).where("rejected").collect()) == [1, 1, 3, 3, 3]
+    assert rows(ingest.mark_rejected_persisted(m)) == want
+    good = m.where("batch_id in (2, 4)")
+    assert rows(ingest.mark_rejected_persisted(good)) == rows(ingest.mark_rejected(good))
+    m.unpersist()

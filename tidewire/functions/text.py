@@ -55,3 +55,19 @@ def logfmt_field(line: Column, field: str) -> Column:
 def frequency_text(hz: Column) -> Column:
     """A frequency as the shortest plain number text: 100 instead of 100.0."""
     return F.regexp_replace(hz.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
+
+
+# Size units, and the limits at which the next unit is used.
+SIZE_UNITS = ["kB", "MB", "GB", "TB", "PB"]
+BYTES_LIMIT, HALVES_LIMIT = 10 * 1024, 20 * 1024 - 1
+
+
+def size_pretty(size: Column) -> Column:
+    """A byte count with a unit, for display; each unit holds up to about ten thousand of it."""
+    halves = F.floor(size / 512)  # counted in half units, so that the printed number is rounded
+    out = F.when(size < BYTES_LIMIT, F.concat(size.cast("string"), F.lit(" bytes")))
+    for unit in SIZE_UNITS:
+        shown = F.concat(F.floor((halves + 1) / 2).cast("string"), F.lit(f" {unit}"))
+        out = out.when(halves < HALVES_LIMIT, shown) if unit != SIZE_UNITS[-1] else out.otherwise(shown)
+        halves = F.floor(halves / 1024)
+    return out

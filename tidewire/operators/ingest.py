@@ -11,29 +11,58 @@ from pyspark.sql import functions as F
 from ..functions.timing import instant, seconds_between
 
 
-def resolve_sensors(readings: DataFrame, sensor: DataFrame, mode: str = "strict", batch: str = "batch_id"
-                    ) -> DataFrame:
-    """Readings with their ``sensor_id`` and whether they are ``rejected``.
+def match_sensors(readings: DataFrame, sensor: DataFrame) -> DataFrame:
+    """Readings with their ``sensor_id``, NULL for an unknown serial.
 
-    ``strict`` rejects every reading of a message that names an unknown serial; ``quarantine`` rejects
-    only the readings with an unknown serial. The registry is joined without a hint: it is broadcast
-    while its size allows it, otherwise both sides are sorted and a dominating serial is split.
+    The registry is joined without a hint: it is broadcast while its size allows it, otherwise both sides
+    are sorted and a dominating serial is split.
     """
     known = sensor.select(F.col("id").alias("sensor_id"), "serial_number")
-    rows = readings.join(known, "serial_number", "left")
+    return readings.join(known, "serial_number", "left")
+
+
+#: Lists of rejected messages up to this length are broadcast.
+MAX_BROADCAST_MESSAGES = 250_000
+
+
+def mark_rejected(matched: DataFrame, mode: str = "strict", batch: str = "batch_id") -> DataFrame:
+    """Adds whether a reading is ``rejected``, in one pass.
+
+    ``strict`` rejects every reading of a message that names an unknown serial; ``quarantine`` rejects
+    only the readings with an unknown serial. A message is one broker frame, so the window per message is
+    bounded by the frame size.
+    """
     missing = F.col("sensor_id").isNull()
-    if mode == "strict":
-        # A message is one broker frame, so the window per message is bounded by the frame size.
-        return rows.withColumn("rejected", F.max(missing).over(W.partitionBy(batch)))
     if mode == "quarantine":
-        return rows.withColumn("rejected", missing)
-    raise ValueError(f"unknown mode {mode!r}")
+        return matched.withColumn("rejected", missing)
+    if mode != "strict":
+        raise ValueError(f"unknown mode {mode!r}")
+    return matched.withColumn("rejected", F.max(missing).over(W.partitionBy(batch)))
+
+
+def mark_rejected_persisted(matched: DataFrame, mode: str = "strict", batch: str = "batch_id") -> DataFrame:
+    """`mark_rejected` for matched readings that are persisted.
+
+    The messages to reject are counted first. There are usually none, and then, or when their list is
+    short, the readings need not be shuffled.
+    """
+    if mode != "strict":
+        return mark_rejected(matched, mode, batch)
+    bad = matched.where(F.col("sensor_id").isNull()).select(batch).distinct()
+    n = bad.limit(MAX_BROADCAST_MESSAGES + 1).count()
+    if n == 0:
+        return matched.withColumn("rejected", F.lit(False))
+    if n > MAX_BROADCAST_MESSAGES:
+        return mark_rejected(matched, mode, batch)
+    flags = F.broadcast(bad.withColumn("__bad", F.lit(True)))
+    return matched.join(flags, batch, "left").select(
+        *matched.columns, F.coalesce("__bad", F.lit(False)).alias("rejected"))
 
 
 def enrich(readings: DataFrame, sensor: DataFrame, mode: str = "strict", batch: str = "batch_id"
            ) -> tuple[DataFrame, DataFrame]:
-    """(rows to write, rejected rows), see `resolve_sensors`."""
-    return split_rejected(resolve_sensors(readings, sensor, mode, batch))
+    """(rows to write, rejected rows), see `mark_rejected`."""
+    return split_rejected(mark_rejected(match_sensors(readings, sensor), mode, batch))
 
 
 def split_rejected(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,8 @@
 
 A plain ``Window.partitionBy(key)`` sends a key's whole history to one task. Here a key's time line is
 cut into blocks of fixed width. Rows are ordered only inside their (key, block); what crosses a block
-border is a small per-block summary. Results equal the plain window for every block width.
+border is a small per-block summary. Results equal the plain window for every block width. Keys are not
+NULL.
 """
 
 from __future__ import annotations

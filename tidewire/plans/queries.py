@@ -15,7 +15,7 @@ from .. import schemas
 from ..functions import ratios, text
 from ..functions.timing import bucket, instant
 from ..operators import commands as cmd
-from ..operators import decode, health, ingest, lifecycle, metrics, registry, series, snapshots
+from ..operators import decode, health, ingest, lifecycle, metrics, registry, scan, series, snapshots
 from ..session import configure
 from . import bindings as b
 from . import streams
@@ -348,6 +348,14 @@ def counter_running(spark, sf):
     return metrics.select_labels(latest, status="success").groupBy("user_id").agg(F.sum("value").alias("value"))
 
 
+@query
+def counter_by_event(spark, sf):
+    """Counter value per (status, sensor) after every event."""
+    events = b.status_events(spark, sf).select("status", "user_id", "ts", F.lit(1).alias("n"))
+    out = scan.running_sum_by_block(events, ["status", "user_id"], "ts", ["n"], "7 days")
+    return out.select("status", "user_id", "ts", F.col("run_n").alias("value"))
+
+
 @query
 def metric_samples(spark, sf):
     return b.processed_samples(spark, sf)
@@ -602,7 +610,8 @@ def autovacuum_list(spark, sf):
 
 @query
 def buffer_top(spark, sf):
-    return snapshots.buffered_top(b.buffers(spark, sf), b.classes(spark, sf), b.databases(spark, sf))
+    out = snapshots.buffered_top(b.buffers(spark, sf), b.classes(spark, sf), b.databases(spark, sf))
+    return out.withColumn("buffered", text.size_pretty(F.col("buffered_bytes")))
 
 
 # ---- lifecycle ------------------------------------------------------------------------------------

@@ -57,10 +57,11 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
         spark = micro.sparkSession
         began = time.monotonic()
         readings, broken = decode.measurements(micro)
-        # Parsed and resolved once, then read by every write below.
-        rows = ingest.resolve_sensors(readings, tables.fresh(spark, sensor_table), mode, batch)
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        # Parsed and matched once, then read by every write below.
+        matched = ingest.match_sensors(readings, tables.fresh(spark, sensor_table))
+        matched = matched.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            rows = ingest.mark_rejected_persisted(matched, mode, batch)
             good, bad = ingest.split_rejected(rows)
             if on_bad == "fail" and (bad.select(F.lit(1)).first() or broken.select(F.lit(1)).first()):
                 raise RejectedBatchError(f"micro-batch {epoch}")
@@ -76,7 +77,7 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
                     .withColumn("seconds", F.lit(time.monotonic() - began))
                 _append_epoch(done, stats, epoch)
         finally:
-            rows.unpersist()
+            matched.unpersist()
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
