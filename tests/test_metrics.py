@@ -128,6 +128,17 @@ def test_quantile_edges(spark):
     assert quantile(spark, [(1.0, 4), (2.0, 4), (inf, 4)], 0.5) == 0.5
     assert quantile(spark, [(1.0, 2), (2.0, 6), (4.0, 10), (inf, 10)], 0.5) == 1.75
     assert quantile(spark, [(1.0, 5), (2.0, 5), (4.0, 10), (inf, 10)], 0.5) == 1.0
+    assert quantile(spark, [(1.0, 5), (2.0, 10)], 0.5) is None
+    assert quantile(spark, [(inf, 10)], 0.5) is None
+    # A count that seems to fall is taken at its highest value so far.
+    assert quantile(spark, [(1.0, 4), (2.0, 3), (4.0, 8), (inf, 8)], 0.75) == 3.0
+
+
+def test_rate_spreads_a_series_over_blocks(samples):
+    plan = metrics.rate(samples, ["s"], "60 seconds", "15 seconds")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines()
+                 if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "__block" in exchanges[0]
 
 
 def test_label_selector_on_a_map(spark):

@@ -233,16 +233,20 @@ def histogram_quantile(buckets: DataFrame, qs: Sequence[float], by: Sequence[str
     """Quantiles from cumulative bucket values, one column q<percent> per quantile.
 
     Linear inside the first bucket that reaches the rank, the first bucket starting at 0; the highest
-    finite bound when only the infinite bucket reaches it; NULL for an empty histogram. A group holds
-    one row per bound.
+    finite bound when only the infinite bucket reaches it; NULL for an empty histogram and for one
+    without an infinite bucket. A group holds one row per bound.
     """
     order = W.partitionBy(*by).orderBy("le")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # A cumulative count cannot fall from one bound to the next; restarts may make it look so.
+    upto, before = (order.rowsBetween(W.unboundedPreceding, end) for end in (W.currentRow, -1))
     rows = buckets.select(
-        *by, "le", F.col(value).alias("__c"),
+        *by, "le",
+        F.max(value).over(upto).alias("__c"),
         F.lag("le", 1, 0.0).over(order).alias("__from"),
-        F.lag(value, 1, 0.0).over(order).alias("__below"),
-        F.last(value).over(whole).alias("__total"),
+        F.coalesce(F.max(value).over(before), F.lit(0.0)).alias("__below"),
+        F.max(value).over(whole).alias("__total"),
+        ((F.last("le").over(whole) == F.lit(INF)) & (F.count("*").over(whole) > 1)).alias("__complete"),
     )
     le, c, start, below = (F.col(x) for x in ("le", "__c", "__from", "__below"))
     aggs = []
@@ -250,7 +254,7 @@ def histogram_quantile(buckets: DataFrame, qs: Sequence[float], by: Sequence[str
         rank = F.col("__total") * F.lit(q)
         inside = start + (le - start) * (rank - below) / (c - below)
         at = F.when(le == F.lit(INF), start).when((start == 0.0) & (le <= 0.0), le).otherwise(inside)
-        hit = (F.col("__total") > 0) & (c >= rank * F.lit(1 - RANK_TOLERANCE))
+        hit = F.col("__complete") & (F.col("__total") > 0) & (c >= rank * F.lit(1 - RANK_TOLERANCE))
         aggs.append(F.min_by(F.when(hit, at), F.when(hit, le)).alias(quantile_name(q)))
     return rows.groupBy(*by).agg(*aggs)
 
