@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
+    "op9_suffix_dedup": suffix_dedup.query,
 }
 
 ORACLES: dict[str, str] = {}

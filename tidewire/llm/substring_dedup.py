@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import frames
-from .text import Words, by_bucket, grouped, members, mix, pack, slices, text_bytes, unpack, window_hashes, within
+from .text import Words, by_bucket, grouped, members, mix, pack, runs, slices, text_bytes, unpack, window_hashes, within
 
 WINDOW = 20
 #: Perfect difference set: fixed mathematical values. All differences modulo 13 occur.
@@ -96,10 +96,9 @@ def _replies(parts: np.ndarray, keys: np.ndarray) -> pa.Table:
     """One row per part with its keys, sorted."""
     order = np.lexsort((keys, parts))
     parts, keys = parts[order], keys[order]
-    cuts = np.flatnonzero(grouped(parts)) if len(parts) else []
-    bodies = [pack(k) for k in np.split(keys, cuts[1:])] if len(parts) else []
-    return pa.table([pa.array(parts[cuts] if len(parts) else [], pa.int32()), pa.array(bodies, pa.binary())],
-                    schema=_REPLY)
+    found = runs(parts)
+    return pa.table([pa.array([int(parts[a]) for a, _ in found], pa.int32()),
+                     pa.array([pack(keys[a:b]) for a, b in found], pa.binary())], schema=_REPLY)
 
 
 def _received(table: pa.Table) -> np.ndarray:

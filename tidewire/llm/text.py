@@ -148,6 +148,12 @@ def grouped(sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal values of a sorted array."""
+    cuts = np.flatnonzero(grouped(sorted_keys)).tolist() if len(sorted_keys) else []
+    return list(zip(cuts, [*cuts[1:], len(sorted_keys)], strict=True)) if cuts else []
+
+
 def members(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     """Which values are in a sorted array."""
     if not len(sorted_set):
@@ -169,4 +175,5 @@ def pack(a: np.ndarray) -> bytes:
 
 
 def unpack(column: pa.Array | pa.ChunkedArray, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
+    """One array for each row (null: none)."""
+    return [np.frombuffer(b, dtype) if b else np.zeros(0, dtype) for b in column.to_pylist()]
