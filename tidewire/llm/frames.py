@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,21 @@ def others(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
 def unless_taken(docs: DataFrame, *names: str) -> list[Column]:
     """Result columns; one whose name the input has already gets an underscore behind it."""
     return [F.col(c).alias(c + "_" if c in docs.columns else c) for c in names]
+
+
+def on_group(f: Callable, **settings) -> Callable:
+    """`f` with its settings, as a function of one group."""
+    return functools.partial(_group, f=f, settings=settings)
+
+
+def on_groups(f: Callable, **settings) -> Callable:
+    """`f` with its settings, as a function of two cogrouped groups."""
+    return functools.partial(_groups, f=f, settings=settings)
+
+
+def _group(table, f, settings):
+    return f(table, **settings)
+
+
+def _groups(left, right, f, settings):
+    return f(left, right, **settings)

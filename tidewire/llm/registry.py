@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import chat_format, minhash_dedup, mixing, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_chat_format": chat_format.query,
+    "op2_mixing": mixing.query,
     "op4_substring_dedup": substring_dedup.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_minhash_dedup": minhash_dedup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE,
+}

@@ -21,8 +21,6 @@ one document, in the order of their texts; a window never spans two of them. Oth
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -229,26 +227,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = frames.carried(docs, doc_id, text).withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
     by_part = source.groupBy("part")
     settings = {"window": window, "period": period, "cover": cover, "buckets": buckets}
-    anchors = by_part.applyInArrow(functools.partial(_anchors_of, settings=settings), MESSAGE)
+    anchors = by_part.applyInArrow(frames.on_group(_anchors, **settings), MESSAGE)
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated, REPLY)
-    windows = by_part.cogroup(repeated.groupBy("part")).applyInArrow(functools.partial(_windows_of, settings=settings), MESSAGE)
+    windows = by_part.cogroup(repeated.groupBy("part")).applyInArrow(frames.on_groups(_windows, **settings), MESSAGE)
     earlier = windows.groupBy("bucket").applyInArrow(_earlier, REPLY)
 
     result = T._parse_datatype_string("_id bigint, _text string, n_words bigint, n_removed bigint, "
                                       "spans array<struct<start:bigint,length:bigint>>").add(source.schema["_rest"])
-    cut = by_part.cogroup(earlier.groupBy("part")).applyInArrow(functools.partial(_cut_of, window=window), result)
+    cut = by_part.cogroup(earlier.groupBy("part")).applyInArrow(frames.on_groups(_cut_of, window=window), result)
     return cut.select(F.col("_id").alias(doc_id), F.col("_text").alias(text), *frames.others(docs, doc_id, text),
                       *frames.unless_taken(docs, "n_words", "n_removed", "spans"))
 
 
-def _anchors_of(table, settings):
-    return _anchors(table, **settings)
-
-
-def _windows_of(docs, replies, settings):
-    return _windows(docs, replies, **settings)
-
-
 def _cut_of(docs, replies, window):
     spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     schema = pa.schema([("_id", pa.int64()), ("_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()),

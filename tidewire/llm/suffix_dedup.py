@@ -25,8 +25,6 @@ Bytes may be removed inside a character: `kept` is binary.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -448,29 +446,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = frames.carried(docs, doc_id, text).withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
     by_part = source.groupBy("part")
     settings = {"length": length, "gram": gram}
-    anchors = by_part.applyInArrow(functools.partial(_apply, f=_anchors, settings={**settings, "buckets": buckets}), ANCHORS)
-    repeated = anchors.groupBy("bucket").applyInArrow(functools.partial(_apply, f=_repeated, settings={"hot_parts": hot_parts}), REPEATED)
+    anchors = by_part.applyInArrow(frames.on_group(_anchors, **settings, buckets=buckets), ANCHORS)
+    repeated = anchors.groupBy("bucket").applyInArrow(frames.on_group(_repeated, hot_parts=hot_parts), REPEATED)
     contexts = by_part.cogroup(repeated.groupBy("part")).applyInArrow(
-        functools.partial(_apply2, f=_contexts_of, settings={**settings, "buckets": buckets}), CONTEXTS)
-    found = contexts.groupBy("bucket").applyInArrow(functools.partial(_apply, f=_sorted, settings={"length": length}), FOUND)
+        frames.on_groups(_contexts_of, **settings, buckets=buckets), CONTEXTS)
+    found = contexts.groupBy("bucket").applyInArrow(frames.on_group(_sorted, length=length), FOUND)
     # Parts learn which anchors are hot too: there they look for repeats string by string.
     nothing = F.lit(None).cast("binary")
     hot = repeated.filter(F.octet_length("hot") > 0).select("part", nothing.alias("starts"), nothing.alias("counts"), "hot")
     result = T._parse_datatype_string("_id bigint, kept binary, n_bytes bigint, n_removed bigint, "
                                       "spans array<struct<start:bigint,length:bigint>>").add(source.schema["_rest"])
-    cut = by_part.cogroup(found.union(hot).groupBy("part")).applyInArrow(functools.partial(_cut_of, **settings), result)
+    cut = by_part.cogroup(found.union(hot).groupBy("part")).applyInArrow(frames.on_groups(_cut_of, **settings), result)
     return cut.select(F.col("_id").alias(doc_id), *frames.others(docs, doc_id, text),
                       *frames.unless_taken(docs, "kept", "n_bytes", "n_removed", "spans"))
 
 
-def _apply(table, f, settings):
-    return f(table, **settings)
-
-
-def _apply2(left, right, f, settings):
-    return f(left, right, **settings)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
