@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, minhash_dedup, mixing, packing, quality, substring_dedup, suffix_dedup
+from . import chat_format, minhash_dedup, mixing, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_mixing": mixing.query,
+    "op3_toxicity": toxicity.query,
     "op4_substring_dedup": substring_dedup.query,
     "op7_packing": packing.query,
     "op8_quality": quality.query,

@@ -105,18 +105,23 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word."""
-        out = np.empty(len(self), np.uint64)
-        i = 0
-        while i < len(self):
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SLICE, side="right")))
-            at = int(self.starts[i])
-            part = self.data[at:int(self.ends[j - 1])]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(BYTE_TABLE[part] * powers(BASE, len(part)), out=sums[1:])
-            s, e = self.starts[i:j] - at, self.ends[i:j] - at
-            out[i:j] = (sums[e] - sums[s]) * powers(inverse(BASE), len(part) + 1)[s]
-            i = j
-        return mix(out)
+        return range_hashes(self.data, self.starts, self.ends)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes; starts and ends do not fall."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, side="right")))
+        at = int(starts[i])
+        part = data[at:int(ends[j - 1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_TABLE[part] * powers(BASE, len(part)), out=sums[1:])
+        s, e = starts[i:j] - at, ends[i:j] - at
+        out[i:j] = (sums[e] - sums[s]) * powers(inverse(BASE), len(part) + 1)[s]
+        i = j
+    return mix(out)
 
 
 def window_hashes(hashes: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
