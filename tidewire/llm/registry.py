@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, minhash_dedup, mixing, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, embedding_dedup, minhash_dedup, mixing, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_mixing": mixing.query,
     "op3_toxicity": toxicity.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op5_embedding_dedup": embedding_dedup.query,
     "op7_packing": packing.query,
     "op8_quality": quality.query,
     "op9_suffix_dedup": suffix_dedup.query,
