@@ -1,12 +1,69 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences, one operator of `tidewire.llm` per stage.
+
+Each stage works on all that the one before it kept. All but the last return the columns of `documents`, and n_chars is
+the length of the text they return. No SQL can express the trained stage or the tokens: ORACLE_SQL is None.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.llm import minhash_dedup, mixing, packing, suffix_dedup, toxicity
+from tidewire.llm.components import stored
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns, n_chars anew."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic (score 0.5 or more) go. It is trained on labels that are not held out."""
+    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity 0.75 or more the one with the smallest id stays."""
+    gone = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 100 that start earlier too are cut out. A character that is cut in two goes as a whole."""
+    cut = suffix_dedup.remove_repeats(docs.drop("kept"))
+    plain = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.replace(F.make_valid_utf8(plain), F.lit("�"), F.lit("")))
+    return _measured(cut.withColumn("text", text), docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, in mixed order: a document once for every pass that takes it."""
+    return _measured(mixing.mix(docs), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 1024, one row per piece."""
+    return packing.pack(docs).select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset",
+                                     "window", "step_group")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages, one after the other, over the whole `documents` table."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole `documents` table, each written to the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

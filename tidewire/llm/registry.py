@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, minhash_dedup, mixing, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, embedding_dedup, minhash_dedup, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_embedding_dedup": embedding_dedup.query,
+    "op6_nearest": nearest.query,
     "op7_packing": packing.query,
     "op8_quality": quality.query,
     "op9_suffix_dedup": suffix_dedup.query,
