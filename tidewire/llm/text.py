@@ -170,9 +170,8 @@ def members(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """The non-empty ranges of sorted 64-bit hashes that fall into each of `buckets` equal ranges of values."""
     number = ((keys >> U64(32)) * U64(buckets)) >> U64(32)
-    cuts = np.flatnonzero(grouped(number)) if len(keys) else np.zeros(0, int)
-    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-        yield int(number[a]), slice(int(a), int(b))
+    for a, b in runs(number):
+        yield int(number[a]), slice(a, b)
 
 
 def pack(a: np.ndarray) -> bytes:
