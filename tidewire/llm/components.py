@@ -23,10 +23,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     root vanish. Smallest neighbours are aggregated before the shuffle, so a node with very many edges is one row
     for each task.
     """
-    both = edges.select("a", "b").where("a <> b").distinct()
+    both = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     labels = stored(both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
                     .withColumn("component", F.col("node")), "labels")
-    live = stored(both, "edges")
+    live = both
     for _ in range(max_rounds):
         if live.isEmpty():
             return labels

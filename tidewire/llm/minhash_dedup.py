@@ -11,8 +11,8 @@ entry. With 12 chunks of 4 and one error every pair at distance 23 of 48 or less
 
 Large groups: each index entry first proposes only its smallest class to the others, and each class follows the
 proposal with the nearest signature. What the full sets confirm is a forest. Entries whose members are then all in
-one tree are done, however many they are; only pairs from different trees, with signatures near enough, are
-compared after that. Entries with more than `block` members are compared block by block in separate tasks.
+one tree are done, however many they are; only pairs from different trees, with signatures near enough and the smallest
+hashes of their sets alike, are compared after that, and of two trees the nearest pair first. Entries with more than `block` members are compared block by block in separate tasks.
 """
 
 from __future__ import annotations
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from . import frames
 from .components import components, settled, stored
-from .text import LOWER, Words, grouped, mix, pack, slices, text_bytes, window_hashes, within
+from .text import LOWER, Words, mix, pack, slices, text_bytes, window_hashes
 
 SHINGLE, PERCENT = 5, 75
 CHUNKS, WIDTH, ERRORS = 12, 4, 1
 #: Pairs whose signatures differ in more components are not confirmed: six deviations beyond the mean at 0.75.
 FARTHEST = 30
+#: Smallest shingle hashes a class shows its neighbours; the share of the smallest of a union that must be common: with
+#: 256 of them, six deviations below 0.75. A set that is no larger is shown whole, and then the share is nearly exact.
+SKETCH, SHARE, WHOLE_SHARE = 256, 0.58, 0.74
 #: Members of an index entry that one task compares with each other.
 BLOCK = 2048
 
@@ -48,7 +51,6 @@ def shingles(column, size: int) -> Iterator[np.ndarray]:
     words = Words(LOWER[data], offsets)
     hashes = words.hashes()
     runs = window_hashes(hashes, size)
-    ok = within(words.counts, size)
     for first, count in zip(words.doc_starts, words.counts, strict=False):
         if count >= size:
             yield np.unique(runs[first:first + count - size + 1])
@@ -56,10 +58,9 @@ def shingles(column, size: int) -> Iterator[np.ndarray]:
             yield window_hashes(hashes[first:first + count], int(count))
         else:
             yield hashes[:0]
-    assert len(ok) == len(runs)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, length: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, length: int, sketch: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "_text", 1 << 20):
             sets = list(shingles(batch.column("_text"), shingle))
@@ -79,40 +80,77 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, length: int) ->
                 marks[some, 1] = np.add.reduceat(mix(flat ^ _ADD[-1]), cuts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                 pa.array([pack(s) if n else None for s, n in zip(signature, sizes, strict=True)], pa.binary())],
-                ["id", "n_shingles", "mark1", "mark2", "signature"])
+                 pa.array([pack(s) if n else None for s, n in zip(signature, sizes, strict=True)], pa.binary()),
+                 pa.array([pack((s[:sketch] >> np.uint64(32)).astype(np.uint32)) for s in sets], pa.binary())],
+                ["id", "n_shingles", "mark1", "mark2", "signature", "sketch"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text_a", 1 << 20):
-            keep = []
-            for x, y in zip(shingles(batch.column("text_a"), shingle), shingles(batch.column("text_b"), shingle), strict=True):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = len(both) - int(grouped(both).sum()) if len(both) else 0
-                keep.append(common > 0 and 100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _close_pairs(table: pa.Table, farthest: int, percent: int) -> pa.Table:
-    """Pairs of different trees inside one index entry (or two blocks of one) with near signatures and sizes."""
+        for batch in slices(whole, "_text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([pack(x) for x in shingles(batch.column("_text"), shingle)], pa.binary())],
+                                             ["class", "set"])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            keep.append(common > 0 and 100 * common >= percent * (len(both) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def alike(x: np.ndarray, y: np.ndarray, size: int) -> bool:
+    """Whether two sets may be similar enough, judged by the smallest hashes of their union."""
+    both = np.concatenate([x, y])
+    both.sort()
+    same = both[1:] == both[:-1]
+    if len(x) < size and len(y) < size:
+        return int(same.sum()) >= WHOLE_SHARE * (len(both) - int(same.sum()))
+    # Up to the smaller of the two last hashes the union is known.
+    last = min(x[-1] if len(x) >= size else both[-1], y[-1] if len(y) >= size else both[-1])
+    known = int(np.searchsorted(both, last, side="right"))
+    common = int(same[:max(0, known - 1)].sum())
+    return common >= SHARE * (known - common)
+
+
+def _close_pairs(table: pa.Table, width: int, errors: int, farthest: int, percent: int, sketch: int) -> pa.Table:
+    """Pairs of different trees inside one index entry (or two blocks of one) with near signatures and sizes.
+
+    A pair that shares several entries is looked at in the first one only."""
     table = table.sort_by("class")
     ids, trees, sizes = (np.asarray(table[c].combine_chunks()) for c in ("class", "tree", "n_shingles"))
-    side, square = np.asarray(table["side"].combine_chunks()), bool(table["square"][0].as_py())
+    side, square, place = np.asarray(table["side"].combine_chunks()), bool(table["square"][0].as_py()), table["place"][0].as_py()
     signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
+    sketches = [np.frombuffer(b, np.uint32) for b in table["sketch"].to_pylist()]
+    choices = [list(k) for k in itertools.combinations(range(width), width - errors)]
+    chunk, choice = divmod(place, len(choices))
     left = np.flatnonzero(side == 0)
     right = left if square else np.flatnonzero(side == 1)
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [np.zeros((5, 0), np.int64)]
     for i in left:
         others = right[right > i] if square else right
         small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
         others = others[(trees[others] != trees[i]) & (100 * small >= percent * large)]
-        others = others[(signature[others] != signature[i]).sum(axis=1) <= farthest]
-        out_a.append(np.minimum(ids[others], ids[i]))
-        out_b.append(np.maximum(ids[others], ids[i]))
-    return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
+        if not len(others):
+            continue
+        same = (signature[others] == signature[i]).reshape(len(others), -1, width)
+        met = (same[:, :chunk].sum(axis=2) >= width - errors).any(axis=1)
+        for k in choices[:choice]:
+            met |= same[:, chunk][:, k].all(axis=1)
+        distance = (~same).sum(axis=(1, 2))
+        near = (distance <= farthest) & ~met
+        near[near] = [alike(sketches[i], sketches[j], sketch) for j in others[near]]
+        others, distance = others[near], distance[near]
+        own = np.full(len(others), i)
+        low, high = (np.where(ids[others] < ids[i], p, q) for p, q in ((others, own), (own, others)))
+        out.append(np.stack([ids[low], ids[high], trees[low], trees[high], distance]))
+    found = np.concatenate(out, axis=1)
+    return pa.table(dict(zip(("a", "b", "tree_a", "tree_b", "distance"), map(pa.array, found), strict=True)))
 
 
 def _entries(width: int, chunks: int, errors: int):
@@ -134,7 +172,7 @@ def _apart(x, y, length: int):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS,
-                    farthest: int = FARTHEST, block: int = BLOCK) -> DataFrame:
+                    farthest: int = FARTHEST, sketch: int = SKETCH, block: int = BLOCK) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, class_id (smallest id with the same set), component_id (smallest id
     reachable by links), kept.
 
@@ -144,17 +182,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    signed = stored(source.mapInArrow(functools.partial(_signatures, shingle=shingle, length=chunks * width),
-                                      "id bigint, n_shingles bigint, mark1 bigint, mark2 bigint, signature binary"), "signatures")
+    signed = stored(source.mapInArrow(functools.partial(_signatures, shingle=shingle, length=chunks * width, sketch=sketch),
+                                      "id bigint, n_shingles bigint, mark1 bigint, mark2 bigint, signature binary, sketch binary"),
+                    "signatures")
     mark = ["n_shingles", "mark1", "mark2"]
     classes = stored(signed.where("n_shingles > 0 and id is not null").groupBy(*mark)
-                     .agg(F.min("id").alias("class"), F.min("signature").alias("signature")), "classes")
+                     .agg(F.min("id").alias("class"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")), "classes")
 
     # Index entries with more than one class, and for each class the nearest of their smallest classes.
-    index = classes.select("class", F.explode(_entries(width, chunks, errors)).alias("entry"))
+    index = classes.select("class", F.posexplode(_entries(width, chunks, errors)).alias("place", "entry"))
     shared = (index.groupBy("entry").agg(F.min("class").alias("pivot"), F.max("class").alias("last"))
               .where("pivot <> last").select("entry", "pivot"))
-    members = stored(index.join(shared, "entry").select("entry", "class", "pivot"), "entries")
+    members = stored(index.join(shared, "entry").select("entry", "place", "class", "pivot"), "entries")
     signature = classes.select("class", "n_shingles", "signature")
     pivot = signature.toDF("pivot", "pivot_shingles", "pivot_signature")
     proposed = (members.where("class <> pivot").select("class", "pivot").distinct()
@@ -165,38 +204,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 .groupBy("class").agg(F.min(F.struct("distance", "pivot")).alias("best"))
                 .select(F.col("best.pivot").alias("a"), F.col("class").alias("b")))
     involved = members.select("class").distinct()
-    texts = stored(source.join(involved.join(classes, "class").select(F.col("class").alias("_id")), "_id")
-                   .groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
+    sets = stored(source.join(involved.select(F.col("class").alias("_id")), "_id", "left_semi")
+                  .mapInArrow(functools.partial(_sets, shingle=shingle), "class bigint, set binary")
+                  .groupBy("class").agg(F.min("set").alias("set")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        return pairs.join(left, "a").join(right, "b").mapInArrow(
-            functools.partial(_confirmed, shingle=shingle, percent=percent), "a bigint, b bigint")
+        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+        return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
+            functools.partial(_confirmed, percent=percent), "a bigint, b bigint")
 
-    linked = confirmed(proposed).select(F.col("b").alias("root"), F.col("a").alias("parent"))
+    linked = stored(confirmed(proposed), "linked").select(F.col("b").alias("root"), F.col("a").alias("parent"))
     roots = linked.union(classes.join(linked, F.col("class") == F.col("root"), "left_anti").select("class", "class"))
     trees = settled(roots).toDF("class", "tree")
 
-    # What different trees of one entry still have to say to each other.
-    member = members.join(trees, "class").select("entry", "class", "tree")
-    mixed = (member.groupBy("entry").agg(F.min("tree").alias("low"), F.max("tree").alias("high"), F.count("*").alias("size"))
-             .where("low <> high").select("entry", "size"))
-    open_ = member.join(mixed, "entry").join(signature, "class")
+    # What different trees of one entry still have to say to each other; of entries with the same members, the first speaks.
+    member = members.join(trees, "class").select("entry", "place", "class", "tree")
+    mixed = (member.groupBy("entry").agg(F.min("tree").alias("low"), F.max("tree").alias("high"), F.count("*").alias("size"),
+                                         F.min("place").alias("place"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"))
+             .where("low <> high").groupBy("size", "who", "low", "high").agg(F.min(F.struct("place", "entry"))["entry"].alias("entry"))
+             .select("entry", "size"))
+    open_ = member.join(mixed, "entry").join(classes.select("class", "n_shingles", "signature", "sketch"), "class")
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     tasks = (open_.withColumn("blocks", blocks).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+             .select("entry", "place", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("square"),
-                     "class", "tree", "n_shingles", "signature"))
+                     "class", "tree", "n_shingles", "signature", "sketch"))
     close = stored(tasks.groupBy("entry", "i", "j").applyInArrow(
-        frames.on_group(_close_pairs, farthest=farthest, percent=percent), "a bigint, b bigint").distinct(), "close")
-    bridges = (confirmed(close).join(trees.toDF("a", "tree_a"), "a").join(trees.toDF("b", "tree_b"), "b")
-               .select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b")))
-    merged = components(bridges).toDF("tree", "component")
+        frames.on_group(_close_pairs, width=width, errors=errors, farthest=farthest, percent=percent, sketch=sketch),
+        "a bigint, b bigint, tree_a bigint, tree_b bigint, distance bigint").distinct(), "close")
+
+    # The nearest pair of each two trees first; then all pairs whose trees are still apart.
+    best = close.groupBy("tree_a", "tree_b").agg(F.min(F.struct("distance", "a", "b")).alias("best")).select("best.a", "best.b")
+    first = stored(confirmed(best).join(close, ["a", "b"]).select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b")), "bridges")
+    groups = components(first).toDF("tree", "component")
+    still = (close.join(groups.toDF("tree_a", "group_a"), "tree_a", "left").join(groups.toDF("tree_b", "group_b"), "tree_b", "left")
+             .withColumns({"group_a": F.coalesce("group_a", "tree_a"), "group_b": F.coalesce("group_b", "tree_b")})
+             .where("group_a <> group_b").join(best, ["a", "b"], "left_anti"))
+    second = stored(confirmed(still).join(close, ["a", "b"]).select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b")), "bridges")
+    merged = groups if second.isEmpty() else components(first.union(second)).toDF("tree", "component")
     final = trees.join(merged, "tree", "left").select("class", F.coalesce("component", "tree").alias("component"))
     of_mark = classes.select(*mark, "class").join(final, "class")
-    return (signed.join(of_mark, mark, "left")
+    return (signed.drop("signature", "sketch").join(of_mark, mark, "left")
             .select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("class", "id").alias("class_id"),
                     F.coalesce("component", "id").alias("component_id"))
             .withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))))
