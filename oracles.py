@@ -198,15 +198,14 @@ STATE = f"""eff AS (SELECT *, CASE command WHEN 'sleep' THEN true WHEN 'awake' T
   CASE WHEN command = 'changeSampleFrequency' THEN try_cast(frequency_param AS DOUBLE) END AS sets_hz FROM commands),
 tl AS (SELECT *, coalesce(last_value(sets_asleep IGNORE NULLS) OVER w, false) AS was_asleep,
   coalesce(last_value(sets_hz IGNORE NULLS) OVER w, c_acctbal) AS was_hz FROM eff
-  WINDOW w AS (PARTITION BY serial_number ORDER BY time, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+  WINDOW w AS (PARTITION BY serial_number ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 LOGS = f"""logs AS (SELECT event_id AS arrival, c_name AS serial_number, ts AS time, {LOG_LEVEL} AS level, props AS message
   FROM events JOIN customer ON user_id = c_custkey),
 lines AS (SELECT format('time="{{}}" logger="{{}}" level="{{}}" message="{{}}"',
   regexp_replace(strftime(time, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z', serial_number, level, message) AS line FROM logs)"""
-PARSED_LOGS = f"""WITH {LOGS} SELECT try_cast(regexp_extract(line, '(?:^| )time="([^"]*)"', 1) AS TIMESTAMP) AS time,
-  regexp_extract(line, '(?:^| )logger="([^"]*)"', 1) AS logger, regexp_extract(line, '(?:^| )level="([^"]*)"', 1) AS level,
-  regexp_extract(line, '(?:^| )message="([^"]*)"', 1) AS message FROM lines"""
+# What went in must come out, quotes in the message included.
+PARSED_LOGS = f"WITH {LOGS} SELECT time, serial_number AS logger, level, message FROM logs"
 
 COMMAND_LOGS = f"""WITH {COMMANDS}, {STATE}, hz AS (SELECT *, regexp_replace(was_hz::VARCHAR, '\\.0$', '') AS was_text,
         regexp_replace(sets_hz::VARCHAR, '\\.0$', '') AS new_text FROM tl),
@@ -453,10 +452,11 @@ ORACLES: dict[str, str] = {
         FROM act WHERE state = 'active')
       SELECT pid, seconds, CASE WHEN seconds <= 30 THEN 'slow' ELSE 'very_slow' END AS level FROM a WHERE seconds > 10""",
     "null_safe_ratio": f"WITH {TABLES} SELECT relid, round(n_dead_tup::DOUBLE / nullif(n_live_tup, 0) * 100, 6) AS dead_pct FROM t",
-    "blocking_pairs": """WITH act AS (SELECT s_suppkey AS pid, 'restock nation ' || s_nationkey AS query FROM supplier),
-        l AS (SELECT l_orderkey AS locktype, l_suppkey AS pid, l_linestatus = 'F' AS granted FROM lineitem)
+    "blocking_pairs": """WITH act AS (SELECT s_suppkey AS pid,
+          CASE WHEN s_nationkey > 0 THEN 'restock nation ' || s_nationkey END AS query FROM supplier),
+        l AS (SELECT l_orderkey AS relation, l_suppkey AS pid, l_linestatus = 'F' AS granted FROM lineitem)
       SELECT ba.query AS blocked_statement, ga.query AS blocking_statement, count(*) AS pairs
-      FROM l b JOIN act ba ON ba.pid = b.pid JOIN l g ON g.locktype = b.locktype AND g.pid <> b.pid JOIN act ga ON ga.pid = g.pid
+      FROM l b JOIN act ba ON ba.pid = b.pid JOIN l g ON g.relation = b.relation AND g.pid <> b.pid JOIN act ga ON ga.pid = g.pid
       WHERE NOT b.granted GROUP BY 1, 2""",
     "health_bands": f"""WITH {TABLES}, {DATABASES}, d AS (SELECT relname AS key, {DEAD_RATIO} AS v FROM t WHERE {SCHEMA_FILTER})
       SELECT key, 'dead_pct' AS kind, v AS value, {case('v', *DEAD_SUMMARY)} AS summary, {case('v', *DEAD_DETAIL)} AS detail,
@@ -487,8 +487,8 @@ ORACLES: dict[str, str] = {
       SELECT quadrant, count(*) AS n, sum(w)::BIGINT AS blks_written FROM q GROUP BY 1""",
     # ---- commands ----
     "command_state": f"""WITH {COMMANDS}, {STATE} SELECT serial_number,
-      coalesce(arg_max(sets_asleep, (time, arrival)) FILTER (WHERE sets_asleep IS NOT NULL), false) AS asleep,
-      coalesce(arg_max(sets_hz, (time, arrival)) FILTER (WHERE sets_hz IS NOT NULL), any_value(c_acctbal)) AS sample_frequency
+      coalesce(arg_max(sets_asleep, arrival) FILTER (WHERE sets_asleep IS NOT NULL), false) AS asleep,
+      coalesce(arg_max(sets_hz, arrival) FILTER (WHERE sets_hz IS NOT NULL), any_value(c_acctbal)) AS sample_frequency
       FROM eff GROUP BY 1""",
     "command_logs": COMMAND_LOGS,
     # ---- streams ----
@@ -509,6 +509,6 @@ ORACLES: dict[str, str] = {
       coalesce(sets_asleep, was_asleep) AS asleep, coalesce(sets_hz, was_hz) AS hz FROM tl""",
     "stream_reports": COMMAND_LOGS,
     "stream_reports_folded": COMMAND_LOGS,
-    "stream_pack": f"""WITH {NAMED} SELECT serial_number, date_trunc('second', ts)::TIMESTAMP AS period_start, count(*)::INTEGER AS n
-      FROM named GROUP BY 1, 2""",
+    "stream_pack": f"""WITH {READINGS} SELECT serial_number, date_trunc('second', time)::TIMESTAMP AS period_start, time, measurement
+      FROM readings""",
 }

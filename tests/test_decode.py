@@ -123,9 +123,9 @@ def test_log_lines(spark):
         'time="2025-01-01T00:00:00.12Z" logger="AAD-1123" level="INFO" message="sensor is set to sleep"'
     back = decode.parse_log_lines(lines).first()
     assert (back.logger, back.level, back.message) == ("AAD-1123", "INFO", "sensor is set to sleep")
-    # The writer does not escape quotes, so a quoted message comes back cut.
+    # The writer does not escape quotes; the message is the last field and ends at the last quote.
     quoted = decode.parse_log_lines(decode.log_lines(df.withColumn("message", F.lit('a "b" c')))).first()
-    assert quoted.message == "a "
+    assert quoted.message == 'a "b" c'
 
 
 def test_pack_and_decode_are_inverse(spark):

@@ -36,7 +36,7 @@ def test_blocking_pairs_against_brute_force(spark):
     want = Counter((text[p], text[r]) for lt, p, ok in locks if not ok
                    for lt2, r, _ in locks if lt2 == lt and r != p)
     got = health.blocking_pairs(spark.createDataFrame(locks, "locktype string, pid int, granted boolean"),
-                                spark.createDataFrame(activity, "pid int, query string"))
+                                spark.createDataFrame(activity, "pid int, query string"), ["locktype"])
     assert {(r.blocked_statement, r.blocking_statement): r.pairs for r in got.collect()} == dict(want)
 
 

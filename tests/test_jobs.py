@@ -7,6 +7,7 @@ from test_tables import batch
 from tidewire.operators import snapshots
 from tidewire.operators.ingest import DuplicateKeyError
 from tidewire.plans import jobs
+from tidewire.schemas import KEYS
 from tidewire.sources import readers, tables
 from tidewire.streaming import ingest as ingest_stream
 
@@ -22,9 +23,18 @@ def test_ticks(spark, name):
     assert counts == {"queries": 2, "snapshots": 2, "statements": 4, "connection_stats": 2, "sizes": 2}
     with pytest.raises(DuplicateKeyError):
         jobs.record_tick(src, second, names)
-    assert tables.fresh(spark, names["statements"]).count() == 4
+    # A tick that broke off after its first strict table is finished by recording it again.
+    third = "2024-01-01 00:00:45"
+    part = snapshots.take(src, third)
+    tables.write_history(part["snapshots"], names["snapshots"], KEYS["snapshots"], "error")
+    jobs.record_tick(src, third, names)
+    counts = {k: tables.fresh(spark, n).count() for k, n in names.items()}
+    assert counts == {"queries": 2, "snapshots": 3, "statements": 6, "connection_stats": 3, "sizes": 3}
+    with pytest.raises(DuplicateKeyError):
+        jobs.record_tick(src, third, names)
+    assert tables.fresh(spark, names["statements"]).count() == 6
     grown = snapshots.delta(tables.fresh(spark, names["statements"]), ["queryid", "rolname", "datname"], ["calls"])
-    assert sorted(str(r.d_calls) for r in grown.collect()) == ["0", "0", "None", "None"]
+    assert sorted(str(r.d_calls) for r in grown.collect()) == ["0", "0", "0", "0", "None", "None"]
     assert jobs.trim_history(spark, {"connection_stats": names["connection_stats"]}, "2024-01-09 00:00:00") == 1
     assert tables.fresh(spark, names["connection_stats"]).count() == 0
 
@@ -51,8 +61,8 @@ def test_messages_from_files(spark, name, tmp_path):
                                    '{"SerialNumber":"A","Timestamp":"2024-01-01T00:00:02Z","Value":3}]')
     (folder / "3.json").write_text("oops")
     stream = readers.message_files(spark, str(folder), max_files=1)
-    ingest_stream.start(stream, f"{name}_sensor", name, str(tmp_path / "c"), stats=f"{name}_stats",
-                        trigger={"availableNow": True}).awaitTermination()
+    ingest_stream.start(stream, f"{name}_sensor", name, str(tmp_path / "c"), f"{name}_rejected", f"{name}_malformed",
+                        stats=f"{name}_stats", trigger={"availableNow": True}).awaitTermination()
     assert rows(tables.fresh(spark, name).select("sensor_id", F.second("time"), "measurement")) == [
         (1, 1, 1.0), (1, 2, 3.0)]
     assert tables.fresh(spark, f"{name}_stats").agg(F.sum("n")).first()[0] == 3

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import commands as ops
 from tidewire.operators import decode, ingest
 from tidewire.sources import readers, tables
-from tidewire.streaming import commands, logs, packing, registry
+from tidewire.streaming import commands, logs, packing, quarantine, registry
 from tidewire.streaming import ingest as ingest_stream
 
 ALL = {"availableNow": True}
@@ -31,6 +31,7 @@ def world(spark, name, tmp_path):
 
     def run(checkpoint="c1", **kw):
         stream = readers.file_stream(spark, folder, "batch_id int, arrival int, value string", max_files=1)
+        kw = {"rejected": f"{name}_rejected", "malformed": f"{name}_malformed", **kw}
         ingest_stream.start(stream, f"{name}_sensor", name, f"{tmp_path}/{checkpoint}", trigger=ALL, **kw).awaitTermination()
         return rows(tables.fresh(spark, name).select("sensor_id", F.second("time"), "measurement"))
 
@@ -55,18 +56,23 @@ def test_one_unknown_serial_rejects_its_message(spark, world, name):
     folder, run = world
     put(spark, folder, [(1, 1, message(("A", 1, 1.0), ("X", 2, 2.0), ("A", 3, 3.0))), (2, 2, message(("B", 1, 1.0))),
                         (3, 3, "broken")])
-    got = run(rejected=f"{name}_rejected", malformed=f"{name}_malformed", stats=f"{name}_stats")
+    got = run(stats=f"{name}_stats")
     assert got == [(2, 1, 1.0)]
     assert tables.fresh(spark, f"{name}_rejected").count() == 3
     assert rows(tables.fresh(spark, f"{name}_malformed").select("batch_id", "value")) == [(3, "broken")]
     assert rows(tables.fresh(spark, f"{name}_stats").select("batch_id", "serial_number", "status", "n")) == [
-        (1, "A", "error", 2), (1, "X", "error", 1), (2, "B", "success", 1)]
+        ("1", "A", "error", 2), ("1", "X", "error", 1), ("2", "B", "success", 1)]
+
+
+def test_quarantine_needs_its_tables(spark, name):
+    with pytest.raises(ValueError):
+        ingest_stream.start(None, f"{name}_sensor", name, "c", rejected=f"{name}_rejected")
 
 
 def test_quarantine_keeps_the_known_readings(spark, world, name):
     folder, run = world
     put(spark, folder, [(1, 1, message(("A", 1, 1.0), ("X", 2, 2.0)))])
-    assert run(mode="quarantine", rejected=f"{name}_rejected") == [(1, 1, 1.0)]
+    assert run(mode="quarantine") == [(1, 1, 1.0)]
     assert rows(tables.fresh(spark, f"{name}_rejected").select("serial_number", "measurement")) == [("X", 2.0)]
 
 
@@ -97,23 +103,29 @@ def test_registry_stream(spark, name, tmp_path):
         (0, 5, '{"SerialNumber":"D"}'), (0, 6, "{}")])
     stream = readers.file_stream(spark, f"{tmp_path}/in", "batch_id int, arrival int, value string")
     for c in ("c1", "c2"):
-        registry.start(stream, name, f"{tmp_path}/{c}", trigger=ALL).awaitTermination()
+        registry.start(stream, name, f"{tmp_path}/{c}", f"{name}_{c}", trigger=ALL).awaitTermination()
+        kept = [(r.reason, r.message) for r in tables.fresh(spark, f"{name}_{c}").collect()]
+        assert sorted(k[0] for k in kept) == ["frequency_not_positive", "malformed"]
+        assert any('"serial_number":"C"' in k[1] for k in kept)
     got = tables.fresh(spark, name)
     assert rows(got.select("serial_number", "sample_frequency")) == [("A", 1.0), ("B", 2.0), ("D", None)]
     assert len({r.id for r in got.collect()}) == 3
 
 
-def test_log_stream_and_tail(spark, tmp_path):
+def test_log_stream_and_tail(spark, name, tmp_path):
     put(spark, f"{tmp_path}/in", [(0, 1, '{"SerialNumber":"AAD-1123","Timestamp":"2025-01-01T00:00:00.12Z","Level":"INFO",'
-                                         '"Message":"sensor is set to sleep"}'), (0, 2, "?")])
-    stream = readers.file_stream(spark, f"{tmp_path}/in", "batch_id int, arrival int, value string")
-    logs.start(stream, f"{tmp_path}/out", f"{tmp_path}/c", trigger=ALL).awaitTermination()
-    assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == [
-        'time="2025-01-01T00:00:00.12Z" logger="AAD-1123" level="INFO" message="sensor is set to sleep"']
-    tail = decode.parse_log_lines(readers.log_file_stream(spark, f"{tmp_path}/out"))
+                                         '"Message":"sensor is set to \\"sleep\\""}'), (0, 2, "?")])
+    put(spark, f"{tmp_path}/in", [(0, 3, "!")])
+    stream = readers.file_stream(spark, f"{tmp_path}/in", "batch_id int, arrival int, value string", max_files=1)
+    logs.start(stream, f"{tmp_path}/out", f"{tmp_path}/c", name, trigger=ALL).awaitTermination()
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out").select("value").collect()] == [
+        'time="2025-01-01T00:00:00.12Z" logger="AAD-1123" level="INFO" message="sensor is set to "sleep""']
+    assert sorted(r.message for r in tables.fresh(spark, name).collect()) == [
+        '{"batch_id":0,"arrival":2,"value":"?"}', '{"batch_id":0,"arrival":3,"value":"!"}']
+    tail = decode.parse_log_lines(readers.log_file_stream(spark, f"{tmp_path}/out/*"))
     q = tail.writeStream.format("memory").queryName("tail").trigger(**ALL).start()
     q.awaitTermination()
-    assert rows(spark.table("tail").select("logger", "level")) == [("AAD-1123", "INFO")]
+    assert rows(spark.table("tail").select("logger", "level", "message")) == [("AAD-1123", "INFO", 'sensor is set to "sleep"')]
 
 
 # Command sequences with the state and texts they lead to (fixed values).
@@ -160,7 +172,7 @@ def initial(spark):
 
 def test_command_fold(spark, command_messages, initial):
     parsed, _ = decode.commands(spark.read.parquet(command_messages))
-    for block in ("1 hour", "3 days"):
+    for block in (1, 7, 10_000):
         state, reports = ops.fold(parsed, initial, block=block)
         assert {r.serial_number: (r.asleep, r.sample_frequency) for r in state.collect()} == {
             s: v[1] for s, v in SEQUENCES.items()}
@@ -205,19 +217,76 @@ def test_folded_command_stream(spark, command_messages, initial, name, tmp_path)
         s: v[1] for s, v in SEQUENCES.items()}
 
 
+@pytest.mark.parametrize("files", [1, 1000])
+def test_commands_apply_in_arrival_order_whatever_the_cut(spark, tmp_path, name, files):
+    """Times run against arrival; one file per micro-batch, or all at once."""
+    words = ["sleep", "changeSampleFrequency", "awake", "awake", "sleep", "sleep"]
+    for n, word in enumerate(words):
+        params = f',"Params":{{"sampleFrequency":{n + 1}}}' if word.startswith("change") else ""
+        put(spark, f"{tmp_path}/in", [(0, n, f'{{"SerialNumber":"A","Timestamp":"2024-01-{20 - n}T00:00:00Z","Command":"{word}"{params}}}')],
+            "batch_id int, arrival bigint, value string")
+    start = spark.createDataFrame([("A", False, HZ)], "serial_number string, asleep boolean, sample_frequency double")
+    batch, _ = decode.commands(spark.read.parquet(f"{tmp_path}/in"))
+    want = rows(ops.reports(ops.timeline(batch, start)).select("arrival", "seq", "message"))
+    assert [r[2] for r in sorted(want)] == [
+        "sensor is set to sleep", "Sample frequency changed to 2 [Hz]",
+        "changes of sample frequency applied, but sensor is currently in a sleep state", "sensor is awake from sleep at 2 [Hz]",
+        "sensor is already in an awake state", "sensor is set to sleep", "sensor is already in a sleep state"]
+
+    def stream():
+        return decode.commands(readers.file_stream(spark, f"{tmp_path}/in", "batch_id int, arrival bigint, value string", max_files=files))[0]
+    commands.start(stream(), start, f"{tmp_path}/keyed", f"{tmp_path}/c1", trigger=ALL).awaitTermination()
+    tables.create(spark.createDataFrame([], commands.STATE), name, ["epoch"])
+    commands.start_folded(stream(), start, name, f"{tmp_path}/folded", f"{tmp_path}/c2", trigger=ALL).awaitTermination()
+    for form in ("keyed", "folded"):
+        assert rows(spark.read.parquet(f"{tmp_path}/{form}/reports").select("arrival", "seq", "message")) == want
+
+
+def test_commands_from_message_files(spark, tmp_path, name):
+    (tmp_path / "in").mkdir()
+    for n, word in enumerate(("sleep", "awake")):
+        (tmp_path / "in" / f"{n}.json").write_text(f'{{"SerialNumber":"A","Timestamp":"2024-01-01T00:00:00Z","Command":"{word}"}}')
+        __import__("time").sleep(0.05)
+    (tmp_path / "in" / "x.json").write_text("?")
+    start = spark.createDataFrame([("A", False, HZ)], "serial_number string, asleep boolean, sample_frequency double")
+    messages = readers.message_files(spark, f"{tmp_path}/in")
+    commands.start(decode.commands(messages)[0], start, f"{tmp_path}/out", f"{tmp_path}/c", trigger=ALL).awaitTermination()
+    assert [r.message for r in spark.read.parquet(f"{tmp_path}/out/reports").orderBy("arrival").collect()] == [
+        "sensor is set to sleep", f"sensor is awake from sleep at {HZ:.0f} [Hz]"]
+    quarantine.start(messages, decode.commands, name, f"{tmp_path}/q", trigger=ALL).awaitTermination()
+    assert ['"value":"?"' in r.message for r in tables.fresh(spark, name).collect()] == [True]
+
+
+FREQUENCIES = {"1e22": "1e+22", "1e-5": "1e-05", "0.00012": "0.00012", "100": "100", "1e20": "100000000000000000000", "12.50": "12.5",
+               "1e-17": "1e-17", "123456789.125": "123456789.125", "0": "0", "-2.5": "-2.5", "1E3": "1000", "1.5e300": "1.5e+300"}
+
+
+def test_frequencies_of_any_form(spark, initial):
+    odd = ["10d", "7f", " 5 ", "Infinity", "NaN", "0x1p3", "1e999", "", ".5", "1.", "+1"]
+    sent = [*FREQUENCIES, *odd]
+    got = ops.reports(ops.timeline(spark.createDataFrame(
+        [("S1", n, "changeSampleFrequency", {"sampleFrequency": hz}) for n, hz in enumerate(sent)],
+        "serial_number string, arrival bigint, command string, params map<string,string>").withColumn("time", F.current_timestamp()), initial))
+    texts = [r.message for r in got.orderBy("arrival").collect()]
+    assert texts == [f"Sample frequency changed to {t} [Hz]" for t in FREQUENCIES.values()] + ["SampleFrequency is not a number. Skipping..."] * len(odd)
+
+
 def test_packing_stream(spark, tmp_path):
     schema = "serial_number string, time timestamp, measurement double"
-    data = spark.createDataFrame([("A", 0), ("A", 0), ("A", 1), ("B", 0), ("end", 900)], "serial_number string, s int") \
-        .select("serial_number", (F.timestamp_seconds(F.col("s") + 1704067200)).alias("time"), F.lit(1.0).alias("measurement"))
-    for serial in ("A", "B", "end"):
-        data.where(F.col("serial_number") == serial).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    out = packing.pack(readers.file_stream(spark, f"{tmp_path}/in", schema))
-    (out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
-     .outputMode("append").trigger(**ALL).start().awaitTermination())
-    back, bad = decode.measurements(spark.read.parquet(f"{tmp_path}/out").select("value"))
-    assert bad.count() == 0
-    assert rows(back.select("serial_number", "time")) == rows(
-        data.where("serial_number <> 'end'").select("serial_number", "time"))
+    # The second file is far ahead, the third is late: nothing is lost, and the period of A is sent again.
+    data = spark.createDataFrame([("A", 0, 1.0), ("A", 0, 2.0), ("A", 1, 3.0), ("B", 900, 4.0), ("A", 0, 5.0)],
+                                 "serial_number string, s int, measurement double") \
+        .select("serial_number", (F.timestamp_seconds(F.col("s") + 1704067200)).alias("time"), "measurement")
+    for part in ("measurement <= 3", "measurement = 4", "measurement = 5"):
+        data.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for files in (1, 1000):
+        stream = readers.file_stream(spark, f"{tmp_path}/in", schema, max_files=files)
+        packing.start(stream, f"{tmp_path}/out{files}", f"{tmp_path}/c{files}", trigger=ALL).awaitTermination()
+        sent = spark.read.parquet(f"{tmp_path}/out{files}")
+        back, bad = decode.measurements(sent.select("value"))
+        assert bad.count() == 0
+        assert rows(back.select("serial_number", "time", "measurement")) == rows(data)
+        assert sent.agg(F.sum("n")).first()[0] == 5
 
 
 def test_resent_readings_are_dropped_in_the_stream(spark, tmp_path):
@@ -226,7 +295,7 @@ def test_resent_readings_are_dropped_in_the_stream(spark, tmp_path):
                                 F.lit(1.0).alias("measurement"))
     for _ in range(2):
         one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    out = ingest_stream.drop_resent(readers.file_stream(spark, f"{tmp_path}/in", schema, max_files=1))
+    out = ingest_stream.drop_resent(readers.file_stream(spark, f"{tmp_path}/in", schema, max_files=1), "35 minutes")
     q = out.writeStream.format("memory").queryName("resent").trigger(**ALL).start()
     q.awaitTermination()
     assert spark.table("resent").count() == 5

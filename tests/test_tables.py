@@ -39,8 +39,7 @@ def test_first_write_wins(spark, name):
     assert len(stored(spark, name)) == 4
 
 
-def test_many_touched_partitions_fall_back_to_their_range(spark, name, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_LISTED_PARTITIONS", 2)
+def test_many_touched_partitions(spark, name):
     tables.create_measurements(spark, name)
     data = batch(spark, [(i, f"2024-01-01 0{i}:00:00", float(i), i) for i in range(6)])
     tables.write_measurements(data, name, ["arrival"])
@@ -209,18 +208,28 @@ def test_cascades(spark):
     assert {n: same[n].count() for n in frames} == {"target": 2, "target_location": 2, "sensor": 3, "measurement": 4}
 
 
-@pytest.mark.parametrize("limit", [0, 1, 100])
-def test_both_ways_of_rejecting_messages_agree(spark, monkeypatch, limit):
-    """Also when the list of rejected messages is too long to be broadcast."""
+def test_messages_with_an_unknown_serial_are_rejected_whole(spark):
     from tidewire.operators import ingest
 
-    monkeypatch.setattr(ingest, "MAX_BROADCAST_MESSAGES", limit)
     sensor = spark.createDataFrame([(1, "A"), (2, "B")], "id int, serial_number string")
-    data = [(b_, s) for b_, s in [(1, "A"), (1, "X"), (2, "B"), (3, "Y"), (3, "B"), (3, "A"), (4, "A")]]
-    m = ingest.match_sensors(spark.createDataFrame(data, "batch_id int, serial_number string"), sensor).persist()
-    want = rows(ingest.mark_rejected(m))
-    assert sorted(r.batch_id for r in ingest.mark_rejected(m).where("rejected").collect()) == [1, 1, 3, 3, 3]
-    assert rows(ingest.mark_rejected_persisted(m)) == want
-    good = m.where("batch_id in (2, 4)")
-    assert rows(ingest.mark_rejected_persisted(good)) == rows(ingest.mark_rejected(good))
-    m.unpersist()
+    data = [(b_, s) for b_, s in [(1, "A"), (1, "X"), (2, "B"), (3, "Y"), (3, "B"), (3, "A"), (4, "A"), (None, "Z"), (None, "A")]]
+    m = ingest.match_sensors(spark.createDataFrame(data, "batch_id int, serial_number string"), sensor)
+    got = ingest.mark_rejected(m)
+    assert rows(got.where("rejected").select("batch_id")) == rows(spark.createDataFrame([(1,), (1,), (3,), (3,), (3,), (None,), (None,)], "i int"))
+    assert got.count() == 9
+
+
+def test_a_range_on_day_chunks_loses_no_rows(spark, name):
+    from tidewire.operators import series
+
+    tables.create_measurements(spark, name, "1 day")
+    assert tables.chunk_width(spark, name) == "1 day"
+    data = batch(spark, [(1, f"2024-01-{d:02d} {h:02d}:00:00", 1.0, d * 24 + h) for d in range(9, 13) for h in range(24)])
+    tables.write_measurements(data, name, ["arrival"], chunk="1 day")
+    sensor = spark.createDataFrame([(1, "A")], "id int, serial_number string")
+    for chunk in ("1 day", None):
+        got = series.read_series(tables.fresh(spark, name), sensor, ["A"], "2024-01-10 12:00:00", "2024-01-12 21:00:00", chunk=chunk)
+        assert got.count() == 57
+    plan = series.in_range(tables.fresh(spark, name), "2024-01-10 12:00:00", "2024-01-11 00:00:00", chunk="1 day")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in text and "chunk_start" in text.split("PartitionFilters")[1]

@@ -52,9 +52,36 @@ def logfmt_field(line: Column, field: str) -> Column:
     return F.regexp_extract(line, rf'(?:^| ){field}="([^"]*)"', 1)
 
 
+def logfmt_last_field(line: Column, field: str) -> Column:
+    """Value of the line's last field, up to the line's last quote: quotes inside it are not escaped."""
+    return F.regexp_extract(line, rf'(?s)(?:^| ){field}="(.*)"\z', 1)
+
+
+#: A number as JSON writes it.
+NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
+
+
+def number(col: Column) -> Column:
+    """A number text as a double; NULL for any other text, and for one that no double holds."""
+    value = F.when(col.rlike(NUMBER), col.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def frequency_text(hz: Column) -> Column:
-    """A frequency as the shortest plain number text: 100 instead of 100.0."""
-    return F.regexp_replace(hz.cast("decimal(38,16)").cast("string"), r"\.?0+$", "")
+    """A frequency as the shortest number text: 100 instead of 100.0; with an exponent of two digits or more
+    below 1e-4 and from 1e21 on."""
+    size, short = F.abs(hz), hz.cast("string")
+    mantissa = F.regexp_replace(F.split_part(short, F.lit("E"), F.lit(1)), r"\.0$", "")
+    exponent = F.split_part(short, F.lit("E"), F.lit(2)).cast("int")
+    digits = F.abs(exponent).cast("string")
+    scientific = F.concat(mantissa, F.when(exponent < 0, "e-").otherwise("e+"),
+                          F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
+
+    def plain(kind: str) -> Column:
+        return F.regexp_replace(hz.try_cast(kind).cast("string"), r"\.?0+$", "")
+
+    return (F.when(size == 0, F.lit("0")).when((size < 1e-4) | (size >= 1e21), scientific)
+            .when(size < 1, plain("decimal(38,21)")).otherwise(plain("decimal(38,16)")))
 
 
 # Size units, and the limits at which the next unit is used.

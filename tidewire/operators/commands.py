@@ -1,11 +1,15 @@
-"""Sensor commands: what a sensor's state is after each one and what it reports."""
+"""Sensor commands: what a sensor's state is after each one and what it reports.
+
+A sensor acts on commands as they arrive, whatever time they carry. ``arrival`` is a number that grows along a sensor's
+messages, so the result is the same for a table, and for a stream cut into any micro-batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import frequency_text
+from ..functions.text import frequency_text, number
 from .scan import carry_forward_by_block
 
 # Command words and report texts.
@@ -35,7 +39,7 @@ def classify(commands: DataFrame) -> DataFrame:
 def effects(commands: DataFrame) -> DataFrame:
     """Adds the asleep flag and the frequency a command sets, NULL where it sets none."""
     word = F.col("command")
-    frequency = F.col("params")[FREQUENCY_PARAM].try_cast("double")
+    frequency = number(F.col("params")[FREQUENCY_PARAM])
     return commands.select(
         "*",
         F.when(word == SLEEP, True).when(word == AWAKE, False).alias("sets_asleep"),
@@ -43,14 +47,17 @@ def effects(commands: DataFrame) -> DataFrame:
     )
 
 
-def timeline(commands: DataFrame, initial: DataFrame, arrival: str = "arrival", block: str = "1 day") -> DataFrame:
+#: Arrival numbers whose commands are ordered in one group.
+BLOCK = 100_000
+
+
+def timeline(commands: DataFrame, initial: DataFrame, arrival: str = "arrival", block: int = BLOCK) -> DataFrame:
     """Every command with the state before it.
 
     `initial` is (serial_number, asleep, sample_frequency): the state the fold starts from. Commands of a
-    sensor are applied in (time, arrival) order.
+    sensor are applied in the order of arrival.
     """
-    rows = carry_forward_by_block(effects(commands), ["serial_number"], "time", ["sets_asleep", "sets_hz"],
-                                  block, tie=[arrival])
+    rows = carry_forward_by_block(effects(commands), ["serial_number"], arrival, ["sets_asleep", "sets_hz"], block)
     start = initial.select("serial_number", F.col("asleep").alias("__asleep"),
                            F.col("sample_frequency").alias("__hz"))
     return rows.join(start, "serial_number", "left").select(
@@ -87,9 +94,8 @@ def reports(timeline_: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 def final_state(commands: DataFrame, initial: DataFrame, arrival: str = "arrival") -> DataFrame:
     """State per sensor after its commands: an aggregate, no ordering of rows needed."""
-    order = F.struct("time", arrival)
     latest = effects(commands).groupBy("serial_number").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("sets_asleep", "sets_hz")]
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in ("sets_asleep", "sets_hz")]
     )
     return latest.join(initial.select("serial_number", "asleep", "sample_frequency"), "serial_number", "left").select(
         "serial_number",
@@ -98,7 +104,7 @@ def final_state(commands: DataFrame, initial: DataFrame, arrival: str = "arrival
     )
 
 
-def fold(commands: DataFrame, initial: DataFrame, arrival: str = "arrival", block: str = "1 day"
+def fold(commands: DataFrame, initial: DataFrame, arrival: str = "arrival", block: int = BLOCK
          ) -> tuple[DataFrame, DataFrame]:
     """(state per sensor, log records)."""
     return final_state(commands, initial, arrival), reports(timeline(commands, initial, arrival, block), arrival)

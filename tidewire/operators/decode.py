@@ -141,7 +141,8 @@ def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     line = F.col(value)
     return lines.select(
         F.try_to_timestamp(text.logfmt_field(line, "time")).alias("time"),
-        *[text.logfmt_field(line, f).alias(f) for f in ("logger", "level", "message")],
+        *[text.logfmt_field(line, f).alias(f) for f in ("logger", "level")],
+        text.logfmt_last_field(line, "message").alias("message"),
     )
 
 

@@ -160,28 +160,36 @@ def top(df: DataFrame, col: str, k: int | None = None, nulls: str = "first", tie
     return out if k is None else out.limit(k)
 
 
-def blocking_pairs(locks: DataFrame, activity: DataFrame) -> DataFrame:
+#: What two locks must agree in to be on the same thing (NULL agrees with NULL).
+LOCK_IDENTITY = ("locktype", "database", "relation", "transactionid")
+
+
+def blocking_pairs(locks: DataFrame, activity: DataFrame, identity: Sequence[str] = LOCK_IDENTITY) -> DataFrame:
     """Which statement waits for which: (blocked, blocking, pairs).
 
-    Two locks of the same type but different sessions pair up when the first one is not granted. The
+    Two locks on the same thing but of different sessions pair up when the first one is not granted. The
     result lists each pair of statements once with the number of lock pairs behind it. Locks are counted
-    per (type, statement) on both sides before the join, and pairs of a session with itself are taken
-    off afterwards, so lock pairs are never enumerated.
+    per (thing, statement) on both sides before the join, and pairs of a session with itself are taken
+    off afterwards, so lock pairs are never enumerated. A session without a text is the statement NULL.
+
+    ``identity=("locktype",)`` pairs locks by type alone, as an operator looking at a few sessions does: filter the
+    locks first, since a type is shared by most of them.
     """
-    per_session = locks.groupBy("locktype", "pid").agg(
+    per_session = locks.groupBy(*identity, "pid").agg(
         F.count("*").alias("held"), F.count_if(~F.col("granted")).alias("waiting")
     ).join(activity.select("pid", "query"), "pid")
     # pairs(a, b) = waiting(a) · held(b), minus each session's pairs with itself (there a = b).
-    per_statement = per_session.groupBy("locktype", "query").agg(
+    per_statement = per_session.groupBy(*identity, "query").agg(
         F.sum("held").alias("held"), F.sum("waiting").alias("waiting"),
         F.sum(F.col("held") * F.col("waiting")).alias("own"),
     )
     blocked = per_statement.where("waiting > 0").select(
-        "locktype", F.col("query").alias("blocked_statement"), "waiting", "own")
-    blocking = per_statement.select("locktype", F.col("query").alias("blocking_statement"), "held")
-    same = F.col("blocked_statement") == F.col("blocking_statement")
+        *identity, F.col("query").alias("blocked_statement"), "waiting", "own").alias("w")
+    blocking = per_statement.select(*identity, F.col("query").alias("blocking_statement"), "held").alias("h")
+    one_thing = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in identity]
+    same = F.col("blocked_statement").eqNullSafe(F.col("blocking_statement"))
     pairs = F.col("waiting") * F.col("held") - F.when(same, F.col("own")).otherwise(F.lit(0))
     return (
-        blocked.join(blocking, "locktype").withColumn("pairs", pairs).where("pairs > 0")
+        blocked.join(blocking, one_thing).withColumn("pairs", pairs).where("pairs > 0")
         .groupBy("blocked_statement", "blocking_statement").agg(F.sum("pairs").alias("pairs"))
     )

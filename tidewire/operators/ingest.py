@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.timing import instant, seconds_between
@@ -21,41 +20,20 @@ def match_sensors(readings: DataFrame, sensor: DataFrame) -> DataFrame:
     return readings.join(known, "serial_number", "left")
 
 
-#: Lists of rejected messages up to this length are broadcast.
-MAX_BROADCAST_MESSAGES = 250_000
-
-
 def mark_rejected(matched: DataFrame, mode: str = "strict", batch: str = "batch_id") -> DataFrame:
-    """Adds whether a reading is ``rejected``, in one pass.
+    """Adds whether a reading is ``rejected``.
 
     ``strict`` rejects every reading of a message that names an unknown serial; ``quarantine`` rejects
-    only the readings with an unknown serial. A message is one broker frame, so the window per message is
-    bounded by the frame size.
+    only the readings with an unknown serial. Only the ids of rejected messages, usually few, are gathered and
+    joined; the readings are not sorted by message.
     """
     missing = F.col("sensor_id").isNull()
     if mode == "quarantine":
         return matched.withColumn("rejected", missing)
     if mode != "strict":
         raise ValueError(f"unknown mode {mode!r}")
-    return matched.withColumn("rejected", F.max(missing).over(W.partitionBy(batch)))
-
-
-def mark_rejected_persisted(matched: DataFrame, mode: str = "strict", batch: str = "batch_id") -> DataFrame:
-    """`mark_rejected` for matched readings that are persisted.
-
-    The messages to reject are counted first. There are usually none, and then, or when their list is
-    short, the readings need not be shuffled.
-    """
-    if mode != "strict":
-        return mark_rejected(matched, mode, batch)
-    bad = matched.where(F.col("sensor_id").isNull()).select(batch).distinct()
-    n = bad.limit(MAX_BROADCAST_MESSAGES + 1).count()
-    if n == 0:
-        return matched.withColumn("rejected", F.lit(False))
-    if n > MAX_BROADCAST_MESSAGES:
-        return mark_rejected(matched, mode, batch)
-    flags = F.broadcast(bad.withColumn("__bad", F.lit(True)))
-    return matched.join(flags, batch, "left").select(
+    bad = matched.where(missing).select(F.col(batch).alias("__batch")).distinct().withColumn("__bad", F.lit(True))
+    return matched.join(bad, F.col(batch).eqNullSafe(F.col("__batch")), "left").select(
         *matched.columns, F.coalesce("__bad", F.lit(False)).alias("rejected"))
 
 

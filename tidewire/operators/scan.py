@@ -1,7 +1,7 @@
 """Ordered per-key computations that stay parallel when one key holds a large share of the rows.
 
 A plain ``Window.partitionBy(key)`` sends a key's whole history to one task. Here a key's time line is
-cut into blocks of fixed width. Rows are ordered only inside their (key, block); what crosses a block
+cut into blocks of fixed width (an interval, or a number where rows are ordered by a number). Rows are ordered only inside their (key, block); what crosses a block
 border is a small per-block summary. Results equal the plain window for every block width. Keys are not
 NULL.
 """
@@ -19,10 +19,11 @@ from ..functions.timing import bucket
 _BLOCK = "__block"
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], block: str):
+def _blocked(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], block: str | int):
     part = [*keys, _BLOCK]
     inside = W.partitionBy(*part).orderBy(ts, *tie)
-    return df.withColumn(_BLOCK, bucket(ts, block)), part, inside
+    number = F.floor(F.col(ts) / block) if isinstance(block, int) else bucket(ts, block)
+    return df.withColumn(_BLOCK, number), part, inside
 
 
 def _join_carry(rows: DataFrame, carry: DataFrame, part: Sequence[str]) -> DataFrame:
@@ -69,7 +70,7 @@ def running_sum_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequ
     return out.select(*df.columns, *[plus(c) for c in cols])
 
 
-def carry_forward_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], block: str,
+def carry_forward_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], block: str | int,
                            tie: Sequence[str] = ()) -> DataFrame:
     """Adds last_<col>: the key's latest non-NULL value strictly before this row."""
     rows, part, inside = _blocked(df, keys, ts, tie, block)

@@ -11,25 +11,23 @@ from pyspark.sql import functions as F
 
 from ..functions.timing import bucket, explode_grid, instant, seconds_between, shift, window_start
 
-#: A literal list of serials up to this length is shipped with the plan (serials are unique, so the
-#: matching registry rows are at most as many).
-MAX_BROADCAST_SERIALS = 10_000
-
 Serials = Sequence[str] | DataFrame | None
 
 
 def in_range(df: DataFrame, start: str | datetime | None, end: str | datetime | None,
-             ts: str = "time") -> DataFrame:
-    """start <= ts < end. On a chunked table the chunk column is bounded too, which prunes partitions."""
+             ts: str = "time", chunk: str | None = None) -> DataFrame:
+    """start <= ts < end. On a chunked table the chunk column is bounded too, which prunes partitions.
+
+    A chunk starts no later than its rows, so the upper bound holds for any chunk width. The lower bound needs the
+    width the table was written with (`chunk`, see `sources.tables.chunk_width`); without it none is set.
+    """
     if start is not None:
         df = df.where(F.col(ts) >= instant(start))
     if end is not None:
         df = df.where(F.col(ts) < instant(end))
     if "chunk_start" in df.columns:
-        from .lifecycle import MEASUREMENT_CHUNK
-
-        if start is not None:
-            df = df.where(F.col("chunk_start") >= bucket(instant(start), MEASUREMENT_CHUNK))
+        if start is not None and chunk is not None:
+            df = df.where(F.col("chunk_start") >= bucket(instant(start), chunk))
         if end is not None:
             df = df.where(F.col("chunk_start") < instant(end))
     return df
@@ -46,19 +44,18 @@ def pick_sensors(sensor: DataFrame, serials: Serials) -> DataFrame:
     if isinstance(serials, DataFrame):
         return picked.join(serials.select("serial_number"), "serial_number", "left_semi").select(
             "id", "serial_number")
-    picked = picked.where(F.col("serial_number").isin(list(serials)))
-    return F.broadcast(picked) if len(serials) <= MAX_BROADCAST_SERIALS else picked
+    return picked.where(F.col("serial_number").isin(list(serials)))
 
 
 def read_series(m: DataFrame, sensor: DataFrame, serials: Serials = None, start=None, end=None,
-                ordered: bool = True) -> DataFrame:
+                ordered: bool = True, chunk: str | None = None) -> DataFrame:
     """(time, measurement, serial_number) of the chosen sensors in [start, end), in time order.
 
     Catalyst broadcasts the registry side while its size allows it and otherwise merges sorted sides,
     where adaptive execution splits a sensor that dominates.
     """
     out = (
-        in_range(m, start, end)
+        in_range(m, start, end, chunk=chunk)
         .join(pick_sensors(sensor, serials), F.col("sensor_id") == F.col("id"))
         .select("time", "measurement", "serial_number")
     )
@@ -73,7 +70,7 @@ def bucket_avg(m: DataFrame, width: str, keys: Sequence[str] = ("sensor_id",)) -
 
 
 def gapfill_avg(m: DataFrame, sensor: DataFrame, width: str, start, end, serials: Serials = None,
-                ordered: bool = True) -> DataFrame:
+                ordered: bool = True, chunk: str | None = None) -> DataFrame:
     """Mean per (bucket, serial), with a row for every bucket of [start, end) for every serial that has
     at least one row there; NULL where a bucket is empty.
 
@@ -82,7 +79,7 @@ def gapfill_avg(m: DataFrame, sensor: DataFrame, width: str, start, end, serials
     buckets up to the next filled one, so no spine has to be built and joined. The window orders at
     most one row per bucket of the range, however many measurements a sensor has.
     """
-    rows = in_range(m, start, end)
+    rows = in_range(m, start, end, chunk=chunk)
     if serials is not None:
         rows = rows.join(pick_sensors(sensor, serials).select("id"),
                          F.col("sensor_id") == F.col("id"), "left_semi")
@@ -136,9 +133,9 @@ def sensor_counts(m: DataFrame, sensor: DataFrame, retention_seconds: int = 1800
     )
 
 
-def insert_rate(m: DataFrame, sensor: DataFrame, start, end) -> DataFrame:
+def insert_rate(m: DataFrame, sensor: DataFrame, start, end, chunk: str | None = None) -> DataFrame:
     """Rows per second and sensor over [start, end) next to the configured frequency."""
-    n = in_range(m, start, end).groupBy("sensor_id").agg(F.count("*").alias("n"))
+    n = in_range(m, start, end, chunk=chunk).groupBy("sensor_id").agg(F.count("*").alias("n"))
     span = seconds_between(instant(start), instant(end))
     return sensor.join(n, F.col("id") == F.col("sensor_id"), "left").select(
         "serial_number",

@@ -299,15 +299,17 @@ def activity(spark, sf) -> DataFrame:
 
 
 def locks(spark, sf) -> DataFrame:
-    """Locks: one per line item on its order, held or awaited by the session of its supplier."""
+    """Locks: one per line item on its order, held or awaited by the session of its supplier. All are of one type."""
     return load(spark, sf, "lineitem").select(
-        F.concat(F.lit("order "), "l_orderkey").alias("locktype"), F.col("l_suppkey").alias("pid"),
+        F.lit("relation").alias("locktype"), F.lit(1).alias("database"), F.col("l_orderkey").alias("relation"),
+        F.lit(None).cast("bigint").alias("transactionid"), F.col("l_suppkey").alias("pid"),
         (F.col("l_linestatus") == "F").alias("granted"))
 
 
 def supplier_sessions(spark, sf) -> DataFrame:
     return load(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("pid"), F.concat(F.lit("restock nation "), "s_nationkey").alias("query"))
+        F.col("s_suppkey").alias("pid"),
+        F.when(F.col("s_nationkey") > 0, F.concat(F.lit("restock nation "), "s_nationkey")).alias("query"))
 
 
 def buffers(spark, sf) -> DataFrame:

@@ -31,7 +31,8 @@ def record_tick(inputs: Mapping[str, DataFrame], as_of, names: Mapping[str, str]
                 datname: str | None = snapshots.DATABASE) -> DataFrame | None:
     """Append everything one tick records; returns the ids of the query texts that were new.
 
-    The joined statements feed three tables and are computed once.
+    The joined statements feed three tables and are computed once. A tick that was cut short is finished by
+    recording it again: what it has written already is skipped. Recording a finished tick again is an error.
     """
     base = None
     if "statements" in inputs:
@@ -39,11 +40,20 @@ def record_tick(inputs: Mapping[str, DataFrame], as_of, names: Mapping[str, str]
                                         inputs["databases"], datname).persist(StorageLevel.MEMORY_AND_DISK)
     new_texts = None
     try:
-        for key, df in snapshots.take(inputs, as_of, stats_reset, datname, base).items():
+        frames = snapshots.take(inputs, as_of, stats_reset, datname, base)
+        # The strict tables come last, so a tick is finished when all of them hold it.
+        strict = [key for key in frames if key in STRICT]
+        held = [key for key in strict if tables.holds_any(frames[key], names[key], KEYS[key])]
+        if strict and held == strict:
+            raise ingest.DuplicateKeyError(f"tick {as_of} is recorded already")
+        for key, df in frames.items():
             if key == "queries":
                 new_texts = _upsert_texts(df, names[key])
-            else:
-                tables.write_history(df, names[key], KEYS[key], "error" if key in STRICT else "ignore")
+            elif key not in STRICT:
+                tables.write_history(df, names[key], KEYS[key], "ignore")
+        for key in strict:
+            if key not in held:
+                tables.write_history(frames[key], names[key], KEYS[key], "error")
     finally:
         if base is not None:
             base.unpersist()

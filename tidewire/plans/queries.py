@@ -775,7 +775,7 @@ def command_state(spark, sf):
 
 @query
 def command_logs(spark, sf):
-    _, logs = cmd.fold(*_commands(spark, sf), block="7 days")
+    _, logs = cmd.fold(*_commands(spark, sf))
     return logs.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

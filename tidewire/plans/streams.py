@@ -17,22 +17,31 @@ from ..sources import readers, tables
 from ..streaming import commands as command_stream
 from ..streaming import ingest as ingest_stream
 from ..streaming import logs as log_stream
-from ..streaming import packing
+from ..streaming import packing, quarantine
 from ..streaming import registry as registry_stream
 from . import bindings as b
 
 ALL = {"availableNow": True}
 
 
+#: Files the messages are spread over, and how many of them a micro-batch takes.
+FILES, MAX_FILES = 6, 2
+
+
 def _stream(spark: SparkSession, messages: DataFrame, folder: str) -> DataFrame:
-    """The messages as a file stream."""
-    messages.write.parquet(folder)
-    return readers.file_stream(spark, folder, messages.schema)
+    """The messages as a file stream of several micro-batches."""
+    messages.repartition(FILES).write.parquet(folder)
+    return readers.file_stream(spark, folder, messages.schema, max_files=MAX_FILES)
+
+
+def _new_table() -> str:
+    """The name of a table that the stream creates."""
+    return f"tidewire_{uuid.uuid4().hex}"
 
 
 def _table(df: DataFrame, folder: str, partitions=()) -> str:
     """An external catalog table in the folder."""
-    name = f"tidewire_{uuid.uuid4().hex}"
+    name = _new_table()
     writer = df.write.format("parquet").option("path", folder)
     if partitions:
         writer = writer.partitionBy(*partitions)
@@ -53,8 +62,8 @@ def ingest(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "ingest")
     stream, sensors, target = _ingest_tables(spark, sf, work)
     for attempt in ("first", "replay"):
-        ingest_stream.start(stream, sensors, target, f"{work}/checkpoint-{attempt}", chunk="1 day",
-                            trigger=ALL).awaitTermination()
+        ingest_stream.start(stream, sensors, target, f"{work}/checkpoint-{attempt}", _new_table(), _new_table(),
+                            chunk="1 day", trigger=ALL).awaitTermination()
     return tables.fresh(spark, target).select(F.col("time").cast("timestamp_ntz").alias("time"), "sensor_id", "measurement")
 
 
@@ -63,8 +72,8 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "counters")
     stream, sensors, target = _ingest_tables(spark, sf, work)
     stats = _table(spark.createDataFrame([], ingest_stream.STATS), f"{work}/stats", ["epoch"])
-    ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", stats=stats, chunk="1 day",
-                        trigger=ALL).awaitTermination()
+    ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", _new_table(), _new_table(), stats=stats,
+                        chunk="1 day", trigger=ALL).awaitTermination()
     return metrics.counter(tables.fresh(spark, stats), ["status", "serial_number"], F.col("n"))
 
 
@@ -84,22 +93,29 @@ def registrations(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "registry")
     sensors = _table(b.sensor(spark, sf).limit(0), f"{work}/sensor")
     stream = _stream(spark, b.raw_registrations(spark, sf), f"{work}/messages")
-    registry_stream.start(stream, sensors, f"{work}/checkpoint", trigger=ALL).awaitTermination()
+    registry_stream.start(stream, sensors, f"{work}/checkpoint", _new_table(), trigger=ALL).awaitTermination()
     return tables.fresh(spark, sensors).select("serial_number", "sample_frequency")
 
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "logs")
     stream = _stream(spark, b.raw_logs(spark, sf), f"{work}/messages")
-    log_stream.start(stream, f"{work}/out", f"{work}/checkpoint", trigger=ALL).awaitTermination()
-    parsed = decode.parse_log_lines(spark.read.text(f"{work}/out"))
+    log_stream.start(stream, f"{work}/out", f"{work}/checkpoint", _new_table(), trigger=ALL).awaitTermination()
+    parsed = decode.parse_log_lines(spark.read.text(f"{work}/out").select("value"))
     return parsed.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 def _commands(spark: SparkSession, sf: str, work: str) -> tuple[DataFrame, DataFrame]:
     initial = b.sensor(spark, sf).select("serial_number", F.lit(False).alias("asleep"), "sample_frequency")
-    rows, _ = decode.commands(_stream(spark, b.raw_commands(spark, sf), f"{work}/messages"))
-    return rows, initial
+    messages = b.raw_commands(spark, sf)
+    low, high = messages.agg(F.min("arrival"), F.max("arrival")).first()
+    for k in range(FILES):  # one after the other, since files are read in the order they were written
+        cut = [low + (high + 1 - low) * k // FILES, low + (high + 1 - low) * (k + 1) // FILES]
+        messages.where((F.col("arrival") >= cut[0]) & (F.col("arrival") < cut[1])).coalesce(1) \
+            .write.mode("append").parquet(f"{work}/messages")
+    stream = readers.file_stream(spark, f"{work}/messages", messages.schema, max_files=MAX_FILES)
+    quarantine.start(stream, decode.commands, _new_table(), f"{work}/malformed", ALL).awaitTermination()
+    return decode.commands(stream)[0], initial
 
 
 def commands(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,21 +135,19 @@ def reports(spark: SparkSession, sf: str, form: str) -> DataFrame:
         query = command_stream.start(rows, initial, f"{work}/out", f"{work}/checkpoint", trigger=ALL)
     else:
         state = _table(spark.createDataFrame([], command_stream.STATE), f"{work}/state", ["epoch"])
-        query = command_stream.start_folded(rows, initial, state, f"{work}/out", f"{work}/checkpoint", "7 days", ALL)
+        query = command_stream.start_folded(rows, initial, state, f"{work}/out", f"{work}/checkpoint", trigger=ALL)
     query.awaitTermination()
     return spark.read.parquet(f"{work}/out/reports").drop("epoch").withColumn(
         "time", F.col("time").cast("timestamp_ntz"))
 
 
 def pack(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages packed by event time; a last reading far ahead lets the watermark close every period."""
+    """The readings found in the messages of the packing stream, with the period of their message."""
     work = shared_dir(spark, "pack")
     rows = b.readings(spark, sf).select("serial_number", F.col("time").cast("timestamp").alias("time"), "measurement")
     stream = _stream(spark, rows, f"{work}/messages")
-    closing = rows.agg(F.lit("end").alias("serial_number"),
-                       (F.max("time") + F.expr("INTERVAL 1 DAY")).alias("time"), F.lit(0.0).alias("measurement"))
-    closing.write.mode("append").parquet(f"{work}/messages")
-    (packing.pack(stream).writeStream.format("parquet").option("path", f"{work}/out").outputMode("append")
-     .option("checkpointLocation", f"{work}/checkpoint").trigger(**ALL).start().awaitTermination())
-    return spark.read.parquet(f"{work}/out").select(
-        "serial_number", F.col("period_start").cast("timestamp_ntz").alias("period_start"), "n")
+    packing.start(stream, f"{work}/out", f"{work}/checkpoint", trigger=ALL).awaitTermination()
+    sent = spark.read.parquet(f"{work}/out").select("period_start", "value")
+    found, _ = decode.measurements(sent)
+    return found.select("serial_number", F.col("period_start").cast("timestamp_ntz").alias("period_start"),
+                        F.col("time").cast("timestamp_ntz").alias("time"), "measurement")

@@ -46,7 +46,7 @@ def foreign_view(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 def kafka_stream(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
     """Messages as (topic, batch_id, value, arrival). Without a stored offset the read starts at the first
-    one."""
+    one. Arrival is the offset, after the partition: a sensor's messages share a partition."""
     raw = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
         .option("subscribePattern", topics).option("startingOffsets", "earliest").options(**options).load()
@@ -54,7 +54,7 @@ def kafka_stream(spark: SparkSession, servers: str, topics: str, **options: str)
     return raw.select(
         "topic", F.concat_ws("/", "topic", "partition", "offset").alias("batch_id"),
         F.col("value").cast("string").alias("value"),
-        F.struct("partition", "offset").alias("arrival"),
+        (F.col("partition").cast("bigint") * F.lit(1 << 48) + F.col("offset")).alias("arrival"),
     )
 
 
@@ -68,11 +68,13 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType | str, glob
 
 
 def message_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """One message per file, as (batch_id, arrival, value). Files arrive in the order they were written."""
+    """One message per file, as (batch_id, arrival, value). Files arrive in the order they were written: arrival is
+    the millisecond of that, and within one a hash of the path."""
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
     return raw.select(
         F.col("_metadata.file_path").alias("batch_id"),
-        F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")).alias("arrival"),
+        (F.unix_millis(F.col("_metadata.file_modification_time")) * 1000
+         + F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1000))).alias("arrival"),
         "value",
     )
 

@@ -16,8 +16,8 @@ from ..session import configure, shared_dir
 
 MEASUREMENT_PARTITIONS = ["chunk_start", "hash_part"]
 
-#: Up to this many partition values are listed in the scan filter; beyond it the filter is their range.
-MAX_LISTED_PARTITIONS = 2_000
+#: Table property that holds the width of the chunks a table was written with.
+CHUNK_PROPERTY = "tidewire.chunk"
 
 
 def create(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> None:
@@ -28,9 +28,17 @@ def create(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> None:
     writer.saveAsTable(name)
 
 
-def create_measurements(spark: SparkSession, name: str) -> None:
+def create_measurements(spark: SparkSession, name: str, chunk: str = lifecycle.MEASUREMENT_CHUNK) -> None:
+    """A measurement table whose chunks have the given width, which is kept as a table property."""
     empty = spark.createDataFrame([], "time timestamp, sensor_id int, measurement double")
-    create(lifecycle.with_chunk(empty), name, MEASUREMENT_PARTITIONS)
+    create(lifecycle.with_chunk(empty, width=chunk), name, MEASUREMENT_PARTITIONS)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{CHUNK_PROPERTY}' = '{chunk}')")
+
+
+def chunk_width(spark: SparkSession, name: str) -> str | None:
+    """The width of a table's chunks, None if the table does not say: readers then prune by the upper bound only."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == CHUNK_PROPERTY).collect()
+    return rows[0]["value"] if rows else None
 
 
 def fresh(spark: SparkSession, name: str) -> DataFrame:
@@ -41,19 +49,12 @@ def fresh(spark: SparkSession, name: str) -> DataFrame:
 
 
 def touched(batch: DataFrame, target: DataFrame, col: str) -> DataFrame:
-    """The target's rows in partitions the batch also has.
-
-    Only partition values reach the driver, and at most MAX_LISTED_PARTITIONS of them: a batch that
-    touches more (very late data) filters by their range, which is as exact and merely reads more.
-    """
+    """The target's rows in the range of partitions the batch has: two values reach the driver."""
     kind = target.schema[col].dataType
-    values = _texts(batch.select(col).distinct().limit(MAX_LISTED_PARTITIONS + 1), col)
-    if not values:
+    low, high = batch.agg(F.min(col).cast("string"), F.max(col).cast("string")).first()
+    if low is None:
         return target.where(F.lit(False))
-    if len(values) > MAX_LISTED_PARTITIONS:
-        low, high = batch.agg(F.min(col).cast("string"), F.max(col).cast("string")).first()
-        return target.where(F.col(col).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
-    return target.where(F.col(col).isin([F.lit(v).cast(kind) for v in values]))
+    return target.where(F.col(col).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
 
 
 def write(batch: DataFrame, name: str, keys: Sequence[str], arrival: Sequence[str] = (),
@@ -98,6 +99,13 @@ def write_history(rows: DataFrame, name: str, keys: Sequence[str], on_conflict:
     write(day, name, keys, [], on_conflict, ["created_day"])
 
 
+def holds_any(rows: DataFrame, name: str, keys: Sequence[str]) -> bool:
+    """Whether a history table has the key of one of the rows already."""
+    day = rows.withColumn("created_day", F.to_date("created"))
+    target = touched(day, fresh(rows.sparkSession, name), "created_day")
+    return not ingest.existing(day, target, [*keys, "created_day"]).isEmpty()
+
+
 def create_history(df: DataFrame, name: str) -> None:
     create(df.withColumn("created_day", F.to_date("created")).limit(0), name, ["created_day"])
 

@@ -1,7 +1,8 @@
 """Sensor state as a stream.
 
 Two forms with the same result. `start` keeps the state per sensor in Spark's state store; it suits many
-sensors with few commands each. `start_folded` folds a micro-batch with column expressions and keeps the
+sensors with few commands each. A sensor's arrival numbers must grow from micro-batch to micro-batch, as those of the
+package's sources do. `start_folded` folds a micro-batch with column expressions and keeps the
 state in a table; no task sees all commands of a sensor, so one sensor may send most of them.
 """
 
@@ -40,7 +41,7 @@ class SensorFold(StatefulProcessor):
         self._state = handle.getValueState("sensor", "asleep boolean, hz double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["time", "arrival"], kind="stable")
+        pdf = pd.concat(list(rows)).sort_values("arrival", kind="stable")
         if self._state.exists():
             asleep, hz = self._state.get()
         else:
@@ -102,7 +103,7 @@ def start(commands: DataFrame, initial: DataFrame, folder: str, checkpoint: str,
 
 
 def start_folded(commands: DataFrame, initial: DataFrame, state: str, folder: str, checkpoint: str,
-                 block: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+                 block: int = ops.BLOCK, trigger: dict | None = None) -> StreamingQuery:
     """Write the reports below `folder`/reports and the state after each micro-batch to the table `state`.
 
     The table (columns `STATE`, partitioned by ``epoch``) holds all commanded sensors as of a micro-batch;

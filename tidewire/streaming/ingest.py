@@ -18,7 +18,7 @@ from ..sources import tables
 
 
 #: Columns of the statistics table, one partition per micro-batch.
-STATS = ("batch_id bigint, serial_number string, status string, n bigint, oldest_time timestamp, "
+STATS = ("batch_id string, serial_number string, status string, n bigint, oldest_time timestamp, "
          "completed timestamp, seconds double, epoch bigint")
 
 
@@ -26,11 +26,11 @@ class RejectedBatchError(RuntimeError):
     """A micro-batch held messages that may not be skipped."""
 
 
-def drop_resent(readings: DataFrame, within: str = "35 minutes") -> DataFrame:
+def drop_resent(readings: DataFrame, within: str) -> DataFrame:
     """In-stream pre-filter for copies that arrive close together; the table write stays the exact check.
 
-    Readings more than `within` behind the newest one are dropped, so it must exceed the retention (here
-    30 minutes and one chunk of 5), after which the table would not keep them either.
+    Readings more than `within` behind the newest one are dropped, whatever the table's retention: only for a
+    source that is known to be never later than that, so there is no default.
     """
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     return readings.withWatermark("time", within).dropDuplicatesWithinWatermark(["serial_number", "time"])
@@ -43,15 +43,18 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
     """Start the query. `messages` has (batch_id, arrival, value).
 
     The registry is read anew for every micro-batch, so a sensor is known as soon as it is registered.
-    Rejected readings go to the table `rejected` and undecodable messages to the table `malformed`; with
-    ``on_bad='fail'`` either fails the micro-batch instead, and Spark repeats it from the checkpoint. A repeated or
-    replayed micro-batch adds nothing to the target, because its keys are stored already.
+    Rejected readings go to the table `rejected` and undecodable messages to the table `malformed`, which
+    ``on_bad='quarantine'`` requires: nothing is dropped. With ``on_bad='fail'`` either fails the micro-batch instead,
+    and Spark repeats it from the checkpoint. A repeated or replayed micro-batch adds nothing to the target, because
+    its keys are stored already. Chunks have the width the target was created with, or `chunk` if it does not say.
 
     The table `stats` receives a row per (message, sensor) with the reading count, oldest time, outcome
     and completion time: the source of the ingest's counters and latency histograms.
     """
     if on_bad not in ("quarantine", "fail"):
         raise ValueError(f"unknown on_bad {on_bad!r}")
+    if on_bad == "quarantine" and (rejected is None or malformed is None):
+        raise ValueError("quarantine needs the tables `rejected` and `malformed`")
 
     def handle(micro: DataFrame, epoch: int) -> None:
         spark = micro.sparkSession
@@ -61,21 +64,23 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
         matched = ingest.match_sensors(readings, tables.fresh(spark, sensor_table))
         matched = matched.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            rows = ingest.mark_rejected_persisted(matched, mode, batch)
+            rows = ingest.mark_rejected(matched, mode, batch)
             good, bad = ingest.split_rejected(rows)
             if on_bad == "fail" and (bad.select(F.lit(1)).first() or broken.select(F.lit(1)).first()):
                 raise RejectedBatchError(f"micro-batch {epoch}")
             if rejected is not None:
-                _append_epoch(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
+                append_epoch(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
             if malformed is not None:
-                _append_epoch(broken.select(batch, "value"), malformed, epoch)
-            tables.write_measurements(ingest.to_records(good, arrival), target, arrival, chunk=chunk)
+                append_epoch(broken.select(batch, "value"), malformed, epoch)
+            tables.write_measurements(ingest.to_records(good, arrival), target, arrival,
+                                      chunk=tables.chunk_width(spark, target) or chunk)
             if stats is not None:
                 status = F.when(F.col("rejected"), F.lit("error")).otherwise(F.lit("success"))
                 done = ingest.batch_stats(rows.withColumn("status", status), batch, ("serial_number", "status"))
+                done = done.withColumn(batch, F.col(batch).cast("string"))
                 done = done.withColumn("completed", F.lit(datetime.now(timezone.utc))) \
                     .withColumn("seconds", F.lit(time.monotonic() - began))
-                _append_epoch(done, stats, epoch)
+                append_epoch(done, stats, epoch)
         finally:
             matched.unpersist()
 
@@ -83,7 +88,7 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def _append_epoch(rows: DataFrame, name: str, epoch: int) -> None:
+def append_epoch(rows: DataFrame, name: str, epoch: int) -> None:
     """Write the rows of a micro-batch as their own partition, replacing what an interrupted attempt at
     it has left."""
     spark = configure(rows.sparkSession)

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.decode import JSON_OPTIONS
+from ..operators import decode
+from ..session import configure
 
 
-def pack(readings: DataFrame, period: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """Event-time twin of `decode.pack`: a period is sent once the watermark has passed it."""
-    reading = F.struct(
-        F.col("time").alias("Timestamp"), F.col("serial_number").alias("SerialNumber"),
-        F.col("measurement").alias("Value"),
-    )
-    packed = readings.withWatermark("time", late).groupBy("serial_number", F.window("time", period)).agg(
-        F.sort_array(F.collect_list(reading)).alias("__readings"))
-    return packed.select(
-        "serial_number", F.col("window.start").alias("period_start"), F.size("__readings").alias("n"),
-        F.to_json("__readings", JSON_OPTIONS).alias("value"),
-    )
+def start(readings: DataFrame, folder: str, checkpoint: str, period: str = "1 second", trigger: dict | None = None
+          ) -> StreamingQuery:
+    """Write the messages below `folder`, one folder per micro-batch, which a repeated micro-batch replaces.
+
+    A message holds what a micro-batch has of one sensor and period. Readings of a period that come later, however
+    late, make a further message of it: there is no watermark, and every reading is sent exactly once.
+    """
+    def handle(micro: DataFrame, epoch: int) -> None:
+        configure(micro.sparkSession)
+        packed = decode.pack(micro, period).withColumn("period_start", F.col("period_start").cast("timestamp"))
+        packed.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+    writer = readings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
