@@ -227,6 +227,8 @@ ORACLES: dict[str, str] = {
     "series_raw": f"WITH {SENSOR}, {MEASUREMENT} SELECT time, measurement, serial_number FROM m JOIN sensor ON sensor_id = id",
     "series_raw_range": f"""WITH {SENSOR}, {MEASUREMENT} SELECT time, measurement, serial_number FROM m JOIN sensor ON sensor_id = id
       WHERE sample_frequency > 0 AND time >= {START} AND time < {AS_OF}""",
+    "series_list_range": f"""WITH {SENSOR}, {MEASUREMENT} SELECT time, measurement, serial_number FROM m JOIN sensor ON sensor_id = id
+      WHERE id BETWEEN 0 AND 39 AND time >= TIMESTAMP '2024-01-10 12:30:00' AND time < TIMESTAMP '2024-01-12 21:10:00'""",
     "bucket_weekly": f"""WITH {MEASUREMENT} SELECT time_bucket(INTERVAL '1 week', time) AS bucket, sensor_id,
       round(avg(measurement), 9) AS measurement, count(*) AS n FROM m GROUP BY 1, 2""",
     "panel_reducers": f"""WITH {SENSOR}, {MEASUREMENT}, {GAPFILL} SELECT serial_number,
@@ -359,6 +361,13 @@ ORACLES: dict[str, str] = {
       p AS (SELECT step, round(100.0::DOUBLE * sum(rate) FILTER (WHERE status = 'success') / nullif(sum(rate), 0), 6) AS success_pct
         FROM r GROUP BY 1)
       SELECT step, success_pct, {case('success_pct', ('red', '< 95'), ('yellow', '< 99.9'), ('green', ''))} AS band FROM p""",
+    "success_rate_extrapolated": f"""WITH {PROCESSED}, {rate('r', 'samples', 'status, instance, user_id', "'12 hours'", "'3 hours'")},
+      x AS (SELECT *, epoch(last_ts - first_ts) AS sampled, sampled / (n - 1) AS gap,
+        epoch(first_ts - (step - INTERVAL 12 HOUR)) AS a0, epoch(step - last_ts) AS b0 FROM r),
+      y AS (SELECT *, CASE WHEN a0 >= gap * 1.1 THEN gap / 2 ELSE a0 END AS a1, CASE WHEN b0 >= gap * 1.1 THEN gap / 2 ELSE b0 END AS b1 FROM x),
+      z AS (SELECT *, gained * (sampled + CASE WHEN gained > 0 AND sampled * first_value / gained < a1 THEN sampled * first_value / gained
+        ELSE a1 END + b1) / sampled AS v FROM y)
+      SELECT step, round(100.0::DOUBLE * sum(v) FILTER (WHERE status = 'success') / nullif(sum(v), 0), 6) AS success_pct FROM z GROUP BY 1""",
     "publish_vs_process": f"""WITH {PROCESSED}, {PUBLISHED}, {irate('i', 'psamples', 'protocol, instance', "'3 hours'", "'1 hour'")},
       {rate('r', 'samples', 'status, instance, user_id', "'2 hours'", "'1 hour'", "status = 'success'")},
       p AS (SELECT step, sum(rate) AS published FROM i GROUP BY 1), q AS (SELECT step, sum(rate) AS processed FROM r GROUP BY 1)
@@ -416,6 +425,12 @@ ORACLES: dict[str, str] = {
     "dead_rows": f"""WITH {TABLES}, d AS (SELECT relname, n_dead_tup AS dead_tuples, n_live_tup AS live_tuples,
         round(n_dead_tup::DOUBLE / nullif(n_live_tup, 0) * 100, 6) AS dead_pct FROM t WHERE relname LIKE '%sensor_measurement%')
       SELECT *, {case('dead_pct', *DEAD_DETAIL)} AS band FROM d""",
+    "dead_rows_history": f"""WITH {TABLES}, h AS (SELECT *, TIMESTAMP '2024-01-12 21:10:00' AS created, n_dead_tup AS d FROM t
+        UNION ALL SELECT *, {AS_OF}, n_dead_tup + 1 FROM t)
+      SELECT relname, created, d AS dead_tuples, n_live_tup AS live_tuples, round(d::DOUBLE / nullif(n_live_tup, 0) * 100, 6) AS dead_pct
+      FROM h WHERE {SCHEMA_FILTER}""",
+    "dead_rows_latest": f"""WITH {TABLES} SELECT relname, {AS_OF} AS created, n_dead_tup + 1 AS dead_tuples, n_live_tup AS live_tuples,
+        round((n_dead_tup + 1)::DOUBLE / nullif(n_live_tup, 0) * 100, 6) AS dead_pct FROM t WHERE {SCHEMA_FILTER}""",
     "autovacuum_list": f"""WITH {TABLES} SELECT schemaname, relname, last_autovacuum, last_autoanalyze, autovacuum_count, autoanalyze_count
       FROM t WHERE relname LIKE '%sensor_measurement%'""",
     "buffer_top": f"""WITH pages AS (SELECT l_partkey, CASE WHEN l_returnflag = 'N' THEN 0 ELSE ascii(l_returnflag) END AS reldatabase FROM lineitem)

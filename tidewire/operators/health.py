@@ -147,6 +147,17 @@ def dead_rows(stats: DataFrame) -> DataFrame:
     ).orderBy(F.desc("dead_tuples"), "relname")
 
 
+def dead_rows_history(history: DataFrame, latest: bool = False) -> DataFrame:
+    """Dead-row percentage per table over the recorded ticks, NULL without live rows; or of each table's latest tick."""
+    if latest:
+        counters = F.struct("n_dead_tup", "n_live_tup")
+        history = history.groupBy("relname").agg(F.max("created").alias("created"), F.max_by(counters, "created").alias("c")) \
+            .select("relname", "created", "c.*")
+    return history.select(
+        "relname", "created", F.col("n_dead_tup").alias("dead_tuples"), F.col("n_live_tup").alias("live_tuples"),
+        null_safe_pct(F.col("n_dead_tup"), F.col("n_live_tup")).alias("dead_pct"))
+
+
 def autovacuum_list(stats: DataFrame) -> DataFrame:
     """Vacuum activity, never-vacuumed tables first."""
     return top(stats.select("schemaname", "relname", "last_autovacuum", "last_autoanalyze",

@@ -264,9 +264,9 @@ def quantile_name(q: float) -> str:
 
 
 def success_rate(samples: DataFrame, series: Sequence[str], range_: str, step: str,
-                 block: str = "1 day") -> DataFrame:
-    """100 · rate(success) / rate(all) per step, from one pass over the samples."""
-    r = rate(samples, [*series, "status"], range_, step, block=block)
+                 block: str = "1 day", extrapolate: bool = False) -> DataFrame:
+    """100 · rate(success) / rate(all) per step, from one pass over the samples; ``extrapolate`` as in `rate`."""
+    r = rate(samples, [*series, "status"], range_, step, extrapolate, block)
     ok = F.sum(F.when(F.col("status") == "success", F.col("rate")))
     return r.groupBy("step").agg(
         (F.lit(100.0) * F.try_divide(ok, F.sum("rate"))).alias("success_pct")

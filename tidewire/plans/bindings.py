@@ -17,6 +17,9 @@ from ..functions.timing import instant
 
 AS_OF = "2024-01-31 00:00:00"
 RANGE = ("2024-01-01 00:00:00", "2024-01-31 00:00:00")
+#: A range inside the data, and the sensors some queries name.
+INNER_RANGE = ("2024-01-10 12:30:00", "2024-01-12 21:10:00")
+CHOSEN = list(range(0, 40))
 #: Readings per message, which bounds a message whatever the sensor.
 MESSAGE_SIZE = 8
 

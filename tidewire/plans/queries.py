@@ -60,6 +60,14 @@ def series_raw_range(spark, sf):
                               start=b.RANGE[0], end=b.RANGE[1])
 
 
+@query
+def series_list_range(spark, sf):
+    """Some serials by name, in a range that begins and ends inside the data and inside chunks."""
+    names = [r.serial_number for r in b.sensor(spark, sf).where(F.col("id").isin(b.CHOSEN)).collect()]
+    return series.read_series(lifecycle.with_chunk(b.measurement(spark, sf), width="1 day"), b.sensor(spark, sf), names,
+                              *b.INNER_RANGE, chunk="1 day")
+
+
 @query
 def bucket_weekly(spark, sf):
     out = series.bucket_avg(b.measurement(spark, sf), "1 week")
@@ -449,6 +457,12 @@ def success_rate(spark, sf):
                       health.band(r6("success_pct"), "success_pct:dashboard").alias("band"))
 
 
+@query
+def success_rate_extrapolated(spark, sf):
+    out = metrics.success_rate(b.processed_samples(spark, sf), ["instance", "user_id"], "12 hours", "3 hours", extrapolate=True)
+    return out.select("step", r6("success_pct").alias("success_pct"))
+
+
 @query
 def publish_vs_process(spark, sf):
     published = metrics.sum_by(metrics.irate(b.published_samples(spark, sf), ["protocol", "instance"], "3 hours",
@@ -603,6 +617,25 @@ def dead_rows(spark, sf):
                       health.band(r6("dead_pct"), "dead_pct:detail").alias("band"))
 
 
+def _table_history(spark, sf):
+    """Two ticks of the table statistics, a day apart; the second has a dead row more."""
+    t = b.user_tables(spark, sf)
+    later = t.withColumn("n_dead_tup", F.col("n_dead_tup") + 1)
+    return snapshots.table_stats(t, b.INNER_RANGE[1]).unionByName(snapshots.table_stats(later, b.AS_OF))
+
+
+@query
+def dead_rows_history(spark, sf):
+    out = health.dead_rows_history(_table_history(spark, sf))
+    return out.withColumn("dead_pct", r6("dead_pct"))
+
+
+@query
+def dead_rows_latest(spark, sf):
+    out = health.dead_rows_history(_table_history(spark, sf), latest=True)
+    return out.withColumn("dead_pct", r6("dead_pct"))
+
+
 @query
 def autovacuum_list(spark, sf):
     return health.autovacuum_list(health.like(b.user_tables(spark, sf), "relname", "sensor_measurement"))

@@ -199,11 +199,11 @@ def delete_measurements(spark: SparkSession, name: str, sensors: DataFrame) -> N
 
 
 def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """File bytes per table, from the files' own metadata. `tables` maps a table name to its folder."""
+    """File bytes per table, from the file listing alone. `tables` maps a table name to its folder."""
     parts = None
     for name, path in tables.items():
-        files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
-        one = files.agg(F.sum("file_size").alias("table_bytes")).select(F.lit(name).alias("hypertable_name"), "*")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        one = files.agg(F.sum("length").alias("table_bytes")).select(F.lit(name).alias("hypertable_name"), "*")
         parts = one if parts is None else parts.unionByName(one)
     zero = F.lit(0).cast("bigint")
     return parts.select(
