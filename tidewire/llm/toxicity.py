@@ -59,6 +59,8 @@ _LETTER[ord("a"):ord("z") + 1] = True
 _LETTER[ord("A"):ord("Z") + 1] = True
 _LETTER[128:] = True
 _USED = _LETTER[_PLAIN]
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[list(b"013457@$")] = True
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[ord("A"):ord("Z") + 1] = True
 _DIGIT = np.zeros(256, dtype=bool)
@@ -70,8 +72,10 @@ class Tokens:
 
     def __init__(self, words: Words):
         self.words, data = words, words.data
-        # Signs at the ends of a word are punctuation, those inside it stand for letters.
+        # Marks at the ends of a word are punctuation; those inside it, and digits anywhere, stand for letters.
         real = _LETTER[data]
+        self.letters = np.concatenate([[0], np.cumsum(real)])
+        real = real | _EDGE[data]
         before = np.concatenate([[0], np.cumsum(real)])
         first = np.searchsorted(before, before[words.starts], side="right") - 1
         last = np.searchsorted(before, before[words.ends], side="left")
@@ -82,7 +86,7 @@ class Tokens:
         np.subtract.at(inside, last, 1)
         inside = np.cumsum(inside[:-1]) > 0
         use = inside & _USED[data]
-        self.odd = inside & ~real & (data != ord("-")) & (data != ord("'"))
+        self.odd = inside & ~_LETTER[data] & (data != ord("-")) & (data != ord("'"))
         at = np.concatenate([[0], np.cumsum(use)])
         body = _PLAIN[data[use]]
         self.starts, self.ends = at[first], at[last]
@@ -147,7 +151,7 @@ def features(column, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         per_doc(given) / n, per_doc(learned > 0) / n, per_doc(stems > 0) / n, per_doc(np.maximum(learned, stems)) / n,
         per_doc(given), per_doc(learned > 0), per_doc(stems > 0), per_doc(near), per_doc(near) / np.maximum(hits, 1),
         bytes_of(_UPPER[data]) / letters, per_doc(shout) / n, bytes_of(data == ord("!")) / size,
-        bytes_of(~_LETTER[data] & (data > 32)) / size, per_doc(odd[words.ends] - odd[words.starts] > 0) / n,
+        bytes_of(~_LETTER[data] & (data > 32)) / size, per_doc((odd[words.ends] > odd[words.starts]) & (tokens.letters[words.ends] > tokens.letters[words.starts])) / n,
         bytes_of(_DIGIT[data]) / size, per_doc(again) / n, np.bincount(key, minlength=docs) / n,
         per_doc(words.ends - words.starts) / n, np.log1p(words.counts))
     return np.stack([np.asarray(c, float) for c in columns], axis=1) if docs else np.zeros((0, len(NAMES)))
