@@ -213,3 +213,15 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT vec_id, b FROM reach JOIN link ON a = node),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(node) AS component_id, min(node) = vec_id AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""

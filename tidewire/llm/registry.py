@@ -19,4 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
+    "op10_minhash_dedup": minhash_dedup.ORACLE,
 }
