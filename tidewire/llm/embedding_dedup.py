@@ -34,6 +34,8 @@ BLOCK, STRIP = 4096, 256
 #: Leading coordinates that order vectors, and their bits.
 LEADING, LEVELS = 4, 5
 SLACK = 1e-9
+#: Dimensions after which a product is weighed against what the rest can still add.
+STEPS = (16, 32, 48)
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,23 +98,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], rotation: np.ndarray, size: int)
         yield made(pa.Table.from_batches(rest))
 
 
+def _bounding(x: np.ndarray, done: int) -> np.ndarray:
+    rest = np.sqrt((x[:, done:] ** 2).sum(axis=1, keepdims=True))
+    return np.concatenate([x[:, :done], rest], axis=1).astype(np.float32)
+
+
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the given pairs of rows, some at a time."""
+    out = [np.einsum("ij,ij->i", a[i[k:k + 65536]], b[j[k:k + 65536]]) for k in range(0, len(i), 65536)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of rotated unit vectors whose product may reach the threshold, and their products."""
     size = a.shape[1]
-    steps = [d for d in (8, 16, 32) if d < size] + [size]
+    steps = [d for d in STEPS if d < size] + [size]
     done = steps[0]
-    products = a[:, :done] @ b[:, :done].T
-    rest = np.sqrt(np.maximum((a[:, done:] ** 2).sum(axis=1), 0))[:, None] * np.sqrt(np.maximum((b[:, done:] ** 2).sum(axis=1), 0))
-    i, j = np.nonzero(products + rest >= threshold - SLACK)
-    p = products[i, j]
+    # With the suffix norm as one more coordinate a product is the bound itself; single precision, with room for its error.
+    bounds = _bounding(a, done) @ _bounding(b, done).T
+    near = bounds >= np.float32(threshold - 1e-4)
+    if not near.any():
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+    if len(i) > near.size // 8:  # many left: whole rows are cheaper
+        p = (a[:, :done] @ b[:, :done].T)[i, j]
+    else:
+        p = _products(a[:, :done], b[:, :done], i, j)
     for step in steps[1:]:
         if not len(i):
             break
-        if len(i) > products.size // 8:  # many left: whole rows are cheaper
+        if len(i) > near.size // 8:
             p = p + (a[:, done:step] @ b[:, done:step].T)[i, j]
         else:
-            p = p + np.concatenate([np.einsum("ij,ij->i", a[i[k:k + 65536], done:step], b[j[k:k + 65536], done:step])
-                                    for k in range(0, len(i), 65536)])
+            p = p + _products(a[:, done:step], b[:, done:step], i, j)
         done = step
         left = np.sqrt(np.maximum((a[:, done:] ** 2).sum(axis=1), 0))[i] * np.sqrt(np.maximum((b[:, done:] ** 2).sum(axis=1), 0))[j]
         keep = p + left >= threshold - SLACK
