@@ -25,7 +25,7 @@ from . import frames
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: Documents ordered in one group, on average.
-BLOCK = 50_000
+BLOCK = 5_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
