@@ -11,7 +11,7 @@ held for vectors whose nearest predecessor it is: that tree keeps a layer connec
 flat arrays (vectors, neighbours of fixed width per layer) in a written table, so a lost executor rebuilds nothing.
 
 Every query is searched in every shard: blocks of `queries` queries meet the shards as rows, not as pairs of vectors.
-Scores are products of the original vectors.
+Graphs work in single precision; scores are products of the original vectors in double precision.
 
 Copies: of vectors that are equal only the k + 1 smallest ids are indexed; no other can be among a query's k nearest, as
 these come before it at the same score. A third of all rows being one vector is k + 1 rows.
@@ -36,9 +36,9 @@ from .components import stored
 from .vectors import blob, matrix, one_each, unblob
 
 #: Links of a vector on an upper layer (twice as many on the lowest); candidates for links; width of a search.
-LINKS, CANDIDATES, WIDTH = 16, 64, 128
+LINKS, CANDIDATES, WIDTH = 16, 64, 64
 #: Vectors in a shard on average; queries that meet a shard at once.
-SHARD, QUERIES = 8192, 1024
+SHARD, QUERIES = 16384, 1024
 NONE = -1
 
 
@@ -51,15 +51,15 @@ def layers_of(n: int, links: int) -> np.ndarray:
 def chosen(order: np.ndarray, near: np.ndarray, among: np.ndarray, most: int) -> list[int]:
     """Of candidates in falling nearness: those nearer to the vector than to any chosen one; the best others fill up."""
     out: list[int] = []
-    left: list[int] = []
+    nearest = np.full(len(order), -np.inf)  # of each candidate to the chosen ones
     for k in range(len(order)):
-        if len(out) >= most:
-            return out
-        if not out or near[k] > among[k, out].max():
+        if near[k] > nearest[k]:
             out.append(k)
-        else:
-            left.append(k)
-    return out + left[:max(0, most // 2 - len(out))]
+            if len(out) >= most:
+                return out
+            np.maximum(nearest, among[k], out=nearest)
+    taken = set(out)
+    return out + [k for k in range(len(order)) if k not in taken][:max(0, most // 2 - len(out))]
 
 
 def layer_graph(x: np.ndarray, links: int, most: int, candidates: int) -> np.ndarray:
@@ -135,7 +135,7 @@ def _build(table: pa.Table, longest: float, links: int, candidates: int) -> pa.T
     """A shard's rows as one row: ids, vectors, and for each layer its members and their neighbours."""
     table = table.sort_by([("turn", "ascending"), ("id", "ascending")])
     x = matrix(table["vector"])
-    unit = augmented(x, longest)
+    unit = augmented(x, longest).astype(np.float32)
     top = layers_of(len(x), links)
     top[0] = max(top.max(), 0)
     members, graphs = [], []
@@ -157,14 +157,14 @@ def augmented(x: np.ndarray, longest: float) -> np.ndarray:
 def _found(table: pa.Table, longest: float, links: int, width: int, k: int) -> pa.Table:
     row = {c: table[c][0].as_py() for c in table.column_names}
     ids, x = np.frombuffer(row["ids"], np.int64), unblob(row["vectors"], row["n"])
-    unit = augmented(x, longest)
+    unit = augmented(x, longest).astype(np.float32)
     members = [np.frombuffer(m, np.int32) for m in row["members"]]
     graphs = [np.frombuffer(g, np.int32).reshape(len(m), -1) for m, g in zip(members, row["graphs"], strict=True)]
     layers = [unit[m] for m in members]
     queries, query_ids = unblob(row["queries"], row["m"]), np.frombuffer(row["query_ids"], np.int64)
     out_q, out_v, out_s = [], [], []
     for query, own in zip(queries, query_ids, strict=True):
-        q = np.append(query, 0.0)
+        q = np.append(query, 0.0).astype(np.float32)
         entry = [0]  # the first vector is on every layer
         for layer in range(len(layers) - 1, 0, -1):
             at = members[layer][[i for _, i in search(layers[layer], graphs[layer], q, entry, 4)]]
