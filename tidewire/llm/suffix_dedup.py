@@ -37,7 +37,7 @@ from .text import BASE, BYTE_TABLE, SLICE, by_bucket, grouped, inverse, members,
 
 LENGTH, GRAM = 100, 40
 #: Bytes of text a part holds, and bytes of text whose anchors or contexts a bucket holds.
-PART_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+PART_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: An anchor in this many parts is hot.
 HOT_PARTS = 256
 #: Bytes of contexts sorted at once.
