@@ -24,7 +24,7 @@ HEADLINE = [
     "decode_measurements", "ingest_strict", "ingest_dedup", "batch_stats", "pack_payload",
     "counter_rate", "counter_rate_total", "instant_rate", "histogram_build", "histogram_quantile", "success_rate",
     "statement_base", "snapshot_totals", "snapshot_delta", "slowest_queries",
-    "chunk_catalog", "compaction", "command_state", "command_logs", "blocking_pairs",
+    "stream_ingest", "chunk_catalog", "compaction", "command_state", "command_logs", "blocking_pairs",
 ]
 
 
@@ -53,10 +53,10 @@ def main() -> None:
     seconds = {name: round(min(run(spark, name, sf_dir) for _ in range(2)), 3) for name in names}
     out = {"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
            "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}
-    if "ingest_dedup" in seconds:
-        # Every event arrives twice.
+    if "stream_ingest" in seconds:
+        # From messages to the table: decoded, matched and written, then replayed against what is stored.
         rows = 2 * bindings.load(spark, sf_dir, "events").count()
-        out["ingest_rows_per_sec"] = round(rows / seconds["ingest_dedup"])
+        out["ingest_rows_per_sec"] = round(rows / seconds["stream_ingest"])
     print(json.dumps(out))
     spark.stop()
 
