@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidewire.llm import chat_format as chat
@@ -46,6 +47,21 @@ def test_repeated_and_null_rows_are_messages(spark, tmp_path):
     assert (got[1].n_turns, got[1].loss_chars, got[None].n_turns, got[-1].n_turns) == (4, 0, 1, 2)
 
 
+def test_a_text_said_again_at_another_turn_is_another_message(spark, tmp_path):
+    rows = [(1, 0, "user", "ok"), (1, 1, "assistant", "yes"), (1, 2, "user", "ok"), (1, 3, "assistant", ""), (1, 4, "user", ""),
+            (1, 5, "assistant", "yes"), (1, 6, "assistant", ""), (1, 7, "user", None), (1, 8, "user", None), (1, 8, "user", "ok"),
+            (1, None, "user", "ok"), (2, 0, "user", "ok"), (None, 0, None, "x"), (None, 1, None, "x")]
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(chat.ORACLE)
+    df = chat.query(spark, str(tmp_path)).select([d[0] for d in want.description])
+    got = {r.conv_id: tuple(r) for r in df.collect()}
+    assert got == {r[0]: r for r in want.fetchall()}
+    assert (got[1][1], got[1][3], got[None][1]) == (11, 6, 2)
+
+
 def test_empty_log(spark):
     assert render(spark, []).count() == 0
 

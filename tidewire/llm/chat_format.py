@@ -102,7 +102,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     # Every row is one message, also where rows repeat.
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.struct("role", "text", "copy").alias("message"),
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", "role", "text", "copy").alias("message"),
                          F.lit("message").alias("kind"), "role", "text")
     out = render(fold(events)).withColumn("turns", parsed(F.col("formatted")))
     body = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
