@@ -13,41 +13,52 @@ from tidewire.llm import minhash_dedup, mixing, packing, suffix_dedup, toxicity
 from tidewire.llm.components import stored
 
 
-def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns, n_chars anew."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+def _framed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and one struct of all others: no name of theirs clashes with a result's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*others or [F.lit(0).alias("none")]).alias("_others"))
+
+
+def _unframed(docs: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """All columns back under their names."""
+    return docs.select(*[F.col(c) if c in names else F.col("_others")[c].alias(c) for c in columns])
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars anew."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic (score 0.5 or more) go. It is trained on labels that are not held out."""
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+    scored = toxicity.score(_framed(docs, "doc_id", "text"), model)
+    return _unframed(scored.where(F.col("score") < 0.5), docs.columns, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity 0.75 or more the one with the smallest id stays."""
     gone = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 that start earlier too are cut out. A character that is cut in two goes as a whole."""
-    cut = suffix_dedup.remove_repeats(docs.drop("kept"))
+    cut = suffix_dedup.remove_repeats(_framed(docs, "doc_id", "text"))
     plain = F.col("kept").cast("string")
     text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.replace(F.make_valid_utf8(plain), F.lit("�"), F.lit("")))
-    return _measured(cut.withColumn("text", text), docs.columns)
+    return _measured(_unframed(cut.withColumn("text", text), docs.columns, "doc_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, in mixed order: a document once for every pass that takes it."""
-    return _measured(mixing.mix(docs), docs.columns)
+    return _measured(_unframed(mixing.mix(_framed(docs, "doc_id", "text", "source")), docs.columns, "doc_id", "text", "source"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 1024, one row per piece."""
-    return packing.pack(docs).select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset",
-                                     "window", "step_group")
+    return packing.pack(docs.select("doc_id", "text")).select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
+                                                              "sequence_id", "offset", "window", "step_group")
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -47,3 +48,22 @@ def test_pipeline(spark):
     run = corpus_pipeline.run(spark, SF)
     assert run.columns == pieces.columns
     assert sum(r.length for r in run.collect()) == sum(r.length for r in pieces.collect())
+
+
+def test_stages_with_columns_named_like_results(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "kept", "start", "length", "window", "offset", "Step_Group", "ids", "n_bytes", "spans", "_id", "_rest", "a.b"]
+    own = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("own "), F.col("doc_id").cast("string")))
+    more = docs.select("*", *[(F.lit(0.9) if c == "score" else own).alias(c) for c in names])
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, docs, SF), stage(spark, more, SF)
+        assert got.columns == more.columns, name
+        assert rows(got.select(*docs.columns)) == rows(want), name
+        for r in got.select("doc_id", *[f"`{c}`" for c in names]).collect():
+            value = None if r.doc_id % 3 == 0 else f"own {r.doc_id}"
+            assert tuple(r)[1:] == (0.9, *[value] * (len(names) - 1)), name
+    want, got = (corpus_pipeline.pack_sequences(spark, d.coalesce(1), SF) for d in (docs, more))
+    assert got.columns == want.columns and rows(got) == rows(want)
