@@ -161,6 +161,25 @@ def test_near_duplicates_of_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    def words(name, n=60, change=()):
+        return " ".join(f"new{i}" if i in change else f"{name}{i}" for i in range(n))
+    rows = [(1, words("a"), 0), (5, words("a"), 1), (5, words("b"), 2), (5, words("c"), 3), (8, words("c", change=[2]), 4),
+            (None, words("a"), 5), (None, words("b", change=[59]), 6), (None, words("d"), 7), (None, words("d"), 8),
+            (None, words("d", change=[0]), 9), (9, words("e"), 10), (9, words("e", change=[59]), 11), (9, words("e"), 12),
+            (None, None, 13), (None, "", 14), (9, "", 15), (1, words("f"), 16), (1, words("f"), 17), (2, words("f", change=[1]), 18)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, entry int")
+    got = minhash_dedup.near_duplicates(docs)
+    kept = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got.where("kept").collect())
+    dropped = sorted((r.doc_id or 0, r.component_id or 0) for r in got.where("not kept").collect())
+    rest = {r.entry for r in minhash_dedup.drop_near_duplicates(docs).collect()}
+    assert rest - {10, 12, 11, 7, 8, 9} == {0, 2, 3, 13, 14, 15, 16, 17}
+    assert len(rest & {7, 8, 9}) == 1 and rest & {10, 11, 12} in ({10, 12}, {11})
+    assert len(kept) == len(rest) and len(kept) + len(dropped) == len(rows)
+    assert [k for k in kept if k[0] == 5] == [(5, 56, 5), (5, 56, 5)]
+    assert [d for d in dropped if d[0] in (0, 2, 8)] == [(0, 0), (0, 0), (0, 1), (0, 5), (2, 1), (8, 5)]
+
+
 def test_pairs_at_the_signature_distance_share_an_entry():
     """Pigeonhole: with one error allowed in each of 12 chunks, 23 differing components cannot part two signatures."""
     r = random.Random(6)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import frames
 from .components import components, settled, stored
@@ -37,6 +38,8 @@ FARTHEST = 30
 #: Smallest shingle hashes a class shows its neighbours; the share of the smallest of a union that must be common: with
 #: 256 of them, six deviations below 0.75. A set that is no larger is shown whole, and then the share is nearly exact.
 SKETCH, SHARE, WHOLE_SHARE = 256, 0.58, 0.74
+#: What tells a set from all others: its size and two sums of its hashes.
+MARK = ["n_shingles", "mark1", "mark2"]
 #: Members of an index entry that one task compares with each other.
 BLOCK = 2048
 
@@ -60,14 +63,26 @@ def shingles(column, size: int) -> Iterator[np.ndarray]:
             yield hashes[:0]
 
 
+def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets, and two sums of their hashes: with the size they tell sets apart."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    marks = np.zeros((len(sets), 2), np.int64)
+    if len(some):
+        flat = np.concatenate([sets[i] for i in some])
+        cuts = np.cumsum(sizes[some]) - sizes[some]
+        marks[some, 0] = np.add.reduceat(flat, cuts).view(np.int64)
+        marks[some, 1] = np.add.reduceat(mix(flat ^ _ADD[-1]), cuts).view(np.int64)
+    return sizes, marks
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, length: int, sketch: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "_text", 1 << 20):
             sets = list(shingles(batch.column("_text"), shingle))
-            sizes = np.array([len(s) for s in sets], np.int64)
+            sizes, marks = _marks(sets)
             some = np.flatnonzero(sizes)
             signature = np.zeros((len(sets), length), np.uint32)
-            marks = np.zeros((len(sets), 2), np.int64)
             if len(some):
                 flat = np.concatenate([sets[i] for i in some])
                 cuts = np.cumsum(sizes[some]) - sizes[some]
@@ -76,8 +91,6 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, length: int, sk
                     np.multiply(flat, _MULTIPLY[k], out=scratch)
                     scratch += _ADD[k]
                     signature[some, k] = (np.minimum.reduceat(scratch, cuts) >> np.uint64(32)).astype(np.uint32)
-                marks[some, 0] = np.add.reduceat(flat, cuts).view(np.int64)
-                marks[some, 1] = np.add.reduceat(mix(flat ^ _ADD[-1]), cuts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
                  pa.array([pack(s) if n else None for s, n in zip(signature, sizes, strict=True)], pa.binary()),
@@ -88,8 +101,19 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, length: int, sk
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "_text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([pack(x) for x in shingles(batch.column("_text"), shingle)], pa.binary())],
-                                             ["class", "set"])
+            sets = list(shingles(batch.column("_text"), shingle))
+            sizes, marks = _marks(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
+                                              pa.array([pack(x) for x in sets], pa.binary())], [*MARK, "set"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The rows with the marks of their sets."""
+    for whole in batches:
+        for batch in slices(whole, "_text", 1 << 20):
+            sizes, marks = _marks(list(shingles(batch.column("_text"), shingle)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1])],
+                                             [*batch.schema.names, *MARK])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -170,24 +194,19 @@ def _apart(x, y, length: int):
     return F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0), differ)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    percent: int = PERCENT, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS,
-                    farthest: int = FARTHEST, sketch: int = SKETCH, block: int = BLOCK) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, class_id (smallest id with the same set), component_id (smallest id
-    reachable by links), kept.
-
-    Defined cases: a null or empty text has no shingles and is linked with nothing, not even with another empty one.
-    With fewer words than a shingle the whole sequence is one. A null id is no id: such a row takes part only as a member
-    of its class, and is its own component, null, if the class has no id. Rows with one id are one document each.
-    """
-    spark = docs.sparkSession
+def _judged(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, chunks: int, width: int, errors: int,
+            farthest: int, sketch: int, block: int) -> DataFrame:
+    """One row per row of `docs`: id, the mark of its set, class_id, component_id, stays (whether the row is one of the
+    component's first document) and kept (of rows that stay and have no id: the first)."""
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"))
     signed = stored(source.mapInArrow(functools.partial(_signatures, shingle=shingle, length=chunks * width, sketch=sketch),
-                                      "id bigint, n_shingles bigint, mark1 bigint, mark2 bigint, signature binary, sketch binary"),
-                    "signatures")
-    mark = ["n_shingles", "mark1", "mark2"]
-    classes = stored(signed.where("n_shingles > 0 and id is not null").groupBy(*mark)
-                     .agg(F.min("id").alias("class"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")), "classes")
+                                      "id bigint, n_shingles bigint, mark1 bigint, mark2 bigint, signature binary, sketch binary")
+                    .withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # A class is a set, whatever the ids of its rows; its number is given when the table is written.
+    classes = stored(signed.where("n_shingles > 0").groupBy(*MARK)
+                     .agg(F.min("id").alias("low"), F.min(F.when(F.col("id").isNull(), F.col("row"))).alias("nameless"),
+                          F.min("signature").alias("signature"), F.min("sketch").alias("sketch"))
+                     .sortWithinPartitions("mark1", "mark2", "n_shingles").withColumn("class", F.monotonically_increasing_id()), "classes")
 
     # Index entries with more than one class, and for each class the nearest of their smallest classes.
     index = classes.select("class", F.posexplode(_entries(width, chunks, errors)).alias("place", "entry"))
@@ -204,9 +223,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 .groupBy("class").agg(F.min(F.struct("distance", "pivot")).alias("best"))
                 .select(F.col("best.pivot").alias("a"), F.col("class").alias("b")))
     involved = members.select("class").distinct()
-    sets = stored(source.join(involved.select(F.col("class").alias("_id")), "_id", "left_semi")
-                  .mapInArrow(functools.partial(_sets, shingle=shingle), "class bigint, set binary")
-                  .groupBy("class").agg(F.min("set").alias("set")), "sets")
+    wanted = classes.join(involved, "class").select("class", "low", *MARK)
+    # The texts of the smallest ids; other rows of these ids, and rows without one, have marks that are not wanted, or the same set.
+    texts = (source.join(wanted.where("low is not null").select(F.col("low").alias("_id")).distinct(), "_id", "left_semi")
+             .unionByName(source.where("_id is null")))
+    sets = stored(texts.mapInArrow(functools.partial(_sets, shingle=shingle), "n_shingles bigint, mark1 bigint, mark2 bigint, set binary")
+                  .where("n_shingles > 0").groupBy(*MARK).agg(F.min("set").alias("set")).join(wanted, MARK).select("class", "set"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
@@ -245,11 +267,56 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     second = stored(confirmed(still).join(close, ["a", "b"]).select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b")), "bridges")
     merged = groups if second.isEmpty() else components(first.union(second)).toDF("tree", "component")
     final = trees.join(merged, "tree", "left").select("class", F.coalesce("component", "tree").alias("component"))
-    of_mark = classes.select(*mark, "class").join(final, "class")
-    return (signed.drop("signature", "sketch").join(of_mark, mark, "left")
-            .select(F.col("id").alias(doc_id), "n_shingles", F.coalesce("class", "id").alias("class_id"),
-                    F.coalesce("component", "id").alias("component_id"))
-            .withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id"))))
+    placed = final.join(classes.select("class", "low", "nameless", *MARK), "class")
+    # A component's first document: the smallest id, and of several sets with that id the one with the smallest mark.
+    place = F.struct(F.col("low").isNull().alias("none"), "low", "mark1", "mark2", "n_shingles", "class")
+    firsts = placed.groupBy("component").agg(F.min(place).alias("first")).select(
+        "component", F.col("first.low").alias("component_id"), F.col("first.class").alias("first_class"))
+    of_mark = placed.join(firsts, "component").select(*MARK, "low", "nameless", "component_id",
+                                                      (F.col("class") == F.col("first_class")).alias("first"))
+    judged = signed.drop("signature", "sketch").join(of_mark, MARK, "left").select(
+        "id", *MARK, F.coalesce("low", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("first", F.lit(True)).alias("first"), (F.col("nameless").isNull() | F.col("id").isNotNull()
+                                                          | (F.col("row") == F.col("nameless"))).alias("once"))
+    stays = F.col("first") & F.col("id").eqNullSafe(F.col("component_id"))
+    return judged.select("id", *MARK, "class_id", "component_id", stays.alias("stays"), (stays & F.col("once")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    percent: int = PERCENT, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS,
+                    farthest: int = FARTHEST, sketch: int = SKETCH, block: int = BLOCK) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, class_id (smallest id with the same set), component_id (smallest id
+    reachable by links), kept.
+
+    Defined cases: a null or empty text has no shingles and is linked with nothing, not even with another empty one.
+    With fewer words than a shingle the whole sequence is one. Rows with one id are one document each: of linked sets
+    with the component's smallest id one is kept, with all rows of that id and set. Rows without an id are linked like all
+    others; class and component are null if no row in them has an id, and of such a component one row is kept.
+    """
+    judged = _judged(docs, doc_id, text, shingle, percent, chunks, width, errors, farthest, sketch, block)
+    return judged.select(F.col("id").alias(doc_id), "n_shingles", "class_id", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                         percent: int = PERCENT, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS,
+                         farthest: int = FARTHEST, sketch: int = SKETCH, block: int = BLOCK) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps, all columns. Rows go by their id and set, not by the id alone."""
+    judged = _judged(docs, doc_id, text, shingle, percent, chunks, width, errors, farthest, sketch, block)
+    gone = stored(judged.where(~F.col("stays")).select(F.col("id").alias("_id"), *MARK).distinct(), "gone")
+    source = frames.carried(docs, doc_id, text)
+    result = T.StructType([*source.schema.fields, *[T.StructField(name, T.LongType()) for name in MARK]])
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(functools.partial(_marked, shingle=shingle), result)
+    known = marked(source.where("_id is not null")).join(gone, ["_id", *MARK], "left_anti").select("_id", "_text", "_rest")
+    # Without an id, rows of one set are copies: any one stays. Rows without words stay each.
+    row = F.struct("_id", "_text", "_rest").alias("_row")
+    alone = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
+    nameless = (marked(source.where("_id is null")).join(gone.where("_id is null").drop("_id"), MARK, "left_anti")
+                .select(*MARK, alone.alias("_alone"), row).groupBy(*MARK, "_alone").agg(F.first("_row").alias("_row")).select("_row.*"))
+    kept = known.unionByName(nameless)
+    back = {doc_id: F.col("_id"), text: F.col("_text")}
+    return kept.select(*[back.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
