@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, minhash_dedup, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, chat_format, embedding_dedup, minhash_dedup, mixing, nearest, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_minhash_dedup": minhash_dedup.query,
+    "op13_bpe": bpe.query,
 }
 
 ORACLES: dict[str, str] = {
