@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert {int(q[2:].split("_")[0]) for q in registry.QUERIES} == set(range(1, 11)) | {12, 13}
+    assert {int(q[2:].split("_")[0]) for q in registry.QUERIES} == set(range(1, 14))
     assert set(registry.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
