@@ -94,3 +94,43 @@ def test_few_and_odd_candidates(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [
         (1, 1, 2), (1, 2, 11), (2, 1, 1), (2, 2, 11), (9, 1, 10), (10, 1, 9), (11, 1, 2), (11, 2, 1)]
     assert nearest.nearest(odd(spark).limit(0), F.lit(True), 20).count() == 0
+
+
+def recall(got, x, first_query, k=20):
+    """The share of the true neighbours that were found, judged by score."""
+    own = {}
+    for r in got:
+        own.setdefault(r.query_id, []).append(r.score)
+    hits = total = 0
+    for q in range(0, len(x), first_query):
+        best, score = brute_nearest(x, q, k)
+        worst = score[best[-1]]
+        hits += min(k, sum(s >= worst - 1e-9 * abs(worst) for s in own[q]))
+        total += len(best)
+    return hits / total
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_recall_of_a_full_shard(spark, seed):
+    x = vectors(seed, 8000, noise=0.3)
+    got = nearest.nearest(frame(spark, x), F.col("vec_id") % 100 == 0, 20).collect()
+    assert recall(got, x, 100) >= 0.9
+
+
+def test_recall_beside_very_long_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(2000, 8))
+    x[1999] *= 1e9
+    x[1998] *= 1e4
+    x[1997] *= 1e-9
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(5000, [1e200] * 8), (5001, [1e-200] * 8)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    own = [r for r in got if r.query_id < 2000]
+    all_ = np.concatenate([x, np.full((1, 8), 1e200), np.full((1, 8), 1e-200)])
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = all_ @ x[q]
+        score[q] = -np.inf
+        hits += len({r.vec_id for r in own if r.query_id == q} & {int(i) if i < 2000 else int(i) + 3000 for i in np.argsort(-score)[:20]})
+    assert hits / 2000 >= 0.9
+    assert len([r for r in got if r.query_id == 5000]) == 20

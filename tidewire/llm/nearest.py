@@ -1,17 +1,23 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, results merged.
 
-Nearness is the inner product. Vectors get one more coordinate that gives all of them the length of the longest, so the
-largest product is the smallest angle and a graph over angles answers it; queries have 0 there.
+Nearness is the inner product. Vectors are divided into bands of length, each four times as long as the one below, so that no
+vector makes others look like one point. Within a shard of a band vectors get one more coordinate that gives all of them the
+length of its longest, so the largest product is the smallest angle and a graph over angles answers it; queries have 0 there.
+Vectors are scaled by powers of two before anything is squared.
 
-Rows are dealt to shards of about `shard` vectors by a hash of the id. A shard's graph is built like that of sequential
+Rows of a band are dealt to shards of about `shard` vectors by a hash of the id. A shard's graph is built like that of sequential
 insertion with a perfect search: each vector, in hash order, is linked to those of its nearest predecessors that are not
 nearer to one another (the usual diversity rule), both ways, on every layer up to its own. Predecessors are found
 by block products. When a vector's links are pruned, the link to its nearest predecessor stays, and half of the width is
 held for vectors whose nearest predecessor it is: that tree keeps a layer connected. Graphs are stored as
 flat arrays (vectors, neighbours of fixed width per layer) in a written table, so a lost executor rebuilds nothing.
 
+How wide a search has to be depends on the vectors, so it is measured: a finished graph answers for `PROBES` of its own
+vectors, and the width is doubled until they find the share `RECALL` of what all products of the shard give.
+
 Every query is searched in every shard: blocks of `queries` queries meet the shards as rows, not as pairs of vectors.
-Graphs work in single precision; scores are products of the original vectors in double precision.
+Graphs work in single precision; scores are products of the original vectors in double precision (a sum of infinities that is
+no number counts as minus infinity).
 
 Copies: of vectors that are equal only the k + 1 smallest ids are indexed; no other can be among a query's k nearest, as
 these come before it at the same score. A third of all rows being one vector is k + 1 rows.
@@ -35,10 +41,12 @@ from . import frames
 from .components import stored
 from .vectors import blob, matrix, one_each, unblob
 
-#: Links of a vector on an upper layer (twice as many on the lowest); candidates for links; width of a search.
-LINKS, CANDIDATES, WIDTH = 16, 64, 64
+#: Links of a vector on an upper layer (twice as many on the lowest); candidates for links; least width of a search.
+LINKS, CANDIDATES, WIDTH = 16, 64, 128
 #: Vectors in a shard on average; queries that meet a shard at once.
-SHARD, QUERIES = 16384, 1024
+SHARD, QUERIES = 8192, 4096
+#: Vectors that measure a graph, and the share of their neighbours they have to find.
+PROBES, RECALL = 64, 0.97
 NONE = -1
 
 
@@ -131,47 +139,83 @@ def search(x: np.ndarray, graph: np.ndarray, query: np.ndarray, entry: list[int]
     return sorted(found, reverse=True)
 
 
-def _build(table: pa.Table, longest: float, links: int, candidates: int) -> pa.Table:
-    """A shard's rows as one row: ids, vectors, and for each layer its members and their neighbours."""
+def _build(table: pa.Table, links: int, candidates: int, width: int, k: int) -> pa.Table:
+    """A shard's rows as one row: ids, vectors, the width of a search, and for each layer its members and their neighbours."""
     table = table.sort_by([("turn", "ascending"), ("id", "ascending")])
     x = matrix(table["vector"])
-    unit = augmented(x, longest).astype(np.float32)
+    unit = augmented(x, table["band"][0].as_py())
     top = layers_of(len(x), links)
     top[0] = max(top.max(), 0)
     members, graphs = [], []
     for layer in range(top.max() + 1):
         own = np.flatnonzero(top >= layer)
-        members.append(own.astype(np.int32).tobytes())
-        graphs.append(layer_graph(unit[own], links, links * (2 if layer == 0 else 1), candidates).tobytes())
+        members.append(own.astype(np.int32))
+        graphs.append(layer_graph(unit[own], links, links * (2 if layer == 0 else 1), candidates))
+    width = measured_width(unit, members, graphs, width, k)
     ids = np.asarray(table["id"].combine_chunks())
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "n": pa.array([len(x)], pa.int32()),
-                     "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([blob(x)], pa.binary()),
-                     "members": pa.array([members], pa.list_(pa.binary())), "graphs": pa.array([graphs], pa.list_(pa.binary()))})
-
-
-def augmented(x: np.ndarray, longest: float) -> np.ndarray:
-    more = np.sqrt(np.maximum(longest ** 2 - (x ** 2).sum(axis=1), 0.0))
-    return np.concatenate([x, more[:, None]], axis=1) / longest
+    return pa.table({
+        **{c: table[c].slice(0, 1).cast(pa.int32()) for c in ("size", "band", "shard")}, "n": pa.array([len(x)], pa.int32()),
+        "width": pa.array([width], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([blob(x)], pa.binary()),
+        "members": pa.array([[m.tobytes() for m in members]], pa.list_(pa.binary())),
+        "graphs": pa.array([[g.tobytes() for g in graphs]], pa.list_(pa.binary()))})
+
+
+def augmented(x: np.ndarray, band: int) -> np.ndarray:
+    """Vectors of one band with one more coordinate that gives all of them one length, as unit vectors."""
+    x = np.ldexp(x, -2 * band)
+    square = (x ** 2).sum(axis=1)
+    longest = square.max()
+    return (np.concatenate([x, np.sqrt(longest - square)[:, None]], axis=1) / np.sqrt(longest)).astype(np.float32)
+
+
+def direction(x: np.ndarray) -> np.ndarray:
+    """Queries as unit vectors, with 0 behind."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+    return np.concatenate([x, np.zeros((len(x), 1))], axis=1).astype(np.float32)
+
+
+def descend(layers: list[np.ndarray], members: list[np.ndarray], graphs: list[np.ndarray], query: np.ndarray, width: int) -> np.ndarray:
+    """The rows of the lowest layer found for a query."""
+    entry = [0]  # the first vector is on every layer
+    for layer in range(len(layers) - 1, 0, -1):
+        at = members[layer][[i for _, i in search(layers[layer], graphs[layer], query, entry, 4)]]
+        entry = np.searchsorted(members[layer - 1], at).tolist()
+    return np.array([i for _, i in search(layers[0], graphs[0], query, entry, width)])
+
+
+def measured_width(unit: np.ndarray, members: list[np.ndarray], graphs: list[np.ndarray], width: int, k: int) -> int:
+    """The least width, by doubling, with which the shard's first vectors (in hash order) find their k nearest."""
+    layers, n, k = [unit[m] for m in members], len(unit), min(k + 1, len(unit))
+    queries = unit[:PROBES].copy()
+    queries[:, -1] = 0
+    products = queries @ unit.T
+    least = np.partition(products, n - k, axis=1)[:, n - k]
+    width = max(width, k)
+    while width < n:
+        hits = sum(min(k, int((p[descend(layers, members, graphs, q, width)] >= worst).sum()))
+                   for q, p, worst in zip(queries, products, least, strict=True))
+        if hits >= RECALL * k * len(queries):
+            break
+        width *= 2
+    return min(width, n)
 
 
-def _found(table: pa.Table, longest: float, links: int, width: int, k: int) -> pa.Table:
+def _found(table: pa.Table, k: int) -> pa.Table:
     row = {c: table[c][0].as_py() for c in table.column_names}
     ids, x = np.frombuffer(row["ids"], np.int64), unblob(row["vectors"], row["n"])
-    unit = augmented(x, longest).astype(np.float32)
+    unit = augmented(x, row["band"])
     members = [np.frombuffer(m, np.int32) for m in row["members"]]
     graphs = [np.frombuffer(g, np.int32).reshape(len(m), -1) for m, g in zip(members, row["graphs"], strict=True)]
     layers = [unit[m] for m in members]
     queries, query_ids = unblob(row["queries"], row["m"]), np.frombuffer(row["query_ids"], np.int64)
     out_q, out_v, out_s = [], [], []
-    for query, own in zip(queries, query_ids, strict=True):
-        q = np.append(query, 0.0).astype(np.float32)
-        entry = [0]  # the first vector is on every layer
-        for layer in range(len(layers) - 1, 0, -1):
-            at = members[layer][[i for _, i in search(layers[layer], graphs[layer], q, entry, 4)]]
-            entry = np.searchsorted(members[layer - 1], at).tolist()
-        best = np.array([i for _, i in search(layers[0], graphs[0], q, entry, max(width, k + 1))])
+    for query, q, own in zip(queries, direction(queries), query_ids, strict=True):
+        best = descend(layers, members, graphs, q, row["width"])
         best = best[ids[best] != own]
-        score = np.einsum("ij,j->i", x[best], query)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("ij,j->i", x[best], query)
+        score = np.where(np.isnan(score), -np.inf, score)
         order = np.lexsort((ids[best], -score))[:k]
         out_q.append(np.full(len(order), own))
         out_v.append(ids[best[order]])
@@ -181,45 +225,47 @@ def _found(table: pa.Table, longest: float, links: int, width: int, k: int) -> p
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Queries of one size as rows of at most `size`."""
     for batch in batches:
-        for k in range(0, batch.num_rows, size):
-            part = batch.slice(k, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part.num_rows], pa.int32()), pa.array([np.asarray(part.column("id")).tobytes()], pa.binary()),
-                 pa.array([blob(matrix(part.column("vector")))], pa.binary())], ["m", "query_ids", "queries"])
+        sizes = np.asarray(batch.column("size"))
+        for own in np.unique(sizes):
+            rows = batch.take(pa.array(np.flatnonzero(sizes == own)))
+            for k in range(0, rows.num_rows, size):
+                part = rows.slice(k, size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own], pa.int32()), pa.array([part.num_rows], pa.int32()), pa.array([np.asarray(part.column("id")).tobytes()], pa.binary()),
+                     pa.array([blob(matrix(part.column("vector")))], pa.binary())], ["size", "m", "query_ids", "queries"])
 
 
-def _index(vectors: DataFrame, longest: float, shards: int, links: int, candidates: int) -> DataFrame:
-    turn = F.xxhash64(F.lit(11), F.col("id"))
-    dealt = vectors.withColumn("turn", turn).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(shards)).cast("int"))
-    return stored(dealt.groupBy("shard").applyInArrow(
-        frames.on_group(_build, longest=longest, links=links, candidates=candidates),
-        "shard int, n int, ids binary, vectors binary, members array<binary>, graphs array<binary>"), "graphs")
+def band(vector: str) -> Column:
+    """The power of four below a vector's length, found without squaring what could overflow."""
+    largest = F.array_max(F.transform(vector, lambda v: F.abs(v)))
+    square = F.aggregate(vector, F.lit(0.0), lambda s, v: s + (v / largest) * (v / largest))
+    return F.floor((F.log2(largest) + F.log2(square) / 2) / 2).cast("int")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD,
             links: int = LINKS, candidates: int = CANDIDATES, width: int = WIDTH, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row where `is_query` (a condition on `vec_id`) its k nearest others."""
-    everyone = stored(one_each(df, vec_id, vector), "vectors")
+    everyone = stored(one_each(df, vec_id, vector).withColumn("size", F.size("vector")).withColumn("band", band("vector")), "vectors")
     copies = Window.partitionBy("vector").orderBy("id")
     indexed = everyone.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
-    asking = everyone.withColumnRenamed("id", vec_id).where(is_query).withColumnRenamed(vec_id, "id")
-    found = None
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
-    for size, count, longest in everyone.groupBy(F.size("vector").alias("size")).agg(F.count("*"), F.max(length)).collect():
-        own = F.size("vector") == size
-        shards = frames.pieces(count, shard)
-        graphs = _index(indexed.where(own), float(longest) * (1 + 1e-12), shards, links, candidates)
-        blocks = asking.where(own).mapInArrow(functools.partial(_blocks, size=queries), "m int, query_ids binary, queries binary")
-        blocks = blocks.withColumn("block", F.monotonically_increasing_id())
-        blocks = stored(blocks, "queries")
-        tasks = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(graphs, "shard").join(blocks, "block")
-        part = tasks.groupBy("shard", "block").applyInArrow(
-            frames.on_group(_found, longest=float(longest) * (1 + 1e-12), links=links, width=width, k=k),
-            "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # A row for each length of vectors and power of four.
+    bands = stored(everyone.groupBy("size", "band").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "bands")
+
+    dealt = indexed.withColumn("turn", F.xxhash64(F.lit(11), F.col("id"))).join(bands, ["size", "band"])
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), F.col("id")), "shards").cast("int")).drop("shards")
+    key = ["size", "band", "shard"]
+    graphs = stored(dealt.groupBy(*key).applyInArrow(
+        frames.on_group(_build, links=links, candidates=candidates, width=width, k=k),
+        "size int, band int, shard int, n int, width int, ids binary, vectors binary, members array<binary>, graphs array<binary>"), "graphs")
+
+    asking = everyone.withColumnRenamed("id", vec_id).where(is_query).withColumnRenamed(vec_id, "id").select("id", "vector", "size")
+    blocks = asking.mapInArrow(functools.partial(_blocks, size=queries), "size int, m int, query_ids binary, queries binary")
+    blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "queries")
+    pairs = blocks.select("size", "block").join(bands, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    tasks = pairs.drop("shards").join(graphs, key).join(blocks.drop("size"), "block")
+    found = tasks.groupBy(*key, "block").applyInArrow(frames.on_group(_found, k=k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
