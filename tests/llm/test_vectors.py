@@ -60,6 +60,13 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_extreme_lengths(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [1.7e308, 1.7e308]), (6, [5e-324, 5e-324]),
+            (7, [1.0, -1.0]), (8, [1e-320, -1e-320]), (9, [1e300, 0.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(i, 5, 1, i == 1) for i in range(1, 7)] + [(7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)]
+
+
 def brute_nearest(x, q, k):
     score = x.astype(float) @ x[q].astype(float)
     score[q] = -np.inf

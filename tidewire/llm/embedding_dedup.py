@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: every pair with cosine >= threshold, by PCA-ordered tiled comparison.
 
-Vectors are scaled to length 1 and rotated to the principal axes of all of them (a sum of one small matrix per task), which
+Vectors are scaled by powers of two, then to length 1, and rotated to the principal axes of all of them (a sum of one small matrix per task), which
 changes no cosine and puts most of each product into the leading dimensions. They are dealt to blocks along their leading
 coordinates. Two blocks meet only if the distance of their centres and their radii allow the threshold. Inside such a
 tile, products are accumulated over the leading dimensions first; what the rest can still add is at most the product of
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
@@ -207,12 +207,19 @@ def tiles(vectors: DataFrame, size: int, threshold: float, block: int) -> DataFr
                                                "id bigint, n_links bigint, tree bigint")
 
 
+def scaled(vector: str) -> Column:
+    """The vector with a largest component from 1 to 2: divided by a power of two, which changes no cosine, so that no length
+    overflows or vanishes."""
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(vector, lambda v: F.abs(v))))))
+    return F.transform(vector, lambda v: v / power)
+
+
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
                     block: int = BLOCK) -> DataFrame:
     """One row per row of `df`: id, n_links, component_id (smallest id reachable; its own without links), kept."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a positive cosine")
-    vectors = stored(one_each(df, vec_id, vector), "vectors")
+    vectors = stored(one_each(df, vec_id, vector).withColumn("vector", scaled("vector")), "vectors")
     found = None
     for (size,) in vectors.groupBy(F.size("vector").alias("size")).count().select("size").collect():
         part = tiles(vectors.where(F.size("vector") == size), size, threshold, block)
@@ -234,7 +241,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+WITH RECURSIVE sized AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings),
+v AS (SELECT vec_id, list_transform(e, lambda x: x / pow(2, floor(log2(m)))) AS e FROM sized WHERE m > 0),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
   AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
