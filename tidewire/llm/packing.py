@@ -4,7 +4,8 @@ A document's full windows of the longest tier are sequences of their own. What r
 tier that holds it. Tiers are packed from the longest down: a window starts with the tier's longest remainder, and its
 gap is filled with whole remainders of the shorter tiers, the longest that fit, and then with the head of one more, cut
 to fit; its tail goes back to the tier of its new length. A window that cannot be filled waits for more documents. At
-the end of a task what still waits is cut into full windows, from the longest tier down; only the last is padded.
+the end of a task what still waits is cut into full windows, from the longest tier down, and what is less than the shortest tier into
+windows of lower powers of two: no sequence is padded.
 
 Sequences are dealt to step groups of equal numbers of tokens: `step_tokens` of one tier, so a step has one shape.
 
@@ -12,7 +13,7 @@ Everything happens where the documents are read: there is no shuffle. A task hol
 and, of what it has read before, less than a window. The number of a sequence holds the task's number; a rerun of a task
 makes the same sequences. An id's pieces are its own: rows with one id are packed as documents of their own.
 
-Ids are those of the vocabulary byte_bpe_50k; strings of special tokens in a text are ordinary text. The ranks file of the
+Ids are those of the vocabulary byte_bpe_50k; the mark of a special token in a text is that token. The ranks file of the
 same vocabulary is used, with which the same ids come several times faster (tests compare both).
 
 Defined cases: a null or empty text is the closing id alone; a null id stays null; an empty table has no sequence.
@@ -39,6 +40,8 @@ from .text import slices
 TIERS = (1024, 512, 256, 128)
 CLOSING = 0
 STEP_TOKENS = 32 * 1024
+#: Fixed value: the special token of the vocabulary, which its ranks file does not list.
+SPECIALS = {"<|endoftext|>": 50256}
 CHUNK_BYTES = 1 << 21
 
 PIECES = ("_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
@@ -47,7 +50,7 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(vocabulary: str | None = None):
-    """Text to token ids; `vocabulary` is a path, the public vocabulary if None."""
+    """Text to token ids; `vocabulary` is the path of a ranks file, that of the public vocabulary if None."""
     key = vocabulary or ""
     if key not in _ENCODERS:
         import public_tokenizers
@@ -55,8 +58,9 @@ def encoder(vocabulary: str | None = None):
 
         with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[key] = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[key].encode_ordinary
+        coder = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIALS)
+        _ENCODERS[key] = functools.partial(coder.encode, allowed_special="all", disallowed_special=())
+    return _ENCODERS[key]
 
 
 class Packer:
@@ -66,12 +70,12 @@ class Packer:
         self.tiers, self.step_tokens, self.task = tiers, step_tokens, task
         self.rest: list[tuple[int, int, int]] = []  # sorted (length, document, start), each shorter than a window
         self.made = 0
-        self.steps = dict.fromkeys(tiers, (-1, 0))  # the open step of a tier, and its tokens
+        self.steps: dict[int, tuple[int, int]] = {}  # the open step of a window length, and its tokens
         self.groups = 0
         self.out: list[tuple] = []
 
     def _sequence(self, pieces: list[tuple[int, int, int]], window: int) -> None:
-        group, tokens = self.steps[window]
+        group, tokens = self.steps.get(window, (-1, 0))
         if group < 0 or tokens + window > self.step_tokens:
             group, tokens, self.groups = self.groups, 0, self.groups + 1
         self.steps[window] = group, tokens + window
@@ -113,9 +117,9 @@ class Packer:
     def close(self) -> None:
         for window in self.tiers:
             self.pack(window, last=True)
-        if self.rest:
-            pieces, self.rest = self.rest[::-1], []
-            self._sequence(pieces, self.tiers[0])
+        while window > 1:
+            window //= 2
+            self.pack(window, last=True)
 
 
 def _pack(batches: Iterator[pa.RecordBatch], vocabulary, tiers, step_tokens, chunk_bytes) -> Iterator[pa.RecordBatch]:
