@@ -171,6 +171,9 @@ CATALOG = f"""cat AS (SELECT chunk_start, hash_part, count(*) AS row_count, min(
   max(sensor_id) AS max_sensor_id, min(time) AS min_time, max(time) AS max_time,
   chunk_start + INTERVAL 5 MINUTE AS chunk_end, epoch({AS_OF} - (chunk_start + INTERVAL 5 MINUTE)) / 60.0 AS age
   FROM ch GROUP BY chunk_start, hash_part)"""
+DAYS = """days AS (SELECT ts AS time, user_id AS sensor_id, time_bucket(INTERVAL '1 day', ts) AS chunk_start, (user_id % 4)::INTEGER AS hash_part,
+  event_id % 10 = 0 AND user_id % 4 = 0 AND ts < TIMESTAMP '2024-01-20 00:00:00' AS late FROM events)"""
+TEN = "3, 4, 17, 40, 41, 77, 90, 91, 120, 149"
 BATCH = """batch AS (SELECT ts AS time, user_id AS sensor_id, value AS measurement, event_id AS arrival FROM events
   UNION ALL SELECT ts, user_id, value + 1000, event_id + 1000000000000 FROM events),
 stored AS (SELECT ts AS time, user_id AS sensor_id, -value AS measurement FROM events
@@ -450,10 +453,24 @@ ORACLES: dict[str, str] = {
       round(age, 6) AS age_minutes FROM cat ORDER BY chunk_start DESC, hash_part LIMIT 20""",
     "retention": f"""WITH {MEASUREMENT} SELECT * FROM m
       WHERE time_bucket(INTERVAL '1 day', time) + INTERVAL 1 DAY > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY""",
-    "skip_scan": f"""WITH {CHUNKED}, {CATALOG} SELECT chunk_start, hash_part, row_count,
-      NOT (max_time >= TIMESTAMP '2024-01-10 00:00:00' AND min_time < TIMESTAMP '2024-01-20 00:00:00') AS skipped FROM cat""",
-    "pruned_scan": f"""WITH {CHUNKED} SELECT time, sensor_id, measurement, chunk_start FROM ch
-      WHERE time >= TIMESTAMP '2024-01-10 00:00:00' AND time < TIMESTAMP '2024-01-20 00:00:00'""",
+    "skip_scan": f"""WITH {DAYS} SELECT chunk_start, hash_part, count(*) AS row_count,
+      NOT (bool_or(sensor_id IN ({TEN})) AND chunk_start >= TIMESTAMP '2024-01-10' AND chunk_start < TIMESTAMP '2024-01-20') AS skipped
+      FROM days GROUP BY 1, 2""",
+    "pruned_scan": f"""WITH {MEASUREMENT} SELECT * FROM m WHERE sensor_id IN ({TEN})
+      AND time >= TIMESTAMP '2024-01-10 00:00:00' AND time < TIMESTAMP '2024-01-20 00:00:00'""",
+    "sensor_range_scan": f"WITH {MEASUREMENT} SELECT * FROM m WHERE sensor_id BETWEEN 20 AND 23",
+    "catalog_listing": f"""WITH {DAYS}, c AS (SELECT chunk_start, hash_part, count(*) AS row_count, min(sensor_id) AS min_sensor_id,
+        max(sensor_id) AS max_sensor_id, min(time) AS min_time, max(time) AS max_time, count(DISTINCT sensor_id) AS n_sensors,
+        chunk_start + INTERVAL 2 DAY <= TIMESTAMP '2024-01-16 06:00:00' AND NOT bool_or(late) AS compacted FROM days GROUP BY 1, 2)
+      SELECT *, CASE WHEN compacted THEN true END AS measured FROM c""",
+    "retention_stored": f"""WITH {MEASUREMENT} SELECT * FROM m
+      WHERE time_bucket(INTERVAL '1 day', time) + INTERVAL 1 DAY > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY""",
+    "delete_stored": f"""WITH {MEASUREMENT} SELECT * FROM m
+      WHERE sensor_id NOT IN (SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal > 0, false))""",
+    "ingest_stored": f"""WITH {BATCH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, time ORDER BY arrival) AS rn FROM batch)
+      SELECT time, sensor_id, measurement FROM stored UNION ALL SELECT time, sensor_id, measurement FROM ranked
+      WHERE rn = 1 AND (sensor_id, time) NOT IN (SELECT (sensor_id, time) FROM stored)
+      UNION ALL SELECT TIMESTAMP '2023-01-05 08:00:00', unnest([-1, -2])::BIGINT, 1.0::DOUBLE""",
     "compaction": f"WITH {CHUNKED} SELECT * FROM ch",
     "compression_ratio": f"""WITH {CHUNKED}, sized AS (SELECT chunk_start, hash_part, count(*) * 20 AS b0,
         count(DISTINCT sensor_id) * 4 + count(*) * 16 AS b1 FROM ch GROUP BY 1, 2)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import ingest, lifecycle, snapshots
 from ..schemas import KEYS
 from ..session import shared_dir
-from ..sources import tables
+from ..sources import catalog, tables
 
 #: Tables without a conflict clause: recording a tick twice is an error there.
 STRICT = ("snapshots", "sizes")
@@ -72,16 +72,20 @@ def _upsert_texts(df: DataFrame, name: str) -> DataFrame:
     return new.select("queryid")
 
 
-def maintain_measurements(spark: SparkSession, name: str, as_of, compacted: Sequence[str] = ()) -> list[str]:
-    """Retention, then compaction of the chunks that are due; returns the starts of all compacted chunks."""
-    tables.apply_retention(spark, name, lifecycle.MEASUREMENT_RETENTION, as_of)
-    return [*compacted, *tables.compact(spark, name, lifecycle.MEASUREMENT_COMPACT_AFTER, as_of, compacted)]
+def maintain_measurements(spark: SparkSession, name: str, as_of, compacted: Sequence[str] = (), keep: str = lifecycle.MEASUREMENT_RETENTION,
+                          after: str = lifecycle.MEASUREMENT_COMPACT_AFTER) -> list[str]:
+    """Retention, then compaction of the chunks that are due, then the catalog's log folded; returns the starts of all compacted
+    chunks. A table with a catalog knows which chunks it has compacted: `compacted` is for those without."""
+    tables.apply_retention(spark, name, keep, as_of)
+    done = tables.compact(spark, name, after, as_of, compacted)
+    if catalog.of(spark, name):
+        catalog.fold(spark, name)
+    return [*compacted, *done]
 
 
 def trim_history(spark: SparkSession, names: Mapping[str, str], as_of) -> int:
     """Drop the days of the trimmed history tables that are past their retention."""
     return sum(
-        tables.apply_retention(spark, names[key], lifecycle.HISTORY_RETENTION, as_of, ["created_day"],
-                               lifecycle.HISTORY_CHUNK)
+        tables.apply_retention(spark, names[key], lifecycle.HISTORY_RETENTION, as_of, ["created_day"], lifecycle.HISTORY_CHUNK)
         for key in TRIMMED if key in names
     )

@@ -18,7 +18,7 @@ from ..operators import commands as cmd
 from ..operators import decode, health, ingest, lifecycle, metrics, registry, scan, series, snapshots
 from ..session import configure
 from . import bindings as b
-from . import streams
+from . import stored, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,23 +311,23 @@ def _conflicting_batch(spark, sf):
         F.col("ts").alias("time"), F.col("user_id").alias("sensor_id"), F.col("value").alias("measurement"),
         F.col("event_id").alias("arrival"))
     copy = m.withColumn("measurement", F.col("measurement") + 1000).withColumn("arrival", F.col("arrival") + 10**12)
-    stored = m.where(F.col("time") < instant("2024-01-08 00:00:00")).drop("arrival") \
+    held = m.where(F.col("time") < instant("2024-01-08 00:00:00")).drop("arrival") \
         .withColumn("measurement", -F.col("measurement"))
-    return m.unionByName(copy), stored
+    return m.unionByName(copy), held
 
 
 @query
 def ingest_dedup(spark, sf):
     """The table after an idempotent append: what was stored stays, else the first arrival is kept."""
-    batch, stored = _conflicting_batch(spark, sf)
-    return stored.unionByName(ingest.resolve(batch, stored, schemas.KEYS["measurement"], ["arrival"], "ignore"))
+    batch, held = _conflicting_batch(spark, sf)
+    return held.unionByName(ingest.resolve(batch, held, schemas.KEYS["measurement"], ["arrival"], "ignore"))
 
 
 @query
 def append_modes(spark, sf):
     """Keys on which an append in error mode would fail."""
-    batch, stored = _conflicting_batch(spark, sf)
-    return ingest.duplicate_keys(batch, stored, schemas.KEYS["measurement"])
+    batch, held = _conflicting_batch(spark, sf)
+    return ingest.duplicate_keys(batch, held, schemas.KEYS["measurement"])
 
 
 @query
@@ -683,17 +683,41 @@ def retention(spark, sf):
 
 @query
 def skip_scan(spark, sf):
-    """Every chunk with whether its ranges let a scan skip it."""
-    catalog = lifecycle.chunk_catalog(_chunked(spark, sf), b.AS_OF)
-    out = lifecycle.skipping(catalog, 0, 10**9, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
-    return out.select("chunk_start", "hash_part", "row_count", "skipped")
+    """Every chunk of a stored table with whether its catalog lets a scan for ten sensors skip it."""
+    return stored.skipping(spark, sf)
 
 
 @query
 def pruned_scan(spark, sf):
-    chunked = _chunked(spark, sf)
-    catalog = lifecycle.chunk_catalog(chunked, b.AS_OF)
-    return lifecycle.prune(chunked, catalog, 0, 10**9, "2024-01-10 00:00:00", "2024-01-20 00:00:00").drop("hash_part")
+    """The rows of ten sensors in a time range, read by literal partition filters from the chunks the catalog names."""
+    return stored.pruned(spark, sf)
+
+
+@query
+def sensor_range_scan(spark, sf):
+    return stored.narrow(spark, sf)
+
+
+@query
+def catalog_listing(spark, sf):
+    """The stored catalog of a table after appends, a compaction, and late appends to compacted chunks."""
+    return stored.listing(spark, sf)
+
+
+@query
+def retention_stored(spark, sf):
+    return stored.retained(spark, sf)
+
+
+@query
+def delete_stored(spark, sf):
+    return stored.deleted(spark, sf)
+
+
+@query
+def ingest_stored(spark, sf):
+    """`ingest_dedup` on a stored table, with a reading a year late in every batch."""
+    return stored.appended(spark, *_conflicting_batch(spark, sf))
 
 
 @query

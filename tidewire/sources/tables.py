@@ -1,7 +1,8 @@
 """Partitioned catalog tables: conflict-aware appends, deletes, retention and compaction.
 
 Tables are catalog tables rather than bare paths because retention and deletes drop partitions. One
-writer per table is assumed, as in the telemetry pipeline; readers see whole committed appends.
+writer per table is assumed, as in the telemetry pipeline; readers see whole committed appends. The ingest can run
+maintenance between its micro-batches (`streaming.ingest.start`), so that it stays the only writer.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timing import width_us
 from ..operators import ingest, lifecycle
 from ..session import configure, shared_dir
+from . import catalog
+from .catalog import fresh
 
 MEASUREMENT_PARTITIONS = ["chunk_start", "hash_part"]
 
@@ -28,33 +32,39 @@ def create(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> None:
     writer.saveAsTable(name)
 
 
-def create_measurements(spark: SparkSession, name: str, chunk: str = lifecycle.MEASUREMENT_CHUNK) -> None:
-    """A measurement table whose chunks have the given width, which is kept as a table property."""
-    empty = spark.createDataFrame([], "time timestamp, sensor_id int, measurement double")
-    create(lifecycle.with_chunk(empty, width=chunk), name, MEASUREMENT_PARTITIONS)
+def create_measurements(spark: SparkSession, name: str, chunk: str = lifecycle.MEASUREMENT_CHUNK, path: str | None = None,
+                        sensor_type: str = "int", chunk_catalog: bool = True) -> None:
+    """A measurement table whose chunks have the given width, which is kept as a table property, with a chunk catalog beside it."""
+    empty = spark.createDataFrame([], f"time timestamp, sensor_id {sensor_type}, measurement double")
+    writer = lifecycle.with_chunk(empty, width=chunk).write.format("parquet").partitionBy(*MEASUREMENT_PARTITIONS)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{CHUNK_PROPERTY}' = '{chunk}')")
+    if chunk_catalog:
+        catalog.create(spark, name, path and f"{path}_chunks")
 
 
 def chunk_width(spark: SparkSession, name: str) -> str | None:
     """The width of a table's chunks, None if the table does not say: readers then prune by the upper bound only."""
-    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == CHUNK_PROPERTY).collect()
-    return rows[0]["value"] if rows else None
+    return catalog.table_property(spark, name, CHUNK_PROPERTY)
 
 
-def fresh(spark: SparkSession, name: str) -> DataFrame:
-    """The table as it is now: other sessions (a stream runs in its own) may have written to it, and the
-    file list a session has once read is otherwise kept."""
-    spark.catalog.refreshTable(name)
-    return spark.table(name)
+def _width(spark: SparkSession, name: str, given: str | None) -> str:
+    """The width the table says, which a given one must agree with; only a table that does not say takes the given one."""
+    own = chunk_width(spark, name)
+    if own is None and given is None:
+        raise ValueError(f"{name} does not say how wide its chunks are")
+    if own and given and width_us(own) != width_us(given):
+        raise ValueError(f"{name} has chunks of {own}, not of {given}")
+    return own or given
+
+
+class ConcurrentWriteError(RuntimeError):
+    """Another writer changed what is being rewritten."""
 
 
 def touched(batch: DataFrame, target: DataFrame, col: str) -> DataFrame:
-    """The target's rows in the range of partitions the batch has: two values reach the driver."""
-    kind = target.schema[col].dataType
-    low, high = batch.agg(F.min(col).cast("string"), F.max(col).cast("string")).first()
-    if low is None:
-        return target.where(F.lit(False))
-    return target.where(F.col(col).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
+    """The target's rows in the partitions the batch has, chosen by literals: a straggler adds its own partition, not all between."""
+    return target.where(catalog.within(catalog.ranges(batch, col), col, target.schema[col].dataType))
 
 
 def write(batch: DataFrame, name: str, keys: Sequence[str], arrival: Sequence[str] = (),
@@ -77,7 +87,8 @@ def write(batch: DataFrame, name: str, keys: Sequence[str], arrival: Sequence[st
         clash = ingest.duplicate_keys(batch, target, full_keys).first()
         if clash is not None:
             raise ingest.DuplicateKeyError(str(clash.asDict()))
-    append(ingest.resolve(batch, target, full_keys, arrival, on_conflict).select(*columns), name, partitions)
+    new = ingest.resolve(batch, target, full_keys, arrival, on_conflict).select(*columns)
+    catalog.record(new, name, lambda rows: append(rows, name, partitions))
 
 
 def append(rows: DataFrame, name: str, partitions: Sequence[str] = ()) -> None:
@@ -88,9 +99,14 @@ def append(rows: DataFrame, name: str, partitions: Sequence[str] = ()) -> None:
 
 
 def write_measurements(batch: DataFrame, name: str, arrival: Sequence[str] = (), on_conflict: str = "ignore",
-                       chunk: str = lifecycle.MEASUREMENT_CHUNK) -> None:
-    """Append (time, sensor_id, measurement) records under the key (sensor_id, time)."""
-    write(lifecycle.with_chunk(batch, width=chunk), name, ["sensor_id", "time"], arrival, on_conflict, MEASUREMENT_PARTITIONS)
+                       chunk: str | None = None) -> None:
+    """Append (time, sensor_id, measurement) records under the key (sensor_id, time). Chunks have the width the table says; a table
+    that does not say takes `chunk` and says it from then on, so a record always belongs to one chunk."""
+    spark = batch.sparkSession
+    width = _width(spark, name, chunk)
+    if chunk_width(spark, name) is None:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{CHUNK_PROPERTY}' = '{width}')")
+    write(lifecycle.with_chunk(batch, width=width), name, ["sensor_id", "time"], arrival, on_conflict, MEASUREMENT_PARTITIONS)
 
 
 def write_history(rows: DataFrame, name: str, keys: Sequence[str], on_conflict: str = "ignore") -> None:
@@ -138,45 +154,69 @@ def drop_before(spark: SparkSession, name: str, col: str, number: int) -> int:
 
 
 def apply_retention(spark: SparkSession, name: str, keep: str, as_of, cols: Sequence[str] = MEASUREMENT_PARTITIONS,
-                    width: str = lifecycle.MEASUREMENT_CHUNK) -> int:
+                    width: str | None = None) -> int:
     """Drop the partitions whose chunk ended at least `keep` before `as_of`; returns how many.
 
-    The first of `cols` is the chunk's start. Only partition names are handled, which retention itself
-    keeps few.
+    The first of `cols` is the chunk's start; chunks are as wide as the table says, `width` is for tables that do not.
+    Only partition names are handled, which retention itself keeps few.
     """
-    start = F.col(cols[0]).cast("timestamp")
-    return _drop(spark, name, partitions(spark, name, cols).where(lifecycle.expired(start, width, keep, as_of)))
+    start, width = F.col(cols[0]).cast("timestamp"), _width(spark, name, width)
+    dropped = _drop(spark, name, partitions(spark, name, cols).where(lifecycle.expired(start, width, keep, as_of)))
+    if catalog.of(spark, name):
+        catalog.forget(spark, name, partitions(spark, name, cols))
+    return dropped
 
 
-def compact(spark: SparkSession, name: str, after: str, as_of, done: Sequence[str] = (),
-            width: str = lifecycle.MEASUREMENT_CHUNK) -> list[str]:
+def compact(spark: SparkSession, name: str, after: str, as_of, done: Sequence[str] = (), width: str | None = None) -> list[str]:
     """Rewrite the chunks that ended at least `after` ago in columnar order; returns their starts.
 
-    `done` names chunks already compacted, as returned by earlier calls.
+    Chunks that the table's catalog knows as compacted stay as they are, and so do those that `done` names (for tables without
+    a catalog). The catalog learns the bytes of the files before and after.
     """
-    due = partitions(spark, name, ["chunk_start"]).distinct().where(
-        lifecycle.expired(F.col("chunk_start").cast("timestamp"), width, after, as_of))
-    starts = sorted(set(_texts(due, "chunk_start")) - set(done))
+    due = partitions(spark, name, MEASUREMENT_PARTITIONS).where(
+        lifecycle.expired(F.col("chunk_start").cast("timestamp"), _width(spark, name, width), after, as_of))
+    due = due.select(F.col("chunk_start").cast("timestamp"), F.col("hash_part").cast("int")).where(
+        ~F.col("chunk_start").cast("string").isin(list(done)))
+    listed = catalog.of(spark, name)
+    if listed:
+        catalog.repair(spark, name)
+        due = due.join(catalog.chunks(spark, name).where("compacted").select(*MEASUREMENT_PARTITIONS), MEASUREMENT_PARTITIONS, "left_anti")
+    due = catalog.staged(due, "due")
+    starts = sorted(set(_texts(due, "chunk_start")))
     if starts:
         rows = fresh(spark, name)
-        kind = rows.schema["chunk_start"].dataType
-        _rewrite(rows.where(F.col("chunk_start").isin([F.lit(v).cast(kind) for v in starts])), name)
+        named = catalog.ranges(due, "chunk_start", "hash_part")
+        own = rows.where(catalog.within(named, "chunk_start", rows.schema["chunk_start"].dataType, "hash_part")).join(due, MEASUREMENT_PARTITIONS, "left_semi")
+        before = catalog.staged(file_catalog(spark, name, due), "bytes")
+        _rewrite(own.select(*rows.columns), name, due)
+        if listed:
+            sizes = before.withColumnRenamed("bytes", "bytes_before").drop("files").join(
+                file_catalog(spark, name, due).withColumnRenamed("bytes", "bytes_after").drop("files"), MEASUREMENT_PARTITIONS)
+            catalog.rewritten(spark, name, sizes)
     return starts
 
 
-def _rewrite(rows: DataFrame, name: str) -> None:
+def _rewrite(rows: DataFrame, name: str, chunks: DataFrame | None = None) -> None:
     """Overwrite exactly the partitions the rows belong to, in columnar order.
 
     The rows are staged in the shared folder first: the partitions being replaced are also the input,
-    and a task repeated after a lost executor must still find it.
+    and a task repeated after a lost executor must still find it. If files have joined the `chunks` meanwhile, nothing is overwritten.
     """
     spark = configure(rows.sparkSession)
     staged = shared_dir(spark, "rewrite")
+    seen = _files(spark, name, chunks) if chunks is not None else None
     rows.write.parquet(staged)
     back = lifecycle.compacted_layout(spark.read.schema(rows.schema).parquet(staged))
+    if seen is not None and _files(spark, name, chunks) != seen:
+        raise ConcurrentWriteError(f"{name} was written to while it was being compacted")
     back.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
 
 
+def _files(spark: SparkSession, name: str, chunks: DataFrame) -> int:
+    """A digest of the names of the chunks' files."""
+    return _listing(spark, name, chunks).agg(F.sum(F.xxhash64("path").cast("decimal(38,0)"))).first()[0]
+
+
 def delete_measurements(spark: SparkSession, name: str, sensors: DataFrame) -> None:
     """Delete the measurements of the given sensors (frame with ``sensor_id``).
 
@@ -194,8 +234,13 @@ def delete_measurements(spark: SparkSession, name: str, sensors: DataFrame) -> N
         .select(*[F.col(c).cast("string") for c in MEASUREMENT_PARTITIONS])
     # Written down before the rewrite changes what it is derived from.
     dropped = spark.createDataFrame(empty.collect(), empty.schema)
+    listed = catalog.of(spark, name)
+    if listed:
+        catalog.opened(spark, name, hit)
     _rewrite(kept.select(*m.columns), name)
     _drop(spark, name, dropped)
+    if listed:
+        catalog.repair(spark, name)
 
 
 def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
@@ -212,10 +257,22 @@ def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     )
 
 
-def file_catalog(spark: SparkSession, name: str) -> DataFrame:
-    """Chunks of a table with their file count and bytes."""
-    files = fresh(spark, name).groupBy(
-        *MEASUREMENT_PARTITIONS, F.col("_metadata.file_path").alias("file")
-    ).agg(F.max("_metadata.file_size").alias("bytes"))
-    return files.groupBy(*MEASUREMENT_PARTITIONS).agg(
-        F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+def _listing(spark: SparkSession, name: str, chunks: DataFrame | None = None) -> DataFrame:
+    """The files of a table (path, length, chunk_start, hash_part), of the given chunks only; no file is opened."""
+    where, specs = catalog.location(spark, name), spark.sql(f"SHOW PARTITIONS {name}")
+    if chunks is not None:
+        spec = F.str_to_map("partition", F.lit("/"), F.lit("="))
+        keys = specs.select("partition", F.url_decode(spec["chunk_start"]).cast("timestamp").alias("chunk_start"), spec["hash_part"].cast("int").alias("hash_part"))
+        specs = keys.join(chunks.select(*MEASUREMENT_PARTITIONS), MEASUREMENT_PARTITIONS, "left_semi")
+    folders = [f"{where}/{r['partition']}" for r in specs.select("partition").collect()]
+    if not folders:
+        return spark.createDataFrame([], "path string, length bigint, chunk_start timestamp, hash_part int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders)
+    part = F.regexp_extract("path", "chunk_start=([^/]+)/hash_part=([^/]+)/", 1)
+    return files.select("path", "length", F.url_decode(F.url_decode(part)).cast("timestamp").alias("chunk_start"),
+                        F.regexp_extract("path", "/hash_part=([^/]+)/", 1).cast("int").alias("hash_part"))
+
+
+def file_catalog(spark: SparkSession, name: str, chunks: DataFrame | None = None) -> DataFrame:
+    """Chunks of a table with their file count and bytes, from the file listing alone."""
+    return _listing(spark, name, chunks).groupBy(*MEASUREMENT_PARTITIONS).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -73,7 +73,7 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
             if malformed is not None:
                 append_epoch(broken.select(batch, "value"), malformed, epoch)
             tables.write_measurements(ingest.to_records(good, arrival), target, arrival,
-                                      chunk=tables.chunk_width(spark, target) or chunk)
+                                      chunk=None if tables.chunk_width(spark, target) else chunk)
             if stats is not None:
                 status = F.when(F.col("rejected"), F.lit("error")).otherwise(F.lit("success"))
                 done = ingest.batch_stats(rows.withColumn("status", status), batch, ("serial_number", "status"))
