@@ -197,6 +197,14 @@ DEAD_ALERT = (("ok", "<= 10"), ("warning", "<= 20"), ("critical", ""))
 
 MALFORMED = "malformed AS (SELECT batch_id FROM readings GROUP BY 1 HAVING min(measurement) < 1)"
 
+TOOK = """took AS (SELECT batch_id, 'ingester-' || (batch_id % 3) AS query, sum(round(measurement * 100)::BIGINT)::DOUBLE / 100000 AS seconds
+  FROM readings GROUP BY 1, 2)"""
+SECONDS_BOUNDS = """bounds AS (SELECT 0.001::DOUBLE * (2.0 ** i)::DOUBLE AS le FROM generate_series(0, 14) t(i) UNION ALL SELECT 'infinity'::DOUBLE)"""
+STREAMED = f"""WITH {READINGS}, {MALFORMED}, {KNOWN},
+      r AS (SELECT readings.*, id FROM readings LEFT JOIN known USING (serial_number)
+        WHERE batch_id NOT IN (SELECT batch_id FROM malformed))
+      SELECT time, id AS sensor_id, measurement FROM r WHERE batch_id NOT IN (SELECT batch_id FROM r WHERE id IS NULL)"""
+
 STATE = f"""eff AS (SELECT *, CASE command WHEN 'sleep' THEN true WHEN 'awake' THEN false END AS sets_asleep,
   CASE WHEN command = 'changeSampleFrequency' THEN try_cast(frequency_param AS DOUBLE) END AS sets_hz FROM commands),
 tl AS (SELECT *, coalesce(last_value(sets_asleep IGNORE NULLS) OVER w, false) AS was_asleep,
@@ -240,6 +248,10 @@ ORACLES: dict[str, str] = {
       round(avg(measurement), 9) AS mean_value, max(measurement) AS max_value, round(sum(measurement), 6) AS sum_value,
       round(quantile_cont(measurement, 0.99), 6) AS p99_value FROM filled GROUP BY 1""",
     "latest_per_key": f"WITH {MEASUREMENT} SELECT sensor_id, max(time) AS time, arg_max(measurement, time) AS measurement FROM m GROUP BY 1",
+    "latest_stored": f"""WITH {MEASUREMENT} SELECT max(time) AS time, sensor_id, arg_max(measurement, time) AS measurement FROM m
+      WHERE sensor_id IN (SELECT c_custkey FROM customer) GROUP BY sensor_id""",
+    "panel_percentiles": f"""WITH {MEASUREMENT} SELECT round(quantile_cont(measurement, 0.5), 6) AS p50, round(quantile_cont(measurement, 0.95), 6) AS p95,
+      round(quantile_cont(measurement, 0.99), 6) AS p99, max(measurement) AS max FROM m""",
     "sensor_counts": f"""WITH {SENSOR}, {MEASUREMENT} SELECT serial_number, count(sensor_id) AS row_count,
       round(any_value(sample_frequency) * 1800.0, 6) AS expected_rows FROM sensor LEFT JOIN m ON id = sensor_id GROUP BY serial_number""",
     "insert_rate": f"""WITH {SENSOR}, {MEASUREMENT} SELECT serial_number,
@@ -341,6 +353,12 @@ ORACLES: dict[str, str] = {
       SELECT serial_number, CASE WHEN le = 'infinity'::DOUBLE THEN -1.0 ELSE round(le, 6) END AS le,
         count(*) FILTER (WHERE v <= le) AS bucket_count, count(*) AS observations, round(sum(v), 6) AS total_seconds
       FROM l CROSS JOIN bounds GROUP BY serial_number, bounds.le""",
+    "processing_histogram": f"""WITH {READINGS}, {TOOK}, {SECONDS_BOUNDS}
+      SELECT query, CASE WHEN le = 'infinity'::DOUBLE THEN -1.0 ELSE round(le, 6) END AS le, count(*) FILTER (WHERE seconds <= le) AS bucket_count,
+        count(*) AS messages, round(sum(seconds), 6) AS total_seconds FROM took CROSS JOIN bounds GROUP BY query, bounds.le""",
+    "processing_quantiles": f"""WITH {READINGS}, {TOOK}, {SECONDS_BOUNDS},
+      h AS (SELECT query, le, (count(*) FILTER (WHERE seconds <= le))::DOUBLE AS rate FROM took CROSS JOIN bounds GROUP BY query, bounds.le),
+      {quantile('q', 'h', 'query', QS)} SELECT query, round(q50, 6) AS q50, round(q95, 6) AS q95, round(q99, 6) AS q99 FROM q""",
     "counter_rate": f"""WITH {PROCESSED}, {rate('r', 'samples', 'status, instance, user_id', "'6 hours'", "'2 hours'", "status = 'success'")}
       SELECT step, user_id, round(sum(rate), 9) AS rate FROM r GROUP BY 1, 2""",
     "counter_rate_total": f"""WITH {PROCESSED}, {rate('r', 'samples', 'status, instance, user_id', "'6 hours'", "'2 hours'", "status = 'success'")}
@@ -524,10 +542,9 @@ ORACLES: dict[str, str] = {
       FROM eff GROUP BY 1""",
     "command_logs": COMMAND_LOGS,
     # ---- streams ----
-    "stream_ingest": f"""WITH {READINGS}, {MALFORMED}, {KNOWN},
-      r AS (SELECT readings.*, id FROM readings LEFT JOIN known USING (serial_number)
-        WHERE batch_id NOT IN (SELECT batch_id FROM malformed))
-      SELECT time, id AS sensor_id, measurement FROM r WHERE batch_id NOT IN (SELECT batch_id FROM r WHERE id IS NULL)""",
+    "stream_ingest": STREAMED,
+    "stream_requeue": STREAMED,
+    "stream_maintained": STREAMED,
     "stream_counters": f"""WITH {READINGS}, {MALFORMED}, {KNOWN},
       r AS (SELECT readings.*, id FROM readings LEFT JOIN known USING (serial_number)
         WHERE batch_id NOT IN (SELECT batch_id FROM malformed)),

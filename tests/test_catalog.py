@@ -176,3 +176,23 @@ def test_compaction_refuses_to_overwrite_what_it_has_not_read(spark, name, monke
     with pytest.raises(tables.ConcurrentWriteError):
         tables.compact(spark, name, "1 day", "2024-01-04 00:00:00")
     assert tables.fresh(spark, name).where("sensor_id = 77").count() == 1 and tables.fresh(spark, name).count() == 31
+
+
+def test_newest_rows_are_read_from_the_newest_chunks(spark, name, monkeypatch):
+    tables.create_measurements(spark, name, "1 day")
+    tables.write_measurements(readings(spark, [(s, f"2024-01-{d:02d} 0{h}:00:00") for d in range(1, 11) for h in (1, 2) for s in (1, 2, 5)
+                                               if not (s == 5 and d > 4)]), name, ["arrival"])
+    read, staged = [], catalog.staged
+
+    def seen(df, what):
+        if what == "newest":
+            read.append(what)
+        return staged(df, what)
+    monkeypatch.setattr(catalog, "staged", seen)
+    sensors = spark.createDataFrame([(1,), (5,), (99,), (None,)], "sensor_id int")
+    got = catalog.newest(spark, name, sensors)
+    assert rows(got.select("sensor_id", F.col("time").cast("string"))) == [(1, "2024-01-10 02:00:00"), (5, "2024-01-04 02:00:00")]
+    # Two rounds: the newest chunk, then the two newest that hold sensor 5; nobody looks for 99.
+    assert read == ["newest"] * 2
+    assert rows(catalog.newest(spark, name, sensors.where("sensor_id = 99"))) == []
+    assert catalog.newest(spark, name, sensors.limit(0)).count() == 0

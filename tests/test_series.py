@@ -105,3 +105,19 @@ def test_chunk_catalog_and_skipping(spark):
     assert sorted(r.measurement for r in kept.collect()) == [7.0, 9.0]
     flags = lifecycle.skipping(catalog, 2, 3, "2024-01-01 00:00:00", "2024-01-01 02:30:00")
     assert flags.where("not skipped").count() == 2
+
+
+def test_percentiles_of_everything(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for x in (r.normal(size=3001), np.concatenate([np.full(2000, 7.0), r.normal(size=999)]), 10.0 ** r.uniform(-300, 300, 2500), np.array([5.0]),
+              r.integers(0, 5, 3000).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(4)
+        qs = [0, 0.01, 0.25, 0.5, 0.99, 1]
+        got = series.percentiles(df, "v", qs, selected=50, splits=8)
+        assert np.allclose(got, np.quantile(x, qs), rtol=1e-12, atol=0)
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert series.percentiles(empty, "v", [0.5]) == [None]
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert series.percentiles(nan, "v", [0.5])[0] == 2.0

@@ -299,3 +299,47 @@ def test_resent_readings_are_dropped_in_the_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("resent").trigger(**ALL).start()
     q.awaitTermination()
     assert spark.table("resent").count() == 5
+
+
+def test_a_message_waits_for_its_sensor(spark, world, name):
+    folder, run = world
+    kw = dict(retry=f"{name}_retry", attempts=3, stats=f"{name}_stats")
+    put(spark, folder, [(1, 1, message(("A", 1, 1.0), ("C", 2, 2.0))), (2, 2, message(("X", 1, 1.0))), (3, 3, message(("B", 1, 1.0)))])
+    assert run(**kw) == [(2, 1, 1.0)]
+    waiting = tables.fresh(spark, f"{name}_retry")
+    assert rows(waiting.select("batch_id", "attempt", "epoch")) == [(1, 1, 0), (2, 1, 0)]
+    assert tables.fresh(spark, f"{name}_rejected").count() == 0
+    spark.createDataFrame([(3, "C")], "id int, serial_number string").write.mode("append").insertInto(f"{name}_sensor")
+    put(spark, folder, [(4, 4, message(("A", 5, 5.0)))])
+    want = [(1, 1, 1.0), (1, 5, 5.0), (2, 1, 1.0), (3, 2, 2.0)]
+    assert run(**kw) == want
+    # The third attempt is the last; then nothing waits.
+    for k in (5, 6):
+        put(spark, folder, [(k, k, message(("A", 5, 5.0)))])
+        assert run(**kw) == want
+    assert rows(tables.fresh(spark, f"{name}_rejected").select("batch_id", "serial_number")) == [(2, "X")]
+    assert rows(tables.fresh(spark, f"{name}_retry").where("epoch >= 2").select("batch_id")) == []
+    tried = tables.fresh(spark, f"{name}_stats").where("status = 'error'").groupBy("batch_id").agg(F.countDistinct("epoch"))
+    assert rows(tried) == [("1", 1), ("2", 3)]
+
+
+def test_maintenance_between_micro_batches_loses_nothing(spark, world, name):
+    from tidewire.plans import jobs
+    from tidewire.sources import catalog
+    from tidewire.streaming import progress
+
+    folder, run = world
+    for k in range(3):  # every file has readings for every chunk: late ones after the first
+        put(spark, folder, [(k, k, message(*[("AB"[i % 2], 20 * k + i, float(i)) for i in range(6)]))])
+    listener = progress.ProcessingTimes()
+    spark.streams.addListener(listener)
+    try:
+        got = run(maintain_every=1, maintenance=lambda s: jobs.maintain_measurements(s, name, "2024-01-01 00:30:00"))
+    finally:
+        spark.streams.removeListener(listener)
+    assert got == sorted([(1 + i % 2, 20 * k + i, float(i)) for k in range(3) for i in range(6)], key=str)
+    assert all(r.compacted for r in catalog.chunks(spark, name).collect())
+    times = listener.frame(spark)
+    assert times.count() == 3 and times.where("seconds > 0").count() == 3
+    last = progress.histogram(times).where(F.col("le") == float("inf")).collect()
+    assert [r.bucket_count for r in last] == [3]

@@ -108,9 +108,67 @@ def latest_by(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] =
     return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*df.columns)
 
 
+#: Values that one task sorts, and value ranges a pass counts.
+SELECTED, SPLITS = 10_000, 64
+
+
+def percentiles(df: DataFrame, value: str, qs: Sequence[float], selected: int = SELECTED, splits: int = SPLITS) -> list[float | None]:
+    """Exact percentiles of all values, interpolated, however many there are: no task ever holds them.
+
+    A percentile lies between two ranks. A rank is looked for in passes: values near the quantiles of what is left (from a bounded
+    sketch) cut it into ranges, the values in each are counted, and only the range that holds the rank is left, until it is the
+    cut itself or small enough to be sorted. Nulls do not count; NaN is larger than any number.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(v.alias("v")).where(v.isNotNull())
+    n = rows.count()
+    if not n:
+        return [None for _ in qs]
+
+    def at(rank: int) -> float:
+        low, high, below = None, None, 0  # low < the value < high; `below` values are not above low
+        while True:
+            left = rows
+            if low is not None:
+                left = left.where(F.col("v") > F.lit(low))
+            if high is not None:
+                left = left.where(F.col("v") < F.lit(high))
+            cuts = left.agg(F.percentile_approx("v", [i / splits for i in range(splits + 1)], 10_000).alias("c"), F.count("*").alias("n")).first()
+            if cuts["n"] <= selected:
+                return left.orderBy("v").limit(rank - below + 1).agg(F.max("v")).first()[0]
+            cuts = sorted(set(cuts["c"]), key=lambda c: (c != c, c))
+            counts = left.agg(*[F.count_if(F.col("v") < F.lit(c)).alias(f"b{i}") for i, c in enumerate(cuts)],
+                              *[F.count_if(F.col("v") == F.lit(c)).alias(f"e{i}") for i, c in enumerate(cuts)]).first()
+            for i, c in enumerate(cuts):
+                less, upto = below + counts[f"b{i}"], below + counts[f"b{i}"] + counts[f"e{i}"]
+                if less <= rank < upto:
+                    return c
+                if rank < less:
+                    high = c
+                    break
+                low, after = c, upto
+            below = after if low is not None else below
+
+    out = []
+    for q in qs:
+        place = q * (n - 1)
+        rank = int(place)
+        first = at(rank)
+        out.append(first if place == rank else first + (at(rank + 1) - first) * (place - rank))
+    return out
+
+
 def reduce(df: DataFrame, value: str, ts: str, by: Sequence[str] = (),
            calcs: Sequence[str] = ("lastNotNull", "last", "mean", "max", "sum", "p99")) -> DataFrame:
-    """Panel reducers over series that are already on a step grid, so a group holds one row per step."""
+    """Panel reducers over series that are already on a step grid, so a group holds one row per step.
+
+    Without `by` everything is one group: its percentile is then selected in passes, at once.
+    """
+    if not by and "p99" in calcs:
+        p99 = F.lit(percentiles(df, value, [0.99])[0]).cast("double").alias("p99")
+        others = [c for c in calcs if c != "p99"]
+        rest = reduce(df, value, ts, (), others) if others else df.sparkSession.range(1)
+        return rest.select(*[p99 if c == "p99" else F.col(c) for c in calcs])
     v, t = F.col(value), F.col(ts)
     exprs: dict[str, Column] = {
         "lastNotNull": F.max_by(v, F.when(v.isNotNull(), t)),

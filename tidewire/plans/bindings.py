@@ -73,6 +73,12 @@ def status_events(spark, sf) -> DataFrame:
         F.concat(F.lit("ingester-"), F.col("user_id") % 3).alias("instance"))
 
 
+def processing(spark, sf) -> DataFrame:
+    """Processing seconds of every message and the replica that handled it: a millisecond for each unit of its readings."""
+    return readings(spark, sf).groupBy("batch_id").agg((F.sum(F.round(F.col("measurement") * 100).cast("bigint")) / 100_000).alias("seconds")).withColumn(
+        "query", F.concat(F.lit("ingester-"), F.col("batch_id") % 3))
+
+
 # ---- raw messages ---------------------------------------------------------------------------------
 
 def _utc(col: str):

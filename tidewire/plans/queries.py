@@ -17,6 +17,7 @@ from ..functions.timing import bucket, instant
 from ..operators import commands as cmd
 from ..operators import decode, health, ingest, lifecycle, metrics, registry, scan, series, snapshots
 from ..session import configure
+from ..streaming import progress
 from . import bindings as b
 from . import stored, streams
 
@@ -89,6 +90,22 @@ def latest_per_key(spark, sf):
     return series.latest_by(b.measurement(spark, sf), ["sensor_id"], "time")
 
 
+@query
+def latest_stored(spark, sf):
+    """The newest measurement of every registered sensor of a stored table, reading the newest chunks only."""
+    return stored.latest(spark, sf)
+
+
+@query
+def panel_percentiles(spark, sf):
+    """Reducers and exact percentiles over all measurements as one group."""
+    m = b.measurement(spark, sf)
+    p50, p95 = series.percentiles(m, "measurement", (0.5, 0.95))
+    out = series.reduce(m, "measurement", "time", calcs=("max", "p99"))
+    return out.select(F.lit(p50).cast("double").alias("p50"), F.lit(p95).cast("double").alias("p95"), r6("p99").alias("p99"), "max").withColumn(
+        "p50", r6("p50")).withColumn("p95", r6("p95"))
+
+
 @query
 def sensor_counts(spark, sf):
     out = series.sensor_counts(b.measurement(spark, sf), b.sensor(spark, sf))
@@ -397,6 +414,24 @@ def latency_histogram(spark, sf):
                       "bucket_count", F.col("count").alias("observations"), r6("sum").alias("total_seconds"))
 
 
+_QUANTILES = (0.5, 0.95, 0.99)
+
+
+@query
+def processing_histogram(spark, sf):
+    """Processing time of messages per replica, over the declared buckets."""
+    out = progress.histogram(b.processing(spark, sf))
+    return out.select("query", F.when(F.col("le") == metrics.INF, -1.0).otherwise(r6("le")).alias("le"), "bucket_count",
+                      F.col("count").alias("messages"), r6("sum").alias("total_seconds"))
+
+
+@query
+def processing_quantiles(spark, sf):
+    out = progress.histogram(b.processing(spark, sf)).withColumn("rate", F.col("bucket_count").cast("double"))
+    q = metrics.histogram_quantile(out, _QUANTILES, ["query"])
+    return q.select("query", *[r6(metrics.quantile_name(x)).alias(metrics.quantile_name(x)) for x in _QUANTILES])
+
+
 _SERIES = ["status", "instance", "user_id"]
 
 
@@ -431,9 +466,6 @@ def instant_rate(spark, sf):
     return metrics.sum_by(r, "rate").select("step", F.round("rate", 9).alias("rate"))
 
 
-_QUANTILES = (0.5, 0.95, 0.99)
-
-
 @query
 def histogram_quantile(spark, sf):
     r = metrics.rate(b.value_buckets(spark, sf), ["instance", "le"], "6 hours", "1 hour")
@@ -844,6 +876,18 @@ def stream_ingest(spark, sf):
     return streams.ingest(spark, sf)
 
 
+@query
+def stream_requeue(spark, sf):
+    """The table after readings of half the sensors arrived before their sensor was registered."""
+    return streams.requeued(spark, sf)
+
+
+@query
+def stream_maintained(spark, sf):
+    """The table that the ingest leaves when it compacts and trims between its micro-batches."""
+    return streams.maintained(spark, sf)
+
+
 @query
 def stream_counters(spark, sf):
     """Outcome counters of the streaming ingest."""

@@ -113,3 +113,9 @@ def appended(spark: SparkSession, batch: DataFrame, stored: DataFrame) -> DataFr
     for _ in range(2):
         tables.write_measurements(batch.unionByName(straggler), name, ["arrival"])
     return rows(tables.fresh(spark, name))
+
+
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest measurement of every registered sensor, walking from the newest chunk."""
+    sensors = b.sensor(spark, sf).select(F.col("id").alias("sensor_id"))
+    return rows(catalog.newest(spark, shared(spark, sf), sensors))

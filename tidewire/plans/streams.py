@@ -11,15 +11,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decode, lifecycle, metrics
+from ..operators import decode, metrics
 from ..session import shared_dir
-from ..sources import readers, tables
+from ..sources import catalog, readers, tables
 from ..streaming import commands as command_stream
 from ..streaming import ingest as ingest_stream
 from ..streaming import logs as log_stream
 from ..streaming import packing, quarantine
 from ..streaming import registry as registry_stream
 from . import bindings as b
+from . import jobs, stored
 
 ALL = {"availableNow": True}
 
@@ -51,9 +52,9 @@ def _table(df: DataFrame, folder: str, partitions=()) -> str:
 
 def _ingest_tables(spark: SparkSession, sf: str, work: str) -> tuple[DataFrame, str, str]:
     sensors = _table(b.valid_sensor(spark, sf), f"{work}/sensor")
-    empty = spark.createDataFrame([], "time timestamp, sensor_id bigint, measurement double")
+    target = _new_table()
     # Chunks of a day instead of five minutes: the events are spread over a month.
-    target = _table(lifecycle.with_chunk(empty, width="1 day"), f"{work}/measurement", tables.MEASUREMENT_PARTITIONS)
+    tables.create_measurements(spark, target, "1 day", f"{work}/measurement", "bigint")
     messages = b.raw_measurements(spark, sf).select("batch_id", "arrival", "value")
     return _stream(spark, messages, f"{work}/messages"), sensors, target
 
@@ -63,8 +64,39 @@ def ingest(spark: SparkSession, sf: str) -> DataFrame:
     stream, sensors, target = _ingest_tables(spark, sf, work)
     for attempt in ("first", "replay"):
         ingest_stream.start(stream, sensors, target, f"{work}/checkpoint-{attempt}", _new_table(), _new_table(),
-                            chunk="1 day", trigger=ALL).awaitTermination()
-    return tables.fresh(spark, target).select(F.col("time").cast("timestamp_ntz").alias("time"), "sensor_id", "measurement")
+                            trigger=ALL).awaitTermination()
+    return stored.rows(tables.fresh(spark, target))
+
+
+def requeued(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the sensors are registered only after most messages have arrived."""
+    work = shared_dir(spark, "requeue")
+    known = b.valid_sensor(spark, sf)
+    sensors, target, retry = _table(known.where("id % 2 = 0"), f"{work}/sensor"), _new_table(), _new_table()
+    tables.create_measurements(spark, target, "1 day", f"{work}/measurement", "bigint")
+    messages = b.raw_measurements(spark, sf).select("batch_id", "arrival", "value")
+    late, rejected, malformed = F.col("batch_id") % 5 == 0, _new_table(), _new_table()
+    stream = _stream(spark, messages.where(~late), f"{work}/messages")
+
+    def run():
+        ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", rejected, malformed, retry=retry, attempts=FILES,
+                            trigger=ALL).awaitTermination()
+    run()
+    known.where("id % 2 <> 0").select(*spark.table(sensors).columns).write.mode("append").insertInto(sensors)
+    messages.where(late).repartition(FILES).write.mode("append").parquet(f"{work}/messages")
+    run()
+    return stored.rows(tables.fresh(spark, target))
+
+
+def maintained(spark: SparkSession, sf: str) -> DataFrame:
+    work = shared_dir(spark, "maintained")
+    stream, sensors, target = _ingest_tables(spark, sf, work)
+
+    def maintenance(session: SparkSession) -> None:
+        jobs.maintain_measurements(session, target, "2024-01-20 12:00:00", keep="30 days", after="1 day")
+    ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", _new_table(), _new_table(), trigger=ALL,
+                        maintenance=maintenance, maintain_every=1).awaitTermination()
+    return stored.rows(catalog.scan(spark, target))
 
 
 def counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +105,7 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
     stream, sensors, target = _ingest_tables(spark, sf, work)
     stats = _table(spark.createDataFrame([], ingest_stream.STATS), f"{work}/stats", ["epoch"])
     ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", _new_table(), _new_table(), stats=stats,
-                        chunk="1 day", trigger=ALL).awaitTermination()
+                        trigger=ALL).awaitTermination()
     return metrics.counter(tables.fresh(spark, stats), ["status", "serial_number"], F.col("n"))
 
 

@@ -137,8 +137,7 @@ def record(rows: DataFrame, name: str, append) -> None:
     if log is None:
         append(rows)
         return
-    repair(spark, name)
-    version, generation, _ = _state(spark, log)
+    version, generation = repair(spark, name)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _log(summary(rows), log, "begun", version, generation)
@@ -155,12 +154,12 @@ def opened(spark: SparkSession, name: str, chunks: DataFrame) -> None:
     _log(chunks.select(*KEY).distinct(), log, "open", version, generation)
 
 
-def repair(spark: SparkSession, name: str) -> None:
-    """Summarise the chunks of writes that broke off from their rows."""
+def repair(spark: SparkSession, name: str) -> tuple[int, int]:
+    """Summarise the chunks of writes that broke off from their rows; returns the next version and the generation in use."""
     log = of(spark, name)
     version, generation, broken = _state(spark, log)
     if not broken:
-        return
+        return version, generation
     chunks = staged(fresh(spark, log).where(F.col("version").isin(broken) & F.col("chunk_start").isNotNull()).select(*KEY).distinct(), "broken")
     rows = fresh(spark, name)
     found = rows.where(within(ranges(chunks, "chunk_start", "hash_part"), "chunk_start", rows.schema["chunk_start"].dataType, "hash_part")) \
@@ -169,6 +168,7 @@ def repair(spark: SparkSession, name: str) -> None:
     _log(summary(found), log, "begun", version, generation)
     for v in [*broken, version]:
         _done(spark, log, v, generation)
+    return version + 1, generation
 
 
 def forget(spark: SparkSession, name: str, there: DataFrame) -> None:
@@ -195,9 +195,8 @@ def rewritten(spark: SparkSession, name: str, sizes: DataFrame) -> None:
 def fold(spark: SparkSession, name: str) -> None:
     """The log as one summary per chunk and bucket, in a generation of its own; older generations go. Interrupted in between, both are
     there and mean the same."""
-    repair(spark, name)
+    version, generation = repair(spark, name)
     log = of(spark, name)
-    version, generation, _ = _state(spark, log)
     merged = staged(_live(spark, log).groupBy(*KEY, "bucket").agg(*_merged()), "merged")
     marks = staged(chunks(spark, name).select(*KEY, "bytes_before", "bytes_after", "compacted"), "marks")
     for kind in ("reset", "compacted"):
@@ -260,13 +259,18 @@ def holding(spark: SparkSession, name: str, sensors: Sequence[int] | None = None
     if sensors is None and min_sensor is not None and max_sensor is not None and max_sensor - min_sensor < LISTED_SENSORS:
         sensors = range(min_sensor, max_sensor + 1)
     if sensors is not None:
-        ids = spark.createDataFrame([(int(i),) for i in sensors], "wanted bigint").distinct()
-        ids = ids.select(F.bitmap_bucket_number("wanted").alias("bucket"), F.bitmap_bit_position("wanted").alias("bit"))
-        byte = F.conv(F.hex(F.substr("sensors", (F.expr("bit div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found = found.join(ids, "bucket").where(F.expr("1").bitwiseAND(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int"))) == 1)
+        found = _with_any(found, spark.createDataFrame([(int(i),) for i in sensors], "wanted bigint"))
     return found.select(*KEY).distinct()
 
 
+def _with_any(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Summaries whose bitmap has the bit of one of the ids (`wanted`)."""
+    ids = wanted.distinct().select(F.bitmap_bucket_number("wanted").alias("bucket"), F.bitmap_bit_position("wanted").alias("bit"))
+    byte = F.conv(F.hex(F.substr("sensors", (F.expr("bit div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int"))
+    return found.join(ids, "bucket").where(bit.bitwiseAND(F.lit(1)) == 1)
+
+
 def scan(spark: SparkSession, name: str, sensors: Sequence[int] | None = None, min_sensor: int | None = None,
          max_sensor: int | None = None, start=None, end=None) -> DataFrame:
     """The rows of the sensors in [start, end), read from the chunks the catalog names and no others (above `RANGES` ranges of chunks also from
@@ -283,3 +287,29 @@ def scan(spark: SparkSession, name: str, sensors: Sequence[int] | None = None, m
     if start is not None:
         out = out.where(F.col("time") >= instant(start))
     return out if end is None else out.where(F.col("time") < instant(end))
+
+
+def newest(spark: SparkSession, name: str, sensors: DataFrame, step: int = 1) -> DataFrame:
+    """The newest row of each sensor (frame with `sensor_id`) that has one, from the newest chunks on.
+
+    A round reads the `step` newest chunk starts that hold a sensor still looked for, by the catalog, and the next round twice as
+    many; it ends when all are found or no chunk holds any of the others, so silent sensors cost no reads.
+    """
+    rows = fresh(spark, name)
+    kind = rows.schema["chunk_start"].dataType
+    left = staged(sensors.select(F.col("sensor_id").cast("bigint").alias("wanted")).where("wanted is not null").distinct(), "wanted")
+    known, before, found = staged(_live(spark, of(spark, name)), "catalog"), None, rows.limit(0)
+    while True:
+        older = known if before is None else known.where(F.col("chunk_start") < F.lit(before))
+        named = _with_any(older, left).select(*KEY).distinct()
+        starts = [r[0] for r in named.select("chunk_start").distinct().orderBy(F.desc("chunk_start")).limit(step).collect()]
+        if not starts:
+            return found
+        before, step = starts[-1], 2 * step
+        named = named.where(F.col("chunk_start") >= F.lit(before))
+        here = rows.where(within(ranges(named, "chunk_start", "hash_part"), "chunk_start", kind, "hash_part")).join(
+            left.select(F.col("wanted").alias("sensor_id")), "sensor_id", "left_semi")
+        some = [F.max_by(c, "time").alias(c) for c in rows.columns if c != "sensor_id"]
+        latest = staged(here.groupBy("sensor_id").agg(*some).select(*rows.columns), "newest")
+        found = found.unionByName(latest)
+        left = staged(left.join(latest.select(F.col("sensor_id").cast("bigint").alias("wanted")), "wanted", "left_anti"), "wanted")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,7 +39,8 @@ def drop_resent(readings: DataFrame, within: str) -> DataFrame:
 def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str, rejected: str | None = None,
           malformed: str | None = None, stats: str | None = None, mode: str = "strict", on_bad: str = "quarantine",
           arrival: Sequence[str] = ("arrival", "pos"), batch: str = "batch_id", chunk: str = MEASUREMENT_CHUNK,
-          trigger: dict | None = None) -> StreamingQuery:
+          trigger: dict | None = None, retry: str | None = None, attempts: int = 5,
+          maintenance: Callable[[SparkSession], object] | None = None, maintain_every: int = 60) -> StreamingQuery:
     """Start the query. `messages` has (batch_id, arrival, value).
 
     The registry is read anew for every micro-batch, so a sensor is known as soon as it is registered.
@@ -50,6 +51,14 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
 
     The table `stats` receives a row per (message, sensor) with the reading count, oldest time, outcome
     and completion time: the source of the ingest's counters and latency histograms.
+
+    With a table `retry` a message that is rejected is tried again with the next micro-batch, `attempts` times in all, before its
+    readings go to `rejected`: readings may so arrive before their sensor is registered. Messages wait whole, with the number of
+    failed attempts, in the partition of the micro-batch that they failed in; the table belongs to the checkpoint. Each attempt
+    counts in `stats`.
+
+    `maintenance(spark)` is called after every `maintain_every` micro-batches, between the writes, so that retention and
+    compaction never meet another writer.
     """
     if on_bad not in ("quarantine", "fail"):
         raise ValueError(f"unknown on_bad {on_bad!r}")
@@ -59,6 +68,11 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
     def handle(micro: DataFrame, epoch: int) -> None:
         spark = micro.sparkSession
         began = time.monotonic()
+        if retry is not None:
+            micro = micro.withColumn("attempt", F.lit(0))
+            if spark.catalog.tableExists(retry):
+                waiting = tables.fresh(spark, retry).where(F.col("epoch") == epoch - 1)
+                micro = micro.unionByName(waiting.select(*micro.columns))
         readings, broken = decode.measurements(micro)
         # Parsed and matched once, then read by every write below.
         matched = ingest.match_sensors(readings, tables.fresh(spark, sensor_table))
@@ -68,6 +82,13 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
             good, bad = ingest.split_rejected(rows)
             if on_bad == "fail" and (bad.select(F.lit(1)).first() or broken.select(F.lit(1)).first()):
                 raise RejectedBatchError(f"micro-batch {epoch}")
+            if retry is not None:
+                ids = bad.select(F.col(batch).alias("__batch")).distinct()
+                failed = micro.join(ids, F.col(batch).eqNullSafe(F.col("__batch")), "left_semi").withColumn("attempt", F.col("attempt") + 1)
+                append_epoch(failed.where(F.col("attempt") < attempts), retry, epoch)
+                bad = bad.where(F.col("attempt") + 1 >= attempts)
+                # Those before the last have been tried again by a micro-batch that is done.
+                tables.drop_before(spark, retry, "epoch", epoch - 1)
             if rejected is not None:
                 append_epoch(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
             if malformed is not None:
@@ -83,6 +104,8 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
                 append_epoch(done, stats, epoch)
         finally:
             matched.unpersist()
+        if maintenance is not None and epoch % maintain_every == maintain_every - 1:
+            maintenance(spark)
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
