@@ -29,7 +29,6 @@ with one id the smallest vector counts; vectors of different lengths do not meet
 from __future__ import annotations
 
 import functools
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +44,8 @@ from .vectors import blob, matrix, one_each, unblob
 LINKS, CANDIDATES, WIDTH = 16, 64, 128
 #: Vectors in a shard on average; queries that meet a shard at once.
 SHARD, QUERIES = 8192, 4096
+#: Queries that search together, and rows each of them expands at a step.
+TOGETHER, STEP = 128, 8
 #: Vectors that measure a graph, and the share of their neighbours they have to find.
 PROBES, RECALL = 64, 0.97
 NONE = -1
@@ -106,37 +107,47 @@ def layer_graph(x: np.ndarray, links: int, most: int, candidates: int) -> np.nda
     return flat
 
 
-def search(x: np.ndarray, graph: np.ndarray, query: np.ndarray, entry: list[int], width: int) -> list[tuple[float, int]]:
-    """The nearest rows found from the entries, best first, keeping `width` of them."""
-    seen = np.zeros(len(x), bool)
-    seen[entry] = True
-    near = x[entry] @ query
-    found = list(zip(near.tolist(), entry, strict=True))
-    heapq.heapify(found)
-    open_ = [(-p, i) for p, i in found]
-    heapq.heapify(open_)
-    while open_:
-        p, i = heapq.heappop(open_)
-        if -p < found[0][0] and len(found) >= width:
-            break
-        next_ = graph[i]
-        next_ = next_[next_ >= 0]
-        next_ = next_[~seen[next_]]
-        if not len(next_):
-            continue
-        seen[next_] = True
-        near = x[next_] @ query
-        if len(found) >= width:
-            good = near > found[0][0]
-            next_, near = next_[good], near[good]
-        for p, j in zip(near.tolist(), next_.tolist(), strict=True):
-            if len(found) < width:
-                heapq.heappush(found, (p, j))
-                heapq.heappush(open_, (-p, j))
-            elif p > found[0][0]:
-                heapq.heapreplace(found, (p, j))
-                heapq.heappush(open_, (-p, j))
-    return sorted(found, reverse=True)
+def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> np.ndarray:
+    """For each query the nearest rows found from its entries, `width` of them, NONE where there are fewer; `entries` has a row
+    for each query and NONE where it has no more.
+
+    All queries of a block step together: each expands the best `STEP` rows of its `width` best that it has not expanded yet, until
+    none is left.
+    """
+    count, n = len(queries), len(x)
+    best = np.full((count, width), NONE, np.int64)
+    near = np.full((count, width), -np.inf, np.float32)
+    open_ = np.zeros((count, width), bool)
+    seen = np.zeros((count, n + 1), bool)
+    seen[:, NONE] = True  # the last column stands for no row
+
+    def meet(rows, met):
+        """Rows of x that some queries meet: the new ones enter the best."""
+        new = np.empty(met.shape, bool)
+        for k in range(0, met.shape[1], graph.shape[1]):  # one list of neighbours has no row twice
+            part = met[:, k:k + graph.shape[1]]
+            new[:, k:k + graph.shape[1]] = ~seen[rows[:, None], part]
+            seen[rows[:, None], part] = True
+        r, c = np.nonzero(new)
+        value = np.full(met.shape, -np.inf, np.float32)
+        value[r, c] = np.einsum("ij,ij->i", x[met[r, c]], queries[rows[r]])
+        value = np.concatenate([near[rows], value], axis=1)
+        at = np.argpartition(-value, width - 1, axis=1)[:, :width]
+        near[rows] = np.take_along_axis(value, at, 1)
+        best[rows] = np.take_along_axis(np.concatenate([best[rows], met], axis=1), at, 1)
+        open_[rows] = np.take_along_axis(np.concatenate([open_[rows], new], axis=1), at, 1)
+
+    meet(np.arange(count), entries)
+    step = min(STEP, width)
+    while True:
+        rows = np.flatnonzero(open_.any(axis=1))
+        if not len(rows):
+            return np.where(near > -np.inf, best, NONE)
+        left = np.where(open_[rows], near[rows], -np.inf)
+        at = np.argpartition(-left, step - 1, axis=1)[:, :step]
+        chosen_ = np.where(np.take_along_axis(left, at, 1) > -np.inf, np.take_along_axis(best[rows], at, 1), NONE)
+        open_[rows[:, None], at] = False
+        meet(rows, np.where(chosen_[:, :, None] >= 0, graph[chosen_], NONE).reshape(len(rows), -1))
 
 
 def _build(table: pa.Table, links: int, candidates: int, width: int, k: int) -> pa.Table:
@@ -175,13 +186,15 @@ def direction(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), 1))], axis=1).astype(np.float32)
 
 
-def descend(layers: list[np.ndarray], members: list[np.ndarray], graphs: list[np.ndarray], query: np.ndarray, width: int) -> np.ndarray:
-    """The rows of the lowest layer found for a query."""
-    entry = [0]  # the first vector is on every layer
-    for layer in range(len(layers) - 1, 0, -1):
-        at = members[layer][[i for _, i in search(layers[layer], graphs[layer], query, entry, 4)]]
-        entry = np.searchsorted(members[layer - 1], at).tolist()
-    return np.array([i for _, i in search(layers[0], graphs[0], query, entry, width)])
+def descend(layers: list[np.ndarray], members: list[np.ndarray], graphs: list[np.ndarray], queries: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For some queries after another the rows of the lowest layer found."""
+    for k in range(0, len(queries), TOGETHER):
+        some = queries[k:k + TOGETHER]
+        entry = np.zeros((len(some), 1), np.int64)  # the first vector is on every layer
+        for layer in range(len(layers) - 1, 0, -1):
+            at = search(layers[layer], graphs[layer], some, entry, 4)
+            entry = np.where(at >= 0, np.searchsorted(members[layer - 1], members[layer][at]), NONE)
+        yield search(layers[0], graphs[0], some, entry, width)
 
 
 def measured_width(unit: np.ndarray, members: list[np.ndarray], graphs: list[np.ndarray], width: int, k: int) -> int:
@@ -193,8 +206,9 @@ def measured_width(unit: np.ndarray, members: list[np.ndarray], graphs: list[np.
     least = np.partition(products, n - k, axis=1)[:, n - k]
     width = max(width, k)
     while width < n:
-        hits = sum(min(k, int((p[descend(layers, members, graphs, q, width)] >= worst).sum()))
-                   for q, p, worst in zip(queries, products, least, strict=True))
+        found = np.concatenate(list(descend(layers, members, graphs, queries, width)))
+        reached = (found >= 0) & (np.take_along_axis(products, np.maximum(found, 0), 1) >= least[:, None])
+        hits = np.minimum(reached.sum(axis=1), k).sum()
         if hits >= RECALL * k * len(queries):
             break
         width *= 2
@@ -210,8 +224,9 @@ def _found(table: pa.Table, k: int) -> pa.Table:
     layers = [unit[m] for m in members]
     queries, query_ids = unblob(row["queries"], row["m"]), np.frombuffer(row["query_ids"], np.int64)
     out_q, out_v, out_s = [], [], []
-    for query, q, own in zip(queries, direction(queries), query_ids, strict=True):
-        best = descend(layers, members, graphs, q, row["width"])
+    found = (best for some in descend(layers, members, graphs, direction(queries), row["width"]) for best in some)
+    for query, best, own in zip(queries, found, query_ids, strict=True):
+        best = best[best >= 0]
         best = best[ids[best] != own]
         with np.errstate(over="ignore", invalid="ignore"):
             score = np.einsum("ij,j->i", x[best], query)
@@ -237,17 +252,24 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                      pa.array([blob(matrix(part.column("vector")))], pa.binary())], ["size", "m", "query_ids", "queries"])
 
 
-def band(vector: str) -> Column:
-    """The power of four below a vector's length, found without squaring what could overflow."""
-    largest = F.array_max(F.transform(vector, lambda v: F.abs(v)))
-    square = F.aggregate(vector, F.lit(0.0), lambda s, v: s + (v / largest) * (v / largest))
-    return F.floor((F.log2(largest) + F.log2(square) / 2) / 2).cast("int")
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `size` and `band`: the number of components, and the power of four below the length, found without squaring what could
+    overflow."""
+    for batch in batches:
+        vectors = batch.column("vector")
+        sizes = np.diff(np.asarray(vectors.offsets)).astype(np.int32)
+        x = np.asarray(vectors.flatten(), dtype=float)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int) if len(sizes) else np.zeros(0, int)
+        largest = np.maximum.reduceat(np.abs(x), starts) if len(sizes) else np.zeros(0)
+        square = np.add.reduceat((x / np.repeat(largest, sizes)) ** 2, starts) if len(sizes) else np.zeros(0)
+        band = np.floor((np.log2(largest) + np.log2(square) / 2) / 2).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(band)], [*batch.schema.names, "size", "band"])
 
 
 def nearest(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD,
             links: int = LINKS, candidates: int = CANDIDATES, width: int = WIDTH, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row where `is_query` (a condition on `vec_id`) its k nearest others."""
-    everyone = stored(one_each(df, vec_id, vector).withColumn("size", F.size("vector")).withColumn("band", band("vector")), "vectors")
+    everyone = stored(one_each(df, vec_id, vector).mapInArrow(_banded, "id bigint, vector array<double>, size int, band int"), "vectors")
     copies = Window.partitionBy("vector").orderBy("id")
     indexed = everyone.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
     # A row for each length of vectors and power of four.
