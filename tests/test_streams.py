@@ -26,7 +26,7 @@ def put(spark, folder, data, schema="batch_id int, arrival int, value string"):
 @pytest.fixture
 def world(spark, name, tmp_path):
     tables.create(spark.createDataFrame([(1, "A"), (2, "B")], "id int, serial_number string"), f"{name}_sensor")
-    tables.create_measurements(spark, name)
+    tables.create_measurements(spark, name, chunk_catalog=False)
     folder = f"{tmp_path}/in"
 
     def run(checkpoint="c1", **kw):
@@ -329,6 +329,7 @@ def test_maintenance_between_micro_batches_loses_nothing(spark, world, name):
     from tidewire.streaming import progress
 
     folder, run = world
+    catalog.create(spark, name)
     for k in range(3):  # every file has readings for every chunk: late ones after the first
         put(spark, folder, [(k, k, message(*[("AB"[i % 2], 20 * k + i, float(i)) for i in range(6)]))])
     listener = progress.ProcessingTimes()

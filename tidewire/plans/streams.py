@@ -50,11 +50,11 @@ def _table(df: DataFrame, folder: str, partitions=()) -> str:
     return name
 
 
-def _ingest_tables(spark: SparkSession, sf: str, work: str) -> tuple[DataFrame, str, str]:
+def _ingest_tables(spark: SparkSession, sf: str, work: str, chunk_catalog: bool = False) -> tuple[DataFrame, str, str]:
     sensors = _table(b.valid_sensor(spark, sf), f"{work}/sensor")
     target = _new_table()
     # Chunks of a day instead of five minutes: the events are spread over a month.
-    tables.create_measurements(spark, target, "1 day", f"{work}/measurement", "bigint")
+    tables.create_measurements(spark, target, "1 day", f"{work}/measurement", "bigint", chunk_catalog)
     messages = b.raw_measurements(spark, sf).select("batch_id", "arrival", "value")
     return _stream(spark, messages, f"{work}/messages"), sensors, target
 
@@ -73,7 +73,7 @@ def requeued(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "requeue")
     known = b.valid_sensor(spark, sf)
     sensors, target, retry = _table(known.where("id % 2 = 0"), f"{work}/sensor"), _new_table(), _new_table()
-    tables.create_measurements(spark, target, "1 day", f"{work}/measurement", "bigint")
+    tables.create_measurements(spark, target, "1 day", f"{work}/measurement", "bigint", chunk_catalog=False)
     messages = b.raw_measurements(spark, sf).select("batch_id", "arrival", "value")
     late, rejected, malformed = F.col("batch_id") % 5 == 0, _new_table(), _new_table()
     stream = _stream(spark, messages.where(~late), f"{work}/messages")
@@ -90,7 +90,7 @@ def requeued(spark: SparkSession, sf: str) -> DataFrame:
 
 def maintained(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "maintained")
-    stream, sensors, target = _ingest_tables(spark, sf, work)
+    stream, sensors, target = _ingest_tables(spark, sf, work, chunk_catalog=True)
 
     def maintenance(session: SparkSession) -> None:
         jobs.maintain_measurements(session, target, "2024-01-20 12:00:00", keep="30 days", after="1 day")
