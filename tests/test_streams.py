@@ -1,5 +1,7 @@
 """Streaming jobs: replay, rejection policies, restart, and agreement with the batch functions."""
 
+import time
+
 import pytest
 from conftest import rows
 from pyspark.errors import StreamingQueryException
@@ -289,16 +291,42 @@ def test_packing_stream(spark, tmp_path):
         assert sent.agg(F.sum("n")).first()[0] == 5
 
 
+def _readings(spark, folder, seconds):
+    spark.createDataFrame([("A", s, 1.0) for s in seconds], "serial_number string, s bigint, measurement double").select(
+        "serial_number", F.timestamp_seconds("s").alias("time"), "measurement").coalesce(1).write.mode("append").parquet(folder)
+
+
+RESENT = "serial_number string, time timestamp, measurement double"
+MONTH, NOW = 30 * 86400, 1704067200
+
+
 def test_resent_readings_are_dropped_in_the_stream(spark, tmp_path):
-    schema = "serial_number string, time timestamp, measurement double"
-    one = spark.range(5).select(F.lit("A").alias("serial_number"), F.timestamp_seconds(F.col("id") + 1704067200).alias("time"),
-                                F.lit(1.0).alias("measurement"))
-    for _ in range(2):
-        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    out = ingest_stream.drop_resent(readers.file_stream(spark, f"{tmp_path}/in", schema, max_files=1), "35 minutes")
+    """A reading a month behind the newest is not late, and its copy is dropped."""
+    for seconds in (range(NOW, NOW + 5), [*range(NOW - MONTH, NOW - MONTH + 3), NOW], range(NOW - MONTH, NOW + 5 - MONTH), [NOW + 1]):
+        _readings(spark, f"{tmp_path}/in", seconds)
+    out = ingest_stream.drop_resent(readers.file_stream(spark, f"{tmp_path}/in", RESENT, max_files=1), "35 minutes")
     q = out.writeStream.format("memory").queryName("resent").trigger(**ALL).start()
     q.awaitTermination()
-    assert spark.table("resent").count() == 5
+    assert sorted(r.time.timestamp() for r in spark.table("resent").collect()) == [
+        *range(NOW - MONTH, NOW - MONTH + 5), *range(NOW, NOW + 5)]
+
+
+def test_state_of_resent_readings_ends_with_their_time_to_live(spark, tmp_path):
+    """Keys leave the state by arrival: those of the first run are gone when the third has run."""
+    def run(seconds):
+        _readings(spark, f"{tmp_path}/in", seconds)
+        out = ingest_stream.drop_resent(readers.file_stream(spark, f"{tmp_path}/in", RESENT, max_files=1), "2 seconds")
+        q = (out.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/c").trigger(**ALL).start())
+        q.awaitTermination()
+        return q.lastProgress.stateOperators[0].numRowsTotal
+
+    assert run(range(NOW, NOW + 50)) in (0, 50)
+    for k in range(2):
+        time.sleep(3)
+        left = run([NOW + 100 + k])
+    assert left <= 2
+    assert spark.read.schema(RESENT).parquet(f"{tmp_path}/out").count() == 52
 
 
 def test_a_message_waits_for_its_sensor(spark, world, name):

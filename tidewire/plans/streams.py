@@ -112,9 +112,12 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "dedup")
     rows = b.readings(spark, sf).select("serial_number", F.col("time").cast("timestamp").alias("time"), "measurement")
-    stream = _stream(spark, rows.unionByName(rows), f"{work}/messages")
-    # The copies of a reading may lie anywhere in the month of events, and none may count as late.
-    (ingest_stream.drop_resent(stream, "31 days").writeStream.format("parquet").option("path", f"{work}/out")
+    # The newest readings come first: all others are up to a month late.
+    newest = F.col("time") >= rows.agg(F.max("time")).first()[0] - F.expr("INTERVAL 1 DAY")
+    for part in (newest, ~newest):
+        rows.where(part).unionByName(rows).repartition(FILES).write.mode("append").parquet(f"{work}/messages")
+    stream = readers.file_stream(spark, f"{work}/messages", rows.schema, max_files=MAX_FILES)
+    (ingest_stream.drop_resent(stream, "1 day").writeStream.format("parquet").option("path", f"{work}/out")
      .option("checkpointLocation", f"{work}/checkpoint").trigger(**ALL).start().awaitTermination())
     return spark.read.schema(rows.schema).parquet(f"{work}/out").withColumn(
         "time", F.col("time").cast("timestamp_ntz"))

@@ -29,11 +29,13 @@ class RejectedBatchError(RuntimeError):
 def drop_resent(readings: DataFrame, within: str) -> DataFrame:
     """In-stream pre-filter for copies that arrive close together; the table write stays the exact check.
 
-    Readings more than `within` behind the newest one are dropped, whatever the table's retention: only for a
-    source that is known to be never later than that, so there is no default.
+    A reading's key is kept for `within` after its first arrival, by the clock of the micro-batches: the state holds the
+    keys of that time, whatever times the readings carry. No reading is late, a year old or not; a copy that
+    arrives after `within` passes. A repeated micro-batch has the clock of its first attempt.
     """
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    return readings.withWatermark("time", within).dropDuplicatesWithinWatermark(["serial_number", "time"])
+    arrived = readings.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", within)
+    return arrived.dropDuplicatesWithinWatermark(["serial_number", "time"]).drop("__arrived")
 
 
 def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str, rejected: str | None = None,
