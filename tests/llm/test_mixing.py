@@ -67,6 +67,35 @@ def test_mix(spark):
     assert 0.35 < tenth / want["hot"] < 0.65
 
 
+@pytest.mark.parametrize("block", [50_000, 20])
+def test_queue(spark, block):
+    """Sorted by finish time over all sources, cut where the budget ends."""
+    got = mixing.queue(spark.createDataFrame(corpus(), SCHEMA).repartition(3), block=block).collect()
+    taken = [r for r in got if r.taken]
+    assert [r.finish for r in taken] == sorted(r.finish for r in taken) and max(r.finish for r in taken) <= 1 + 1e-9
+    assert not any(r.taken for r in got[len(taken):])
+    at = 0
+    for r in taken:
+        assert r.position == at
+        at += r.taken
+    budget = sum(mixing_size(text) for _, text, _, _ in corpus())
+    assert budget - len({r.source for r in taken}) <= at <= budget
+
+
+def mixing_size(text):
+    return len((text or "").split())
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Rows of one id and text, and without an id, keep their other columns; a map is one of them."""
+    rows = [(None, "a b", "s", {"k": 1}), (None, "a b", "s", {"k": 2}), (None, "c d e", "s", None), (7, "f", "t", {"k": 3})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra map<string,int>")
+    mixed = mixing.mix(docs, weights=(1.0,)).collect()
+    whole = [(r.doc_id, r.text, r.source, r.extra) for r in mixed if r.text in {t for _, t, _, _ in rows}]
+    assert {str(r.extra) for r in mixed if r.text == "a b"} == {"{'k': 1}", "{'k': 2}"}
+    assert all((i, t, s, e) in rows for i, t, s, e in whole)
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.schedule(docs).count() == 0 and mixing.mix(docs).count() == 0
