@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode, metrics
 from ..session import shared_dir
-from ..sources import catalog, readers, tables
+from ..sources import catalog, epochs, readers, tables
 from ..streaming import commands as command_stream
 from ..streaming import ingest as ingest_stream
 from ..streaming import logs as log_stream
@@ -103,10 +103,10 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
     """Measurements by outcome and sensor, as the ingest counted them while it ran."""
     work = shared_dir(spark, "counters")
     stream, sensors, target = _ingest_tables(spark, sf, work)
-    stats = _table(spark.createDataFrame([], ingest_stream.STATS), f"{work}/stats", ["epoch"])
+    stats = _table(spark.createDataFrame([], f"{ingest_stream.STATS}, {epochs.SPAN}"), f"{work}/stats", epochs.PARTITIONS)
     ingest_stream.start(stream, sensors, target, f"{work}/checkpoint", _new_table(), _new_table(), stats=stats,
                         trigger=ALL).awaitTermination()
-    return metrics.counter(tables.fresh(spark, stats), ["status", "serial_number"], F.col("n"))
+    return metrics.counter(epochs.read(spark, stats), ["status", "serial_number"], F.col("n"))
 
 
 def dedup(spark: SparkSession, sf: str) -> DataFrame:

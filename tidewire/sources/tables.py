@@ -140,7 +140,7 @@ def _texts(df: DataFrame, col: str) -> list[str]:
     return sorted(r[0] for r in df.select(F.col(col).cast("string")).collect())
 
 
-def _drop(spark: SparkSession, name: str, specs: DataFrame) -> int:
+def drop_partitions(spark: SparkSession, name: str, specs: DataFrame) -> int:
     """Drop the listed partitions, data included. A partition must be named in full to be found."""
     rows = [", ".join(f"{c} = '{v}'" for c, v in r.asDict().items()) for r in specs.collect()]
     if rows:
@@ -150,7 +150,7 @@ def _drop(spark: SparkSession, name: str, specs: DataFrame) -> int:
 
 def drop_before(spark: SparkSession, name: str, col: str, number: int) -> int:
     """Drop the partitions whose number is below the given one."""
-    return _drop(spark, name, partitions(spark, name, [col]).where(F.col(col).cast("bigint") < number))
+    return drop_partitions(spark, name, partitions(spark, name, [col]).where(F.col(col).cast("bigint") < number))
 
 
 def apply_retention(spark: SparkSession, name: str, keep: str, as_of, cols: Sequence[str] = MEASUREMENT_PARTITIONS,
@@ -161,7 +161,7 @@ def apply_retention(spark: SparkSession, name: str, keep: str, as_of, cols: Sequ
     Only partition names are handled, which retention itself keeps few.
     """
     start, width = F.col(cols[0]).cast("timestamp"), _width(spark, name, width)
-    dropped = _drop(spark, name, partitions(spark, name, cols).where(lifecycle.expired(start, width, keep, as_of)))
+    dropped = drop_partitions(spark, name, partitions(spark, name, cols).where(lifecycle.expired(start, width, keep, as_of)))
     if catalog.of(spark, name):
         catalog.forget(spark, name, partitions(spark, name, cols))
     return dropped
@@ -238,7 +238,7 @@ def delete_measurements(spark: SparkSession, name: str, sensors: DataFrame) -> N
     if listed:
         catalog.opened(spark, name, hit)
     _rewrite(kept.select(*m.columns), name)
-    _drop(spark, name, dropped)
+    drop_partitions(spark, name, dropped)
     if listed:
         catalog.repair(spark, name)
 

@@ -14,10 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import decode, ingest
 from ..operators.lifecycle import MEASUREMENT_CHUNK
 from ..session import ROCKSDB_PROVIDER, configure
-from ..sources import tables
+from ..sources import epochs, tables
 
 
-#: Columns of the statistics table, one partition per micro-batch.
+#: Columns of the statistics table.
 STATS = ("batch_id string, serial_number string, status string, n bigint, oldest_time timestamp, "
          "completed timestamp, seconds double, epoch bigint")
 
@@ -52,7 +52,8 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
     its keys are stored already. Chunks have the width the target was created with, or `chunk` if it does not say.
 
     The table `stats` receives a row per (message, sensor) with the reading count, oldest time, outcome
-    and completion time: the source of the ingest's counters and latency histograms.
+    and completion time: the source of the ingest's counters and latency histograms. `stats`, `rejected` and `malformed`
+    are tables of `sources.epochs`: read them with its `read`.
 
     With a table `retry` a message that is rejected is tried again with the next micro-batch, `attempts` times in all, before its
     readings go to `rejected`: readings may so arrive before their sensor is registered. Messages wait whole, with the number of
@@ -92,9 +93,9 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
                 # Those before the last have been tried again by a micro-batch that is done.
                 tables.drop_before(spark, retry, "epoch", epoch - 1)
             if rejected is not None:
-                append_epoch(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
+                epochs.append(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
             if malformed is not None:
-                append_epoch(broken.select(batch, "value"), malformed, epoch)
+                epochs.append(broken.select(batch, "value"), malformed, epoch)
             tables.write_measurements(ingest.to_records(good, arrival), target, arrival,
                                       chunk=None if tables.chunk_width(spark, target) else chunk)
             if stats is not None:
@@ -103,7 +104,7 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
                 done = done.withColumn(batch, F.col(batch).cast("string"))
                 done = done.withColumn("completed", F.lit(datetime.now(timezone.utc))) \
                     .withColumn("seconds", F.lit(time.monotonic() - began))
-                append_epoch(done, stats, epoch)
+                epochs.append(done, stats, epoch)
         finally:
             matched.unpersist()
         if maintenance is not None and epoch % maintain_every == maintain_every - 1:
@@ -115,7 +116,7 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
 
 def append_epoch(rows: DataFrame, name: str, epoch: int) -> None:
     """Write the rows of a micro-batch as their own partition, replacing what an interrupted attempt at
-    it has left."""
+    it has left: for a table whose older partitions are dropped as it goes."""
     spark = configure(rows.sparkSession)
     rows = rows.withColumn("epoch", F.lit(epoch).cast("bigint"))
     if spark.catalog.tableExists(name):

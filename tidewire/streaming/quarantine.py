@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import configure
-from .ingest import append_epoch
+from ..sources import epochs
 
 
 def keep(messages: DataFrame, reason: str, table: str, epoch: int) -> None:
     """Append the messages, as JSON of all their columns, under a reason, replacing an interrupted attempt's."""
     rows = messages.select(F.lit(reason).alias("reason"), F.to_json(F.struct("*")).alias("message"))
-    append_epoch(rows, table, epoch)
+    epochs.append(rows, table, epoch)
 
 
 def start(messages: DataFrame, decode: Callable[[DataFrame], tuple[DataFrame, DataFrame]], table: str, checkpoint: str,

@@ -10,8 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import decode, registry
 from ..session import configure
-from ..sources import tables
-from .ingest import append_epoch
+from ..sources import epochs, tables
 
 
 def start(messages: DataFrame, sensor_table: str, checkpoint: str, rejected: str, arrival: Sequence[str] = ("arrival",),
@@ -28,7 +27,7 @@ def start(messages: DataFrame, sensor_table: str, checkpoint: str, rejected: str
         both = malformed.select(F.lit("malformed").alias("reason"), F.to_json(F.struct("*")).alias("message")).unionByName(
             invalid.select(F.concat_ws(",", "violations").alias("reason"),
                            F.to_json(F.struct(*[c for c in invalid.columns if c != "violations"])).alias("message")))
-        append_epoch(both, rejected, epoch)
+        epochs.append(both, rejected, epoch)
         sensor = tables.fresh(spark, sensor_table)
         new = registry.insert_missing(rows, sensor, "serial_number", arrival)
         for c in sensor.columns:
