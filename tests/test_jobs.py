@@ -39,6 +39,17 @@ def test_ticks(spark, name):
     assert tables.fresh(spark, names["connection_stats"]).count() == 0
 
 
+def test_tick_without_statements_is_finished_too(spark, name):
+    src = inputs(spark)
+    src["statements"] = src["statements"].limit(0)
+    names = {k: f"{name}_{k}" for k in snapshots.take(src, "2024-01-01")}
+    jobs.create_history(snapshots.take(src, "2024-01-01"), names)
+    jobs.record_tick(src, "2024-01-01 00:00:15", names)
+    assert tables.fresh(spark, names["snapshots"]).isEmpty() and tables.fresh(spark, names["sizes"]).count() == 1
+    with pytest.raises(DuplicateKeyError):
+        jobs.record_tick(src, "2024-01-01 00:00:15", names)
+
+
 def test_maintenance(spark, name):
     tables.create_measurements(spark, name)
     tables.write_measurements(batch(spark, [(1, f"2024-01-01 00:{m:02d}:00", float(m), m) for m in range(0, 60, 2)]),

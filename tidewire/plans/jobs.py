@@ -41,8 +41,8 @@ def record_tick(inputs: Mapping[str, DataFrame], as_of, names: Mapping[str, str]
     new_texts = None
     try:
         frames = snapshots.take(inputs, as_of, stats_reset, datname, base)
-        # The strict tables come last, so a tick is finished when all of them hold it.
-        strict = [key for key in frames if key in STRICT]
+        # The strict tables come last, so a tick is finished when all of them that get rows hold it.
+        strict = [key for key in frames if key in STRICT and not frames[key].isEmpty()]
         held = [key for key in strict if tables.holds_any(frames[key], names[key], KEYS[key])]
         if strict and held == strict:
             raise ingest.DuplicateKeyError(f"tick {as_of} is recorded already")
