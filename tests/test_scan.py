@@ -50,3 +50,14 @@ def test_carry_forward(data, block):
 def test_hot_key_is_spread_over_blocks(data):
     plan = lag_by_block(data, ["key"], "ts", ["a"], "1 hour", ["tie"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(key" in plan and "__block" in plan.split("hashpartitioning(key")[1].split(")")[0]
+
+
+def test_carry_forward_computes_its_input_once(spark, tmp_path):
+    """A parse in front of the scan runs once: the block ends read the rows that were shuffled for the windows."""
+    spark.range(1000).selectExpr("""concat('{"k":"', id % 3, '","v":', id, '}') AS value""", "id").write.parquet(f"{tmp_path}/in")
+    parsed = spark.read.parquet(f"{tmp_path}/in").select("id", F.from_json("value", "k string, v int").alias("r")) \
+        .select("r.k", "r.v", "id").where("k IS NOT NULL")
+    out = carry_forward_by_block(parsed, ["k"], "id", ["v"], 100)
+    assert len(out.collect()) == 1000
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 1 and final.count("FileScan") == 1

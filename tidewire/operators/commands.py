@@ -52,16 +52,17 @@ BLOCK = 100_000
 
 
 def timeline(commands: DataFrame, initial: DataFrame, arrival: str = "arrival", block: int = BLOCK) -> DataFrame:
-    """Every command with the state before it.
+    """Every command (serial_number, time, arrival, command and what it sets) with the state before it.
 
     `initial` is (serial_number, asleep, sample_frequency): the state the fold starts from. Commands of a
     sensor are applied in the order of arrival.
     """
-    rows = carry_forward_by_block(effects(commands), ["serial_number"], arrival, ["sets_asleep", "sets_hz"], block)
+    kept = ["serial_number", "time", arrival, "command", "sets_asleep", "sets_hz"]
+    rows = carry_forward_by_block(effects(commands).select(*kept), ["serial_number"], arrival, ["sets_asleep", "sets_hz"], block)
     start = initial.select("serial_number", F.col("asleep").alias("__asleep"),
                            F.col("sample_frequency").alias("__hz"))
     return rows.join(start, "serial_number", "left").select(
-        *commands.columns, "sets_asleep", "sets_hz",
+        *kept,
         F.coalesce("last_sets_asleep", "__asleep", F.lit(False)).alias("was_asleep"),
         F.coalesce("last_sets_hz", "__hz").alias("was_hz"),
     )

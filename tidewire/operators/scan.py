@@ -74,18 +74,22 @@ def carry_forward_by_block(df: DataFrame, keys: Sequence[str], ts: str, cols: Se
                            tie: Sequence[str] = ()) -> DataFrame:
     """Adds last_<col>: the key's latest non-NULL value strictly before this row."""
     rows, part, inside = _blocked(df, keys, ts, tie, block)
-    order = F.struct(ts, *tie)
-    last = rows.groupBy(*part).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"__{c}") for c in cols]
-    )
-    blocks_before = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    carry = last.select(
-        *part, *[F.last(f"__{c}", ignorenulls=True).over(blocks_before).alias(f"__carry_{c}") for c in cols]
-    )
     rows_before = inside.rowsBetween(W.unboundedPreceding, -1)
     out = rows.select(
         "*", *[F.last(c, ignorenulls=True).over(rows_before).alias(f"__last_{c}") for c in cols]
     )
+    blocks_before = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+
+    def after(c: str) -> Column:
+        end = F.col("__end")
+        return F.last(F.coalesce(end[c], end[f"__last_{c}"]), ignorenulls=True).over(blocks_before).alias(f"__carry_{c}")
+
+    # The last row of a block is taken whole from what the windows gave: this branch then reads the rows that were shuffled for
+    # them, and the input is computed once.
+    whole = F.struct(*[c for c in out.columns if c not in part])
+    ends = out.withColumn("__is_last", F.lead(F.lit(1)).over(inside).isNull()).where("__is_last")
+    ends = ends.groupBy(*part).agg(F.first(whole).alias("__end"))
+    carry = ends.select(*part, *[after(c) for c in cols])
     out = _join_carry(out, carry, part)
     return out.select(
         *df.columns, *[F.coalesce(f"__last_{c}", f"__carry_{c}").alias(f"last_{c}") for c in cols]

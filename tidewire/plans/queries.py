@@ -618,12 +618,14 @@ def snapshot_take(spark, sf):
     return out
 
 
+#: The histories are monthly: a block holds a dozen records of a key.
+_MONTHLY_BLOCK = "366 days"
 _DELTA_COUNTERS = ["calls", "total_exec_time", "rows"]
 
 
 def _deltas(spark, sf):
     return snapshots.delta(b.statement_history(spark, sf), schemas.KEYS["queries"], _DELTA_COUNTERS, "stats_reset",
-                           block="1095 days")
+                           block=_MONTHLY_BLOCK)
 
 
 @query
@@ -639,7 +641,7 @@ def slowest_queries(spark, sf):
 
 @query
 def size_growth(spark, sf):
-    return snapshots.size_growth(b.size_history(spark, sf), block="1095 days")
+    return snapshots.size_growth(b.size_history(spark, sf), block=_MONTHLY_BLOCK)
 
 
 @query
