@@ -2,12 +2,58 @@
 
 from __future__ import annotations
 
-from tidewire import schemas
-from tidewire.plans.bindings import KCACHE_EXPRS, STATEMENT_EXPRS
-
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 START = "TIMESTAMP '2024-01-01 00:00:00'"
 
+# ---- columns of the statistics tables (fixed values: the stored column order is a contract) ----------
+STATEMENT_COLUMNS = (
+    "created queryid plans total_plan_time calls total_exec_time rows exec_writes exec_reads exec_user_time "
+    "exec_system_time exec_majflts exec_minflts shared_blks_hit shared_blks_read shared_blks_dirtied "
+    "shared_blks_written local_blks_hit local_blks_read local_blks_dirtied local_blks_written temp_blks_read "
+    "temp_blks_written wal_records wal_fpi wal_bytes rolname datname"
+).split()
+SNAPSHOT_COUNTERS = (
+    "calls total_plan_time total_exec_time rows exec_writes exec_reads exec_user_time exec_system_time exec_majflts "
+    "exec_minflts shared_blks_hit shared_blks_read shared_blks_dirtied shared_blks_written local_blks_hit "
+    "local_blks_read local_blks_dirtied local_blks_written temp_blks_read temp_blks_written wal_records wal_fpi "
+    "wal_bytes"
+).split()
+DOUBLE_COUNTERS = ["total_plan_time", "total_exec_time", "exec_user_time", "exec_system_time"]
+TABLE_STATS_COLUMNS = (
+    "created schemaname relname n_live_tup n_dead_tup dead_tup_ratio last_vacuum last_autovacuum last_analyze "
+    "last_autoanalyze vacuum_count autovacuum_count analyze_count autoanalyze_count n_tup_ins n_tup_upd n_tup_del "
+    "n_tup_hot_upd seq_scan seq_tup_read idx_scan idx_tup_fetch"
+).split()
+DATABASE_STATS_COLUMNS = (
+    "created datname numbackends xact_commit xact_rollback blks_read blks_hit cache_hit_ratio tup_returned "
+    "tup_fetched tup_inserted tup_updated tup_deleted conflicts temp_files temp_bytes deadlocks blk_read_time "
+    "blk_write_time stats_reset"
+).split()
+#: Counters that are the n-th multiple of the quantity, n from 2.
+BLOCK_COUNTERS = (
+    "shared_blks_hit shared_blks_read shared_blks_dirtied shared_blks_written local_blks_hit local_blks_read "
+    "local_blks_dirtied local_blks_written temp_blks_read temp_blks_written wal_records wal_fpi"
+).split()
+
+#: What stands in for the counters of a statement (supplier, flag, part), in SQL.
+STATEMENTS = {
+    "plans": "count(CASE WHEN l_linestatus = 'F' THEN 1 END)",
+    "total_plan_time": "sum(l_tax * 1000)",
+    "calls": "count(*)",
+    "total_exec_time": "sum(l_extendedprice)",
+    "rows": "cast(sum(cast(l_quantity AS bigint)) AS bigint)",
+    **{c: f"cast(sum(cast(l_quantity AS bigint) * {n}) AS bigint)" for n, c in enumerate(BLOCK_COUNTERS, start=2)},
+    "wal_bytes": "cast(sum(cast(floor(l_extendedprice) AS bigint)) AS bigint)",
+}
+KCACHE = {
+    "exec_writes": "cast(sum(cast(floor(l_extendedprice) AS bigint)) AS bigint)",
+    "exec_reads": "cast(sum(cast(l_quantity AS bigint) * 512) AS bigint)",
+    "exec_user_time": "sum(l_discount)",
+    "exec_system_time": "sum(l_tax)",
+    "exec_majflts": "count(CASE WHEN l_linestatus = 'O' THEN 1 END)",
+    "exec_minflts": "count(*)",
+}
+
 # ---- shared views as CTE text ----------------------------------------------------------------------
 
 SENSOR = """sensor AS (SELECT c_custkey AS id, c_name AS serial_number, c_acctbal AS sample_frequency,
@@ -111,7 +157,7 @@ def _grouped(exprs: dict[str, str]) -> str:
     return f"SELECT l_suppkey AS userid, ascii(l_returnflag) AS dbid, l_partkey AS queryid, {cols} FROM lineitem GROUP BY 1, 2, 3"
 
 
-BASE = f"""s AS ({_grouped(STATEMENT_EXPRS)}), k AS ({_grouped(KCACHE_EXPRS)}),
+BASE = f"""s AS ({_grouped(STATEMENTS)}), k AS ({_grouped(KCACHE)}),
 dbs AS (SELECT DISTINCT ascii(l_returnflag) AS oid,
   CASE WHEN l_returnflag = 'R' THEN 'iot' ELSE 'db_' || l_returnflag END AS datname FROM lineitem),
 base AS (SELECT s.*, k.* EXCLUDE (userid, dbid, queryid), 'select part ' || s.queryid AS query, s_name AS rolname, datname
@@ -120,7 +166,7 @@ base AS (SELECT s.*, k.* EXCLUDE (userid, dbid, queryid), 'select part ' || s.qu
 
 
 def _round4(cols) -> str:
-    return ", ".join(f"round({c}, 4) AS {c}" if c in schemas.DOUBLE_COUNTERS else c for c in cols)
+    return ", ".join(f"round({c}, 4) AS {c}" if c in DOUBLE_COUNTERS else c for c in cols)
 
 
 TABLES = """t AS (SELECT p_partkey AS relid,
@@ -130,7 +176,7 @@ TABLES = """t AS (SELECT p_partkey AS relid,
   CASE WHEN p_size > 10 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(p_size) END AS last_vacuum,
   last_vacuum AS last_autovacuum, TIMESTAMP '2024-01-01 00:00:00' + to_days(p_size) AS last_analyze,
   last_analyze AS last_autoanalyze, """ + ", ".join(
-    f"(p_size * {i})::BIGINT AS {c}" for i, c in enumerate(schemas.TABLE_STATS_COLUMNS[10:], start=1)) + " FROM part)"
+    f"(p_size * {i})::BIGINT AS {c}" for i, c in enumerate(TABLE_STATS_COLUMNS[10:], start=1)) + " FROM part)"
 SCHEMA_FILTER = "schemaname IN ('public', '_timescaledb_internal')"
 DEAD_RATIO = "(CASE WHEN n_live_tup > 0 THEN round((n_dead_tup * 100)::DECIMAL(18,6) / n_live_tup, 2) ELSE 0 END)::DOUBLE"
 DB_NAME = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'iot' ELSE o_orderpriority END"
@@ -139,7 +185,7 @@ DATABASES = f"""db AS (SELECT {DB_NAME} AS datname,
   count(*) FILTER (WHERE o_orderstatus = 'F') AS xact_commit, count(*) FILTER (WHERE o_orderstatus = 'P') AS xact_rollback,
   sum(CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey ELSE 0 END)::BIGINT AS blks_read,
   sum(CASE WHEN o_orderpriority <> '5-LOW' THEN floor(o_totalprice)::BIGINT ELSE 0 END)::BIGINT AS blks_hit, """ + ", ".join(
-    f"count(*) * {i} AS {c}" for i, c in enumerate(schemas.DATABASE_STATS_COLUMNS[8:15], start=1)) + """,
+    f"count(*) * {i} AS {c}" for i, c in enumerate(DATABASE_STATS_COLUMNS[8:15], start=1)) + """,
   sum(floor(o_totalprice)::BIGINT)::BIGINT AS temp_bytes, 0::BIGINT AS deadlocks,
   round(sum(o_totalprice), 2) AS blk_read_time, count(*)::DOUBLE AS blk_write_time, min(o_orderdate) AS stats_reset
   FROM orders GROUP BY 1),
@@ -407,13 +453,13 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT step, 'success_pct', success_pct, 99.9, success_pct > 99.9 FROM all_)
       SELECT step, measure, round(value, 6) AS value, target, met FROM long""",
     # ---- snapshots ----
-    "statement_base": f"WITH {BASE} SELECT {AS_OF} AS created, {_round4(schemas.STATEMENT_COLUMNS[1:])} FROM base",
+    "statement_base": f"WITH {BASE} SELECT {AS_OF} AS created, {_round4(STATEMENT_COLUMNS[1:])} FROM base",
     "snapshot_totals": f"""WITH {BASE} SELECT {AS_OF} AS created, {', '.join(
-        f'round(sum({c}), 4) AS {c}' if c in schemas.DOUBLE_COUNTERS else f'sum({c})::BIGINT AS {c}' for c in schemas.SNAPSHOT_COUNTERS)},
+        f'round(sum({c}), 4) AS {c}' if c in DOUBLE_COUNTERS else f'sum({c})::BIGINT AS {c}' for c in SNAPSHOT_COUNTERS)},
       {START} AS stats_reset FROM base WHERE datname = 'iot' HAVING count(*) > 0""",
     "query_dim": f"WITH {BASE} SELECT DISTINCT queryid, datname, rolname, query FROM base WHERE datname <> 'db_A'",
     "table_stats_snapshot": f"""WITH {TABLES} SELECT {AS_OF} AS created, {DEAD_RATIO} AS dead_tup_ratio,
-      {', '.join(c for c in schemas.TABLE_STATS_COLUMNS[1:] if c != 'dead_tup_ratio')} FROM t WHERE {SCHEMA_FILTER}""",
+      {', '.join(c for c in TABLE_STATS_COLUMNS[1:] if c != 'dead_tup_ratio')} FROM t WHERE {SCHEMA_FILTER}""",
     "db_stats_snapshot": f"WITH {DATABASES} SELECT {AS_OF} AS created, * FROM hit",
     "connection_stats": f"WITH {ACTIVITY}, {CONNECTIONS} SELECT * FROM conn",
     "cache_and_connections": f"""WITH {ACTIVITY}, {CONNECTIONS}, {DATABASES} SELECT datname, state, connection_count, cache_hit_ratio,
