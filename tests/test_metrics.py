@@ -158,6 +158,28 @@ def test_counter_samples_restart(spark):
     assert [r.value for r in restarted] == [2, 3, 1]
 
 
+def test_samples_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [((EPOCH + timedelta(minutes=37 * k + s)).replace(tzinfo=timezone.utc), f"s{s}", float(k)) for s in range(60) for k in range(6)]
+    df = spark.createDataFrame(rows, "ts timestamp, s string, v double")
+    end = F.lit("2024-01-02 00:00:00").cast("timestamp")
+
+    def frames():
+        counts = metrics.counter_samples(df, "ts", ["s"], "1 hour", end, epoch="8 hours")
+        buckets = metrics.histogram_samples(df, "ts", "v", [1.0, 3.0], ["s"], "1 hour", end)
+        return [counts, metrics.rate(counts, ["s"], "4 hours", "1 hour"), buckets,
+                metrics.histogram_quantile(metrics.rate(buckets, ["s", "le"], "4 hours", "1 hour"), [0.5], ["s", "step"])]
+
+    whole = [sorted(map(str, df.collect())) for df in frames()]
+    monkeypatch.setattr(metrics, "TASK_SAMPLES", 100)
+    for df_, expected in zip(frames(), whole):
+        assert sorted(map(str, df_.collect())) == expected
+        most = df_.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most <= 800  # of 1440 samples, or 4320 of buckets
+    # A series of more samples than a task's is left to the blocks of time.
+    monkeypatch.setattr(metrics, "TASK_SAMPLES", 10)
+    assert [sorted(map(str, df_.collect())) for df_ in frames()] == whole
+
+
 def test_backlog_counts_a_missing_side_as_zero(spark):
     p = spark.createDataFrame([(1, 5.0), (2, 3.0)], "step int, rate double")
     q = spark.createDataFrame([(2, 1.0), (3, 4.0)], "step int, rate double")

@@ -6,6 +6,7 @@ grid: a step t sees the samples in (t - range, t].
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -61,15 +62,36 @@ def counter(df: DataFrame, labels: Sequence[str], value: Column | None = None) -
     return df.groupBy(*labels).agg(F.sum(F.lit(1) if value is None else value).alias("value"))
 
 
+#: Samples a task sorts and aggregates at once; samples compress so well that their shuffled bytes do not tell.
+TASK_SAMPLES = 250_000
+
+
+def deal(rows: DataFrame, source: DataFrame, ts: str, by: Sequence[str], each: int, step: str, end) -> DataFrame:
+    """`rows` dealt by the labels `by` to so many tasks that each holds `TASK_SAMPLES` samples or so, however many there will be.
+
+    They are bounded from `source`, read once: label sets times steps from the first time to `end` times `each`, the samples of a label
+    set and step. What is computed per series afterwards stays in those tasks. Left as they are where a label set may have more
+    than a task's samples, since then blocks of time are what can be spread, and where one task holds all.
+    """
+    steps = (micros(end) - micros(F.min(ts))) / F.lit(width_us(step)) + 1
+    n, steps = source.agg(F.approx_count_distinct(F.xxhash64(*by)), steps).first()
+    if not n or steps is None or steps <= 0 or steps * each > TASK_SAMPLES:
+        return rows
+    tasks = math.ceil(n * steps * each / TASK_SAMPLES)
+    return rows.repartition(tasks, *by) if tasks > 1 else rows
+
+
 def counter_samples(df: DataFrame, ts: str, labels: Sequence[str], step: str, end,
-                    epoch: str | None = None) -> DataFrame:
+                    epoch: str | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """Running counter per label set, sampled at every step from its first increment to `end`.
 
     `epoch` restarts the count at each bucket of that width, as a process restart would. Increments are
-    summed per step first, so the windows below order one row per step whatever the number of events.
+    summed per step first, so the windows below order one row per step whatever the number of events. `by` are the labels that
+    tell most series apart; rows are dealt by them (all if not given).
     """
     step_col = bucket_ceil(ts, step)
     inc = df.groupBy(*labels, step_col.alias("ts")).agg(F.count("*").alias("inc"))
+    inc = deal(inc, df, ts, by or labels, 1, step, end)
     restart = [bucket(shift("ts", -1), epoch).alias("__epoch")] if epoch else []
     inc = inc.select("*", *restart)
     series = [*labels, "__epoch"] if epoch else list(labels)
@@ -104,6 +126,8 @@ def histogram_samples(df: DataFrame, ts: str, value: str, bounds: Sequence[float
                       step: str, end) -> DataFrame:
     """Running bucket counts per label set at every step from the first observation to `end`."""
     per_step = histogram(df.withColumn("__at", bucket_ceil(ts, step)), value, bounds, [*labels, "__at"])
+    if labels:
+        per_step = deal(per_step, df, ts, labels, len(bounds) + 1, step, end)
     order = W.partitionBy(*labels, "le").orderBy("__at")
     run = per_step.select(
         *labels, "le", "__at",

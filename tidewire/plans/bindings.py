@@ -158,7 +158,7 @@ def processed_samples(spark, sf) -> DataFrame:
     """Counter of processed measurements per (status, instance, sensor), scraped hourly; the replicas
     restart every week."""
     return metrics.counter_samples(status_events(spark, sf), "ts", ["status", "instance", "user_id"], SCRAPE,
-                                   instant(AS_OF), epoch=RESTART)
+                                   instant(AS_OF), epoch=RESTART, by=["user_id"])
 
 
 def published_samples(spark, sf) -> DataFrame:
