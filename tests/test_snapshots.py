@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal
 
 from conftest import rows
@@ -101,3 +102,25 @@ def test_buffers_are_ordered_by_bytes(spark):
     dbs = spark.createDataFrame([(9, "iot"), (8, "x")], "oid int, datname string")
     got = [(r.relname, r.buffered_bytes) for r in snapshots.buffered_top(buffers, classes, dbs, k=2).collect()]
     assert got == [("two", 81920), ("shared", 24576)]
+
+
+def test_statements_of_a_database_are_joined_in_many_tasks(spark):
+    statements = [(i % 7, 65 if i % 50 else None, i, float(i)) for i in range(300)]
+    base = spark.createDataFrame(statements, "userid int, dbid int, queryid int, calls double").cache()
+    kcache = base.select("userid", "dbid", "queryid", *[F.lit(1).alias(c) for c in schemas.KCACHE_COUNTERS])
+    roles = spark.createDataFrame([(u, f"r{u}") for u in range(6)], "oid int, rolname string")
+    dbs = spark.createDataFrame([(65, "iot"), (66, "other"), (65, "iot")], "oid int, datname string")  # a name may come twice
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {c: spark.conf.get(c, None) for c in thresholds}
+    try:
+        for c in thresholds:
+            spark.conf.set(c, "-1")
+        got = snapshots.statement_base(base, kcache, roles, dbs, None)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(dbid#\d+, cast|hashpartitioning\(dbid#\d+, __share", plan), plan
+        assert not re.search(r"hashpartitioning\(dbid#\d+, \d+\)", plan)
+        expected = sorted(q for u, d, q, _ in statements if d == 65 and u < 6 for _ in range(2))
+        assert sorted(r.queryid for r in got.collect()) == expected and "__share" not in got.columns
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)

@@ -22,20 +22,26 @@ SIZE_TABLE = "detailed"
 #: Statement, table and size history is stored in chunks of a day; look-back is cut the same way.
 HISTORY_CHUNK = "1 day"
 
+#: Parts that a database's statements are dealt to while its name is joined.
+DATABASE_SHARES = 256
+
 
 def statement_base(stmts: DataFrame, kcache: DataFrame, roles: DataFrame, dbs: DataFrame,
                    datname: str | None = DATABASE) -> DataFrame:
     """Statement counters with their OS counters, role and database names.
 
-    The catalog filter is applied first, so that only one database's statements reach the three-key join.
+    The catalog filter is applied first, so that only one database's statements reach the three-key join. There are few
+    databases: each is repeated `DATABASE_SHARES` times and its statements are dealt to one of the copies, so that a join that is
+    not broadcast does not gather a database's statements in one task.
     """
     if datname is not None:
         dbs = dbs.where(F.col("datname") == datname)
-    dbs = dbs.select(F.col("oid").alias("dbid"), "datname")
+    dbs = dbs.select(F.col("oid").alias("dbid"), "datname", F.explode(F.sequence(F.lit(0), F.lit(DATABASE_SHARES - 1))).alias("__share"))
     roles = roles.select(F.col("oid").alias("userid"), "rolname")
     keys = ["userid", "dbid", "queryid"]
+    share = F.pmod(F.hash("userid", "queryid"), F.lit(DATABASE_SHARES))
     return (
-        stmts.join(dbs, "dbid")
+        stmts.withColumn("__share", share).join(dbs, ["dbid", "__share"]).drop("__share")
         .join(kcache.select(*keys, *schemas.KCACHE_COUNTERS), keys)
         .join(roles, "userid")
     )
