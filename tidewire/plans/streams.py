@@ -27,6 +27,8 @@ ALL = {"availableNow": True}
 
 #: Files the messages are spread over, and how many of them a micro-batch takes.
 FILES, MAX_FILES = 6, 2
+#: Commands of a file; where a cut of them has more, it is written by several tasks.
+FILE_ROWS = 50_000
 
 
 def _stream(spark: SparkSession, messages: DataFrame, folder: str) -> DataFrame:
@@ -144,11 +146,15 @@ def _commands(spark: SparkSession, sf: str, work: str) -> tuple[DataFrame, DataF
     initial = b.sensor(spark, sf).select("serial_number", F.lit(False).alias("asleep"), "sample_frequency")
     messages = b.raw_commands(spark, sf)
     low, high = messages.agg(F.min("arrival"), F.max("arrival")).first()
-    for k in range(FILES):  # one after the other, since files are read in the order they were written
-        cut = [low + (high + 1 - low) * k // FILES, low + (high + 1 - low) * (k + 1) // FILES]
-        messages.where((F.col("arrival") >= cut[0]) & (F.col("arrival") < cut[1])).coalesce(1) \
-            .write.mode("append").parquet(f"{work}/messages")
-    stream = readers.file_stream(spark, f"{work}/messages", messages.schema, max_files=MAX_FILES)
+    cuts = [low + (high + 1 - low) * k // FILES for k in range(FILES + 1)]
+    within = [(F.col("arrival") >= start) & (F.col("arrival") < end) for start, end in zip(cuts, cuts[1:])]
+    # As many files of each cut, none of them empty, so that a micro-batch takes whole cuts.
+    parts = max(1, min(messages.agg(*[F.approx_count_distinct(F.when(w, F.col("arrival"))) for w in within]).first()) // FILE_ROWS)
+    for cut in within:  # one after the other, since files are read in the order they were written
+        rows = messages.where(cut)
+        rows = rows.repartition(parts, "arrival") if parts > 1 else rows.coalesce(1)
+        rows.write.mode("append").parquet(f"{work}/messages")
+    stream = readers.file_stream(spark, f"{work}/messages", messages.schema, max_files=MAX_FILES * parts)
     quarantine.start(stream, decode.commands, _new_table(), f"{work}/malformed", ALL).awaitTermination()
     return decode.commands(stream)[0], initial
 

@@ -12,6 +12,7 @@ import pickle
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
@@ -63,8 +64,9 @@ class SortedRuns:
             yield from held
 
     def _sorted(self) -> pd.DataFrame:
-        rows, self._held = pd.concat(self._held).sort_values(self._by, kind="stable"), []
-        return rows
+        held, self._held = self._held, []
+        rows = held[0] if len(held) == 1 else pd.concat(held)
+        return rows if rows[self._by].is_monotonic_increasing else rows.sort_values(self._by, kind="stable")
 
     def _add_run(self, level: int, pieces: Iterator[pd.DataFrame] | list[pd.DataFrame]) -> None:
         run, pages = self._next, 0
@@ -122,20 +124,26 @@ class SensorFold(StatefulProcessor):
         runs = SortedRuns(self._waiting, "arrival", *self._limits)
         for pdf in rows:
             runs.add(pdf)
-        asleep, hz = self._state.get() if self._state.exists() else (None, None)
+        known = self._state.get()  # None at a sensor's first commands
+        asleep, hz = known if known is not None else (None, None)
         for pdf in runs.pages():
             if asleep is None:
                 asleep, hz = bool(pdf["start_asleep"].iloc[0]), pdf["start_hz"].iloc[0]
-            # The state after a command is the last value set so far; before it, the same one row earlier.
-            after_asleep = pdf["sets_asleep"].astype("boolean").ffill().fillna(asleep).astype(bool)
-            after_hz = pdf["sets_hz"].astype("float64").ffill().fillna(hz if hz is not None else float("nan"))
-            yield pdf[["serial_number", "time", "arrival", "command", "sets_asleep", "sets_hz"]].assign(
-                was_asleep=after_asleep.shift(fill_value=asleep),
-                was_hz=after_hz.shift(fill_value=hz).astype("float64"),
-                asleep=after_asleep,
-                hz=after_hz,
-            )
-            asleep, hz = bool(after_asleep.iloc[-1]), float(after_hz.iloc[-1])
+            hz = None if pd.isna(hz) else float(hz)
+            out = {c: [] for c in ("was_asleep", "was_hz", "asleep", "hz")}
+            # The state after a command is the last value set so far. Most sensors have few commands, for which a loop costs less
+            # than columns do.
+            for sets_asleep, sets_hz in zip(pdf["sets_asleep"].tolist(), pdf["sets_hz"].tolist()):
+                out["was_asleep"].append(asleep)
+                out["was_hz"].append(hz)
+                if not pd.isna(sets_asleep):
+                    asleep = bool(sets_asleep)
+                if not pd.isna(sets_hz):
+                    hz = float(sets_hz)
+                out["asleep"].append(asleep)
+                out["hz"].append(hz)
+            columns = {c: pdf[c].array for c in ("serial_number", "time", "arrival", "command", "sets_asleep", "sets_hz")}
+            yield pd.DataFrame(columns | {c: np.array(v, dtype=bool if "asleep" in c else float) for c, v in out.items()})
         if asleep is not None:
             self._state.update((asleep, None if pd.isna(hz) else float(hz)))
 
