@@ -196,3 +196,20 @@ def test_newest_rows_are_read_from_the_newest_chunks(spark, name, monkeypatch):
     assert read == ["newest"] * 2
     assert rows(catalog.newest(spark, name, sensors.where("sensor_id = 99"))) == []
     assert catalog.newest(spark, name, sensors.limit(0)).count() == 0
+
+
+def test_summary_builds_no_bitmap_twice(spark):
+    rows = spark.createDataFrame([(f"2024-01-0{1 + i % 3} 00:00:0{i % 7}", i % 2, None if i % 50 == 0 else (i * 7919) % 70_000) for i in range(600)] * 2,
+                                 "time string, hash_part int, sensor_id bigint").withColumn("time", F.col("time").cast("timestamp"))
+    rows = rows.withColumn("chunk_start", F.date_trunc("day", "time")).repartition(5)
+    found = catalog.summary(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    partial = next(i for i, line in enumerate(plan) if "partial_bitmap_construct_agg" in line)
+    # Between the two steps of the aggregate no bitmap moves.
+    assert not any("Exchange" in line for line in plan[:partial])
+    want = rows.groupBy(*catalog.KEY, F.bitmap_bucket_number("sensor_id").alias("bucket")).agg(
+        F.count("*").alias("row_count"), F.min("sensor_id").alias("min_sensor_id"), F.max("sensor_id").alias("max_sensor_id"),
+        F.min("time").alias("min_time"), F.max("time").alias("max_time"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("sensor_id")).alias("sensors"))
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

@@ -103,10 +103,16 @@ def create(spark: SparkSession, name: str, path: str | None = None) -> None:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Mergeable summaries of rows that carry their chunk."""
-    return rows.groupBy(*KEY, F.bitmap_bucket_number(F.col("sensor_id").cast("bigint")).alias("bucket")).agg(
-        F.count("*").alias("row_count"), F.min("sensor_id").cast("bigint").alias("min_sensor_id"), F.max("sensor_id").cast("bigint").alias("max_sensor_id"),
-        F.min("time").cast("timestamp").alias("min_time"), F.max("time").cast("timestamp").alias("max_time"),
+    """Mergeable summaries of rows that carry their chunk.
+
+    Rows are counted by sensor first, and a chunk's sensors of one bucket meet in one task before they become a bitmap: no task
+    builds bitmaps of chunks that another one has too, so as many are built as are written.
+    """
+    sensors = rows.groupBy(*KEY, "sensor_id").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+    sensors = sensors.withColumn("bucket", F.bitmap_bucket_number(F.col("sensor_id").cast("bigint"))).repartition(*KEY, "bucket")
+    return sensors.groupBy(*KEY, "bucket").agg(
+        F.sum("n").alias("row_count"), F.min("sensor_id").cast("bigint").alias("min_sensor_id"), F.max("sensor_id").cast("bigint").alias("max_sensor_id"),
+        F.min("first").cast("timestamp").alias("min_time"), F.max("last").cast("timestamp").alias("max_time"),
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("sensor_id").cast("bigint"))).alias("sensors"))
 
 
@@ -118,12 +124,12 @@ def _state(spark: SparkSession, log: str) -> tuple[int, int, list[int]]:
 
 
 def _log(rows: DataFrame, log: str, kind: str, version: int, generation: int) -> None:
-    """Append rows under a kind; columns they lack are null."""
+    """Append rows under a kind; columns they lack are null. Few rows become one file, and computing many is not left to one task."""
     spark = rows.sparkSession
     schema = spark.table(log).schema
     given = {"kind": F.lit(kind), "version": F.lit(version), "generation": F.lit(generation)}
     full = [given.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-    rows.select(*full).coalesce(1).write.mode("append").insertInto(log)
+    rows.select(*full).hint("rebalance").write.mode("append").insertInto(log)
 
 
 def _done(spark: SparkSession, log: str, version: int, generation: int) -> None:
