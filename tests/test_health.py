@@ -82,3 +82,23 @@ def test_targets_and_quadrants(spark):
     io = spark.createDataFrame([(9, 0), (0, 9), (9, 9), (0, 0)], "shared_blks_written int, exec_writes int")
     assert [r.quadrant for r in health.io_quadrant(io, 5, 5).collect()] == [
         "dirtied_not_flushed", "written_elsewhere", "flushing_to_disk", "mostly_idle"]
+
+
+def test_blocking_pairs_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(health, "TASK_LOCKS", 40)
+    rnd = random.Random(6)
+    activity = [(p, rnd.choice(["a", "b", None])) for p in range(15)]
+    locks = [(rnd.choice("xy"), rnd.choice([1, None]), rnd.choice([7, 8, None]), None, rnd.randrange(16), rnd.random() < 0.6)
+             for _ in range(200)]
+    want = Counter()
+    for *one, p, ok in locks:
+        for *other, r, _ in locks:
+            if not ok and one == other and r != p:
+                want.update((s, t) for q, s in activity if q == p for u, t in activity if u == r)
+    got = health.blocking_pairs(
+        spark.createDataFrame(locks, "locktype string, database int, relation bigint, transactionid bigint, pid int, granted boolean"),
+        spark.createDataFrame(activity, "pid int, query string"))
+    # 200 locks are dealt to five tasks, and so is what is left of them by thing.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(share" in plan and ", 5), REPARTITION_BY_NUM" in plan
+    assert {(r.blocked_statement, r.blocking_statement): r.pairs for r in got.collect()} == dict(want)

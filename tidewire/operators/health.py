@@ -173,6 +173,8 @@ def top(df: DataFrame, col: str, k: int | None = None, nulls: str = "first", tie
 
 #: What two locks must agree in to be on the same thing (NULL agrees with NULL).
 LOCK_IDENTITY = ("locktype", "database", "relation", "transactionid")
+#: Locks that a task pairs, or so.
+TASK_LOCKS = 250_000
 
 
 def blocking_pairs(locks: DataFrame, activity: DataFrame, identity: Sequence[str] = LOCK_IDENTITY) -> DataFrame:
@@ -186,21 +188,31 @@ def blocking_pairs(locks: DataFrame, activity: DataFrame, identity: Sequence[str
     ``identity=("locktype",)`` pairs locks by type alone, as an operator looking at a few sessions does: filter the
     locks first, since a type is shared by most of them.
     """
-    per_session = locks.groupBy(*identity, "pid").agg(
+    # Locks are dealt by session to shares, and what is left of them by thing: a task holds some `TASK_LOCKS` of them, however many
+    # there are, and a thing that many sessions lock has been counted by share and statement before it meets in one task.
+    tasks = -(-locks.count() // TASK_LOCKS)
+    thing = F.struct(*identity)  # fields that are NULL on both sides are equal
+    shared = locks.withColumn("thing", thing).withColumn("share", F.pmod(F.xxhash64("thing", "pid"), F.lit(16 * max(tasks, 1))))
+    per_session = _dealt(shared, tasks, "share").groupBy("share", "thing", "pid").agg(
         F.count("*").alias("held"), F.count_if(~F.col("granted")).alias("waiting")
     ).join(activity.select("pid", "query"), "pid")
     # pairs(a, b) = waiting(a) · held(b), minus each session's pairs with itself (there a = b).
-    per_statement = per_session.groupBy(*identity, "query").agg(
+    per_share = per_session.groupBy("share", "thing", "query").agg(
         F.sum("held").alias("held"), F.sum("waiting").alias("waiting"),
         F.sum(F.col("held") * F.col("waiting")).alias("own"),
     )
+    per_statement = _dealt(per_share, tasks, "thing").groupBy("thing", "query").agg(
+        *[F.sum(c).alias(c) for c in ("held", "waiting", "own")])
     blocked = per_statement.where("waiting > 0").select(
-        *identity, F.col("query").alias("blocked_statement"), "waiting", "own").alias("w")
-    blocking = per_statement.select(*identity, F.col("query").alias("blocking_statement"), "held").alias("h")
-    one_thing = [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in identity]
+        "thing", F.col("query").alias("blocked_statement"), "waiting", "own").alias("w")
+    blocking = per_statement.select("thing", F.col("query").alias("blocking_statement"), "held").alias("h")
     same = F.col("blocked_statement").eqNullSafe(F.col("blocking_statement"))
     pairs = F.col("waiting") * F.col("held") - F.when(same, F.col("own")).otherwise(F.lit(0))
     return (
-        blocked.join(blocking, one_thing).withColumn("pairs", pairs).where("pairs > 0")
+        blocked.join(blocking, F.col("w.thing") == F.col("h.thing")).withColumn("pairs", pairs).where("pairs > 0")
         .groupBy("blocked_statement", "blocking_statement").agg(F.sum("pairs").alias("pairs"))
     )
+
+
+def _dealt(rows: DataFrame, tasks: int, by: str) -> DataFrame:
+    return rows.repartition(tasks, by) if tasks > 1 else rows
