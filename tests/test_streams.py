@@ -372,3 +372,22 @@ def test_maintenance_between_micro_batches_loses_nothing(spark, world, name):
     assert times.count() == 3 and times.where("seconds > 0").count() == 3
     last = progress.histogram(times).where(F.col("le") == float("inf")).collect()
     assert [r.bucket_count for r in last] == [3]
+
+
+def test_waiting_messages_are_written_last(spark, world, name, monkeypatch):
+    """A write to the table of waiting messages makes Spark forget the readings that were parsed from it."""
+    folder, run = world
+    done = []
+    for module, what in ((ingest_stream, "append_epoch"), (ingest_stream.tables, "write_measurements"), (ingest_stream.epochs, "append")):
+        def told(*args, _call=getattr(module, what), _what=what, **kw):
+            done.append(_what)
+            return _call(*args, **kw)
+        monkeypatch.setattr(module, what, told)
+    kw = dict(retry=f"{name}_retry", attempts=3, stats=f"{name}_stats")
+    put(spark, folder, [(1, 1, message(("C", 2, 2.0))), (2, 2, message(("B", 1, 1.0)))])
+    assert run(**kw) == [(2, 1, 1.0)]
+    assert done == ["append", "append", "write_measurements", "append", "append_epoch"]
+    put(spark, folder, [(3, 3, message(("A", 1, 1.0)))])
+    assert run(**kw) == [(1, 1, 1.0), (2, 1, 1.0)]
+    assert done[5:] == done[:5]
+    assert rows(tables.fresh(spark, f"{name}_retry").select("batch_id", "attempt", "epoch")) == [(1, 1, 0), (1, 2, 1)]

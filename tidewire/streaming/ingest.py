@@ -88,10 +88,7 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
             if retry is not None:
                 ids = bad.select(F.col(batch).alias("__batch")).distinct()
                 failed = micro.join(ids, F.col(batch).eqNullSafe(F.col("__batch")), "left_semi").withColumn("attempt", F.col("attempt") + 1)
-                append_epoch(failed.where(F.col("attempt") < attempts), retry, epoch)
                 bad = bad.where(F.col("attempt") + 1 >= attempts)
-                # Those before the last have been tried again by a micro-batch that is done.
-                tables.drop_before(spark, retry, "epoch", epoch - 1)
             if rejected is not None:
                 epochs.append(bad.select(batch, *arrival, "serial_number", "time", "measurement"), rejected, epoch)
             if malformed is not None:
@@ -105,6 +102,12 @@ def start(messages: DataFrame, sensor_table: str, target: str, checkpoint: str,
                 done = done.withColumn("completed", F.lit(datetime.now(timezone.utc))) \
                     .withColumn("seconds", F.lit(time.monotonic() - began))
                 epochs.append(done, stats, epoch)
+            if retry is not None:
+                # Last, since a write to a table that the readings came from makes Spark forget them: the writes above would each
+                # find them gone, and parse and match the micro-batch again.
+                append_epoch(failed.where(F.col("attempt") < attempts), retry, epoch)
+                # Those before the last have been tried again by a micro-batch that is done.
+                tables.drop_before(spark, retry, "epoch", epoch - 1)
         finally:
             matched.unpersist()
         if maintenance is not None and epoch % maintain_every == maintain_every - 1:
