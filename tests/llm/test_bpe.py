@@ -102,3 +102,11 @@ def test_odd_rows(spark):
 def test_other_files_are_refused(tmp_path):
     with pytest.raises(ValueError):
         bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_short_words_take_no_queue(monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("aeinorst é漢", k=rnd.randrange(1, 40))).encode()[:bpe.SHORT] for _ in range(300)] + [b"a" * bpe.SHORT, b"", b"x"]
+    want = [OWN._merged_long(w) for w in words]
+    monkeypatch.setattr(bpe, "heapq", None)
+    assert [OWN.merged(w) for w in words] == want

@@ -4,7 +4,7 @@ Encoding. Marks of special tokens are cut out first; what lies between is split
 a word is a doubly linked list of byte symbols. A priority queue holds every adjacent pair that has a merge, lowest
 rank first, leftmost first among equals. A popped pair is merged by relinking its neighbours, which queues at most two new
 pairs; an entry whose symbols have changed since is stale and skipped. So a word of n bytes takes n log n steps, however
-long it is. Words that occur again in a task are looked up; a bounded number of them is kept.
+long it is. A short word needs no queue: the lowest of its few ranks is looked for at each merge. Words that occur again in a task are looked up; a bounded number of them is kept.
 
 Decoding. The vocabulary strings of the ids are concatenated, their characters stand for bytes, and the bytes are read as
 UTF-8; bytes that are no character become U+FFFD. Ids that the vocabulary lacks are skipped.
@@ -36,6 +36,8 @@ from .text import slices
 
 #: Words that a task keeps with their ids, and the longest of them; texts in a batch; characters split at once.
 KEPT_WORDS, KEPT_LENGTH, CHUNK_BYTES, STRETCH = 1 << 17, 64, 1 << 21, 1 << 20
+#: Bytes of a word up to which its pairs are looked through for each merge; and no rank.
+SHORT, NO_RANK = 64, 1 << 62
 #: Where a word ends whatever follows: no word of the pattern has white space behind another character.
 CUT = regex.compile(r"(?<=\S)(?=\s)")
 
@@ -68,12 +70,14 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[left], ids[right]] = rank, ids[left + right]
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = dict(self.merges.values())
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.special_ids = {t["content"]: t["id"] for t in added}
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special_ids, key=len, reverse=True))) \
             if added else None
         to_byte = {c: bytes([b]) for b, c in enumerate(alphabet)}
-        self.strings = {}
+        self.strings = _Strings()
         for token, i in {**ids, **self.special_ids}.items():
             known = all(c in to_byte for c in token)
             self.strings[i] = b"".join(map(to_byte.__getitem__, token)) if known else token.encode()
@@ -81,6 +85,26 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word."""
+        return self._merged_short(word) if len(word) <= SHORT else self._merged_long(word)
+
+    def _merged_short(self, word: bytes) -> list[int]:
+        get, made = self.ranks.get, self.made
+        ids = [self.byte_ids[b] for b in word]
+        ranks = [get(pair, NO_RANK) for pair in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == NO_RANK:
+                break
+            i = ranks.index(rank)
+            ids[i:i + 2] = [made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NO_RANK)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NO_RANK)
+        return ids
+
+    def _merged_long(self, word: bytes) -> list[int]:
         merges = self.merges
         ids = [self.byte_ids[b] for b in word]
         n = len(ids)
@@ -131,8 +155,14 @@ class Vocabulary:
         return np.array(ids, np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        strings = self.strings
-        return b"".join([strings.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class _Strings(dict):
+    """The bytes of each id; none of an id that the vocabulary lacks."""
+
+    def __missing__(self, i: int) -> bytes:
+        return b""
 
 
 class _Words(dict):
